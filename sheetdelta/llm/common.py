@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,20 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def with_skew_join(spark: SparkSession) -> None:
-    """Adaptive execution and its skew-join splitting are on by default; this makes jobs independent of a session that turned them off."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make jobs independent of how the session was started: Python workers get this package, and adaptive execution with
+    its skew-join splitting is on."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="sheetdelta-")) / f"{package.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(z.filename)
+        _shipped.add(sc.applicationId)
     for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
         if spark.conf.get(key, "true") != "true":
             spark.conf.set(key, "true")

@@ -7,6 +7,7 @@ import importlib
 #: module -> queries in it
 _MODULES = {
     "op1_secrets": ["op1_secret_ledger"],
+    "op2_near_dup": ["op2_minhash_components"],
 }
 
 
