@@ -21,10 +21,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import by_bytes
 from .common import materialise, prepare, small_side, table
 from .components import connected_components
 from .shingles import MinHash, set_digest, shingle_sets
@@ -36,16 +36,6 @@ BLOCK = 256
 CHUNK = 1 << 21
 
 
-def _chunks(batch: pa.RecordBatch, column: str):
-    """Slices of a batch with at most about CHUNK bytes of text each (a longer text is alone)."""
-    total = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(batch.column(column).fill_null("")), np.int64))))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK, "right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary()).to_pylist()
 
@@ -53,7 +43,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def _sign(batches):
     hasher = MinHash(BANDS, ROWS)
     for batch in batches:
-        for part in _chunks(batch, "text"):
+        for part in by_bytes(batch, "text", CHUNK):
             sets = shingle_sets(_bytes(part.column("text")))
             full = [i for i, s in enumerate(sets) if len(s)]
             sig: list = [None] * len(sets)
@@ -170,7 +160,7 @@ def _prune_blocks(batches):
 
 def _sets(batches):
     for batch in batches:
-        for part in _chunks(batch, "text"):
+        for part in by_bytes(batch, "text", CHUNK):
             sets = shingle_sets(_bytes(part.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "full"])
 

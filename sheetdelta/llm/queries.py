@@ -8,6 +8,10 @@ import importlib
 _MODULES = {
     "op1_secrets": ["op1_secret_ledger"],
     "op2_near_dup": ["op2_minhash_components"],
+    "op3_pii": ["op3_pii_anchors"],
+    "op4_bpe": ["op4_bpe_round_trip"],
+    "op7_packing": ["op7_vector_packing"],
+    "op8_language": ["op8_cross_parsing"],
 }
 
 
