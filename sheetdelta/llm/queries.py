@@ -12,6 +12,7 @@ _MODULES = {
     "op4_bpe": ["op4_bpe_round_trip"],
     "op7_packing": ["op7_vector_packing"],
     "op8_language": ["op8_cross_parsing"],
+    "op9_substring": ["op9_repeated_units"],
 }
 
 
