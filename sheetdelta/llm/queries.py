@@ -10,10 +10,12 @@ _MODULES = {
     "op2_near_dup": ["op2_minhash_components"],
     "op3_pii": ["op3_pii_anchors"],
     "op4_bpe": ["op4_bpe_round_trip"],
+    "op5_warc": ["op5_warc_revisits"],
     "op6_quality": ["op6_quality_mcd"],
     "op7_packing": ["op7_vector_packing"],
     "op8_language": ["op8_cross_parsing"],
     "op9_substring": ["op9_repeated_units"],
+    "op10_vectors": ["op10_posting_lists"],
 }
 
 
