@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
 FLAGSHIP = "change_report_counts"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
