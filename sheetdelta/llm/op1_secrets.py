@@ -26,7 +26,10 @@ HEX = r"[0-9a-f]{24,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 RULE_VERSION = "rules-1"
 FINDING = "array<struct<start:int,ord:int,end:int>>"
-NO_FINDING = F.expr(f"cast(array() as {FINDING})")
+
+
+def no_finding() -> Column:
+    return F.expr(f"cast(array() as {FINDING})")
 
 
 def _spans(text: Column, pattern: str, ordinal: int, min_group: tuple[int, int] | None = None) -> Column:
@@ -45,7 +48,7 @@ def _spans(text: Column, pattern: str, ordinal: int, min_group: tuple[int, int]
         F.transform(hits, lambda h: F.char_length(h)).alias("len"),
         ok.alias("ok"),
     )
-    start = F.struct(F.lit(0).alias("at"), NO_FINDING.alias("found"))
+    start = F.struct(F.lit(0).alias("at"), no_finding().alias("found"))
     return F.aggregate(
         parts,
         start,
@@ -74,10 +77,10 @@ def _spans(text: Column, pattern: str, ordinal: int, min_group: tuple[int, int]
 def findings(text: Column) -> Column:
     """All findings of one text.  A cheap search decides whether a kind's places need to be worked out at all."""
     return F.concat(
-        F.when(text.rlike(KEYWORD), _spans(text, ASSIGN, 0, (2, 6))).otherwise(NO_FINDING),
-        F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(NO_FINDING),
-        F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(NO_FINDING),
-        F.when(text.contains("PRIVATE KEY-----"), _spans(text, PEM, 3)).otherwise(NO_FINDING),
+        F.when(text.rlike(KEYWORD), _spans(text, ASSIGN, 0, (2, 6))).otherwise(no_finding()),
+        F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(no_finding()),
+        F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(no_finding()),
+        F.when(text.contains("PRIVATE KEY-----"), _spans(text, PEM, 3)).otherwise(no_finding()),
     )
 
 
@@ -97,7 +100,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     # Repeated rows (same key, same text) pass the semi-join together; their findings are the same.
     fresh = blobs.select("blob", findings(F.col("body")).alias("found")).where(F.size("found") > 0).dropDuplicates(["blob"])
     fresh = materialise(fresh, "secret-findings")
-    scanned = unseen.select("blob").join(fresh, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("found", NO_FINDING).alias("found"))
+    scanned = unseen.select("blob").join(fresh, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("found", no_finding()).alias("found"))
     known = fresh
     if ledger is not None:
         known = known.unionByName(ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", "found"))
@@ -108,7 +111,7 @@ def join_paths(docs: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their findings as ``_found``: content addresses carry findings back to every path."""
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     hits = small_side(known.select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), 50_000)
-    return docs.withColumn("_blob", blob).join(hits, "_blob", "left").withColumn("_found", F.coalesce("_found", NO_FINDING)).drop("_blob")
+    return docs.withColumn("_blob", blob).join(hits, "_blob", "left").withColumn("_found", F.coalesce("_found", no_finding())).drop("_blob")
 
 
 def digest(found: DataFrame, key: list[str]) -> DataFrame:

@@ -111,7 +111,7 @@ def _clean(batches):
             column = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
             u = Units(column)
             point = np.concatenate(([0], np.cumsum((u.data & 0xC0) != 0x80)))
-            others = part.column("others")
+            others = part.column("_others")
             pair = others.flatten()
             pairs = list(zip(pair.field("h1").to_pylist(), pair.field("h2").to_pylist()))
             sizes = np.asarray(others.value_lengths().fill_null(0), np.int64)
@@ -159,7 +159,7 @@ def _clean(batches):
                 counts.append(int(sum(point[q] - point[p] for p, q in joined)))
             null = part.column("text").is_null()
             text = pa.array(texts, pa.string(), mask=np.asarray(null))
-            rest = [c for c in part.schema.names if c not in ("text", "others")]
+            rest = [c for c in part.schema.names if c not in ("text", "_others")]
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(c) for c in rest], text, pa.array(spans, pa.string()), pa.array(counts, pa.int64())], [*rest, "text", "removed", "removed_chars"]
             )
@@ -182,9 +182,9 @@ def repeated_units(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, then text (without the repeats), removed ("start:end,..." of the original) and
     removed_chars."""
-    found = repeated_units(docs).withColumnRenamed("rank", "_rank")
+    found = repeated_units(docs).select(F.col("rank").alias("_rank"), F.col("others").alias("_others"))
     rows = docs.select(_rank(F.col("doc_id")).alias("_rank"), *keep, F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, "_rank", "left").select(*keep, "text", "others")
+    joined = rows.join(found, "_rank", "left").select(*keep, "text", "_others")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     return joined.mapInArrow(_clean, f"{schema}, text string, removed string, removed_chars long")
 
