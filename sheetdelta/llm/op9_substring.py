@@ -1,15 +1,17 @@
-"""Repeated passages by hashing lines and the sentences within them.
+"""Repeated passages by hashing lines and the clauses within them.
 
-Units are lines and, since passages are often quoted inside a line, sentences.  Units are normalised (A-Z lowered, white
-space between words ignored) and named by a 128-bit digest.  The digests are grouped over the whole table, and the document
-that ranks first (smallest doc_id) owns a unit.  In every other document, and at later places of the same document,
+Units are lines and, since passages are often quoted or edited inside a line, clauses: a clause ends with a sentence, with its
+line, and after any word whose hash is a multiple of 16, so equal passages fall into equal clauses wherever they stand.
+Units are normalised (A-Z lowered, white space between words ignored) and named by a 128-bit digest.  The digests are grouped
+over the whole table, and the document that ranks first (smallest doc_id) owns a unit.  In every other document, and at later
+places of the same document,
 - a line of at least 5 words that is a repeat goes, and
-- a run of sentences that are repeats, with shorter ones between them, goes if the repeats in it have at least 12 words.
+- a run of clauses that are repeats, with shorter ones between them, goes if the repeats in it have at least 12 words.
 Removed spans are given as code points of the original text.
 
 Only (digest, doc_id) pairs are shuffled; texts move once, to meet the list of digests that others own.
 
-Defined results: a null text has no units and stays null; sentences under 3 words never count by themselves; rows with the
+Defined results: a null text has no units and stays null; clauses under 3 words never count by themselves; rows with the
 same doc_id are versions of one document and do not remove passages from each other; a null doc_id ranks last; an empty
 table gives an empty result; further columns are ignored by ``repeated_units`` and kept by the stage.
 """
@@ -25,13 +27,14 @@ from .arrow import by_bytes
 from .common import prepare, table
 from .shingles import _SPACE, _LOWER, _power_table, mix
 
-MIN_LINE, MIN_SENTENCE, MIN_RUN = 5, 3, 12
+MIN_LINE, MIN_CLAUSE, MIN_RUN = 5, 3, 12
+CUT_MASK = np.uint64(15)
 CHUNK = 1 << 21
 LAST = (1 << 63) - 1
 
 
 class Units:
-    """Words, sentences and lines of many texts at once, as arrays over their joined bytes."""
+    """Words, clauses and lines of many texts at once, as arrays over their joined bytes."""
 
     def __init__(self, texts: list[bytes]):
         raw = b"\n".join(texts) + b"\n"
@@ -54,7 +57,7 @@ class Units:
         line_end = newlines[np.concatenate((self.start[1:], [len(raw)]))[:n]] > newlines[self.end] if n else np.zeros(0, bool)
         stop = np.isin(self.data[self.end - 1], np.frombuffer(b".!?", np.uint8)) if n else line_end
         self.lines = self._cut(line_end)
-        self.sentences = self._cut(line_end | stop)
+        self.clauses = self._cut(line_end | stop | ((self.words & CUT_MASK) == 0))
 
     def _cut(self, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first word, last word, number of words, digest halves) of the units that end where ``last`` says."""
@@ -73,13 +76,13 @@ def _units(batches):
         for part in by_bytes(batch, "text", CHUNK):
             u = Units(part.column("text").fill_null("").cast(pa.binary()).to_pylist())
             text, h1, h2 = [], [], []
-            for (a, _, n, x, y), least in ((u.lines, MIN_LINE), (u.sentences, MIN_SENTENCE)):
+            for (a, _, n, x, y), least in ((u.lines, MIN_LINE), (u.clauses, MIN_CLAUSE)):
                 keep = n >= least
                 text.append(u.text_of[a[keep]] if len(a) else a)
                 h1.append(x[keep])
                 h2.append(y[keep])
             t, x, y = np.concatenate(text), np.concatenate(h1), np.concatenate(h2)
-            # A line of one sentence has the digest of the sentence; one row for each digest of a text.
+            # A line of one clause has the digest of the clause; one row for each digest of a text.
             first = np.sort(_first_of_each(t, x, y))
             yield pa.RecordBatch.from_arrays([part.column("rank").take(pa.array(t[first])), pa.array(x[first]), pa.array(y[first])], ["rank", "h1", "h2"])
 
@@ -97,7 +100,7 @@ def _intervals(n: np.ndarray, repeat: np.ndarray) -> list[tuple[int, int]]:
     live = np.flatnonzero(repeat)
     if not len(live):
         return out
-    fixed = np.concatenate(([0], np.cumsum(~repeat & (n >= MIN_SENTENCE))))
+    fixed = np.concatenate(([0], np.cumsum(~repeat & (n >= MIN_CLAUSE))))
     cut = np.flatnonzero(fixed[live[1:]] > fixed[live[:-1] + 1]) + 1
     for run in np.split(live, cut):
         if n[run].sum() >= MIN_RUN:
@@ -117,7 +120,7 @@ def _clean(batches):
             sizes = np.asarray(others.value_lengths().fill_null(0), np.int64)
             ends = np.cumsum(sizes)
             levels = []
-            for a, b, n, x, y in (u.lines, u.sentences):
+            for a, b, n, x, y in (u.lines, u.clauses):
                 t = u.text_of[a] if len(a) else a
                 again = np.ones(len(t), bool)
                 if len(t):
@@ -132,7 +135,7 @@ def _clean(batches):
                     repeat = again[s]
                     if known and s.stop > s.start:
                         repeat = repeat | np.fromiter(((p, q) in known for p, q in zip(x[s].tolist(), y[s].tolist())), bool, s.stop - s.start)
-                    repeat = repeat & (n[s] >= (MIN_SENTENCE if level else MIN_LINE))
+                    repeat = repeat & (n[s] >= (MIN_CLAUSE if level else MIN_LINE))
                     if level:
                         runs = _intervals(n[s], repeat)
                     else:
