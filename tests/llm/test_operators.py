@@ -372,3 +372,61 @@ def test_vectors(spark, data):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert {(o.query_id, o.rank, o.vec_id) for o in op10_vectors.search(few, few.where("vec_id % 20 = 0")).collect()} == {(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)}
     assert op10_vectors.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def brute_repeats(rows):
+    from sheetdelta.llm.shingles import word_hashes
+
+    docs, own = [], {}
+    for d, t in sorted(rows):
+        lines, clauses, at = [], [], 0
+        for line in t.split("\n"):
+            found = [(m.start() + at, m.end() + at, m.group().translate(LOWER)) for m in WORD.finditer(line)]
+            at += len(line) + 1
+            if found:
+                lines.append(found)
+                hashes, _ = word_hashes([" ".join(w for *_, w in found).encode()])
+                clauses.append([])
+                for w, h in zip(found, hashes.tolist()):
+                    clauses[-1].append(w)
+                    if w[2][-1] in ".!?" or h % 16 == 0:
+                        clauses.append([])
+                clauses = [c for c in clauses if c]
+        docs.append((d, t, lines, clauses))
+        for u in [*(x for x in lines if len(x) >= 5), *(x for x in clauses if len(x) >= 3)]:
+            own.setdefault(tuple(w[2] for w in u), d)
+    out = {}
+    for d, t, lines, clauses in docs:
+        cuts = []
+        for units, least in ((lines, 5), (clauses, 3)):
+            seen, repeat = set(), []
+            for u in units:
+                k = tuple(w[2] for w in u)
+                repeat.append(len(u) >= least and (own.get(k, d) < d or k in seen))
+                seen.add(k)
+            runs, run = [], []
+            for i, u in enumerate(units):
+                if repeat[i]:
+                    run.append(i)
+                if units is lines or (not repeat[i] and len(u) >= 3):
+                    runs.append(run)
+                    run = []
+            for run in [*runs, run]:
+                if run and (units is lines or sum(len(units[i]) for i in run) >= 12):
+                    cuts.append((units[run[0]][0][0], units[run[-1]][-1][1]))
+        merged = []
+        for p, q in sorted(cuts):
+            if merged and p <= merged[-1][1]:
+                merged[-1][1] = max(q, merged[-1][1])
+            else:
+                merged.append([p, q])
+        out[d] = ",".join(f"{p}:{q}" for p, q in merged)
+    return out
+
+
+def test_repeats_against_brute_force(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    passage = words(70, 42) + ". é " + words(10, 43)
+    rows += [(5000 + i, f"{words(30 + i, 50 + i)} {passage} {words(20, 70 + i)}\n\nshared line of five words\n{words(3, i)}") for i in range(20)]
+    got = {r.doc_id: r.removed for r in op9_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == brute_repeats(rows)
