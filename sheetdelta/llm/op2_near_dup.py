@@ -5,9 +5,10 @@
 3. Every bucket has a hub, the member that shares most buckets with others.  Members are compared with their hubs; that
    joins most copies at a cost in proportion to the members, not to their pairs.
 4. Only where a bucket still holds several components are members of different components compared, in blocks, so no link
-   between components is lost and no pair within one is made.
-5. A comparison looks at the signatures in batches of 32 and stops as soon as the posterior probability of a similarity
-   of at least 0.85 (uniform prior) falls under the miss probability; survivors are confirmed on their full sets.
+   between components is lost and no pair within one is made; a pair is made in the first band that it shares only.
+5. A comparison looks at the signatures in batches and stops as soon as the posterior probability of a similarity of at
+   least 0.85 (uniform prior) falls under the miss probability.  Members of shared buckets have a long second signature
+   of 1024 minima, one byte each, for this.  Survivors are confirmed on their full sets.
 6. Star contractions turn links into components.
 
 Defined results: null or wordless texts have an empty set and stay alone; repeated rows each get a row of the same
@@ -17,7 +18,7 @@ component; component_id is the smallest non-null doc_id, and rows without a doc_
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from .components import connected_components
 from .shingles import MinHash, set_digest, shingle_sets
 
 BANDS, ROWS, BATCH = 24, 4, 32
+LONG, LONG_BATCH = 1024, 128
 LINK_NUM, LINK_DEN = 85, 100
 MISS = 1e-7
 BLOCK = 256
@@ -64,7 +66,8 @@ def _band(batches):
             sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
             keys = hasher.band_keys(sigs)
             node = part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node], ["band", "node"])
+            number = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(number), node], ["band", "number", "node"])
 
 
 def least_matches(threshold: float, batch: int, size: int, miss: float) -> list[int]:
@@ -75,21 +78,24 @@ def least_matches(threshold: float, batch: int, size: int, miss: float) -> list[
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
-            tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            tail += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n - m + 2) + m * log(threshold) + (n + 1 - m) * log(1 - threshold))
         out.append(m)
     return out
 
 
-_LEAST = least_matches(LINK_NUM / LINK_DEN, BATCH, BANDS * ROWS, MISS)
+_LINK = LINK_NUM / LINK_DEN
+_LEAST = least_matches(_LINK, BATCH, BANDS * ROWS, MISS)
+# The last byte of two different minima is equal once in 256 times.
+_LEAST_LONG = least_matches(_LINK + (1 - _LINK) / 256, LONG_BATCH, LONG, MISS)
 
 
-def _posterior_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _posterior_pairs(a: np.ndarray, b: np.ndarray, batch: int = BATCH, least: list[int] = _LEAST) -> np.ndarray:
     """Mask of the row pairs of two signature tables that survive every batch."""
     alive, equal = np.arange(len(a)), np.zeros(len(a), np.int32)
-    for k, least in enumerate(_LEAST):
-        cut = slice(k * BATCH, (k + 1) * BATCH)
+    for k, enough in enumerate(least):
+        cut = slice(k * batch, (k + 1) * batch)
         equal[alive] += (a[alive, cut] == b[alive, cut]).sum(1, dtype=np.int32)
-        alive = alive[equal[alive] >= least]
+        alive = alive[equal[alive] >= enough]
     mask = np.zeros(len(a), bool)
     mask[alive] = True
     return mask
@@ -118,6 +124,8 @@ def _prune_blocks(batches):
         if not len(left) or not len(right):
             return None
         sig = _sigs(part.column("sig").combine_chunks())
+        long = np.frombuffer(b"".join(part.column("long").combine_chunks().to_pylist()), np.uint8).reshape(-1, LONG)
+        band = int(part.column("number")[0].as_py())
         comp = np.array(part.column("comp").to_pylist(), object)
         node = part.column("node").combine_chunks()
         # Signatures of one batch decide most pairs: left rows one by one against all right rows of the block.
@@ -126,6 +134,9 @@ def _prune_blocks(batches):
             js = right[comp[right] != comp[i]]
             if len(js):
                 ok = js[_posterior_pairs(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js])]
+                shared = (sig[ok] == sig[i]).reshape(len(ok), BANDS, ROWS).all(2)
+                ok = ok[shared.argmax(1) == band]
+                ok = ok[_posterior_pairs(np.broadcast_to(long[i], (len(ok), LONG)), long[ok], LONG_BATCH, _LEAST_LONG)]
                 us.append(np.full(len(ok), i))
                 vs.append(ok)
         if not us:
@@ -159,10 +170,13 @@ def _prune_blocks(batches):
 
 
 def _sets(batches):
+    hasher = MinHash(1, LONG, seed=11)
     for batch in batches:
         for part in by_bytes(batch, "text", CHUNK):
-            sets = shingle_sets(_bytes(part.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "full"])
+            sets = [s for s in shingle_sets(_bytes(part.column("text"))) if len(s)]
+            long = hasher.signatures(sets).astype(np.uint8) if sets else []
+            columns = [pa.array(x, pa.binary()) for x in ([set_digest(s) for s in sets], [s.tobytes() for s in sets], [r.tobytes() for r in long])]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "full", "long"])
 
 
 def _confirm(batches):
@@ -191,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("path").alias("path"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
 
-    bands = classes.select("node", "sig").mapInArrow(_band, "band long, node binary")
+    bands = classes.select("node", "sig").mapInArrow(_band, "band long, number int, node binary")
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(bands.join(sizes, "band"), "members")
 
@@ -206,23 +220,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     pairs = materialise(signed_pairs.mapInArrow(_prune_rows, "u binary, v binary"), "pairs")
 
-    sets = _full_sets(docs, classes, pairs)
+    sets = _full_sets(docs, members.join(classes.select("node", "path"), "node"))
     links = materialise(_links(pairs, sets), "links")
     comps = connected_components(links)
 
     # Buckets that still hold several components.
-    placed = members.select("band", "node").join(comps, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
+    placed = members.select("band", "number", "node").join(comps, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("comp"))
     placed = materialise(placed, "placed")
     share = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     open_bands = share.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1")
     open_bands = open_bands.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int").alias("ni"), F.col("main.comp").alias("main"))
-    inside = placed.join(open_bands, "band").join(sig, "node")
+    inside = placed.join(open_bands, "band").join(sig, "node").join(sets.select("node", "long"), "node")
     block = F.xxhash64("node")
     left = inside.where(F.col("comp") != F.col("main")).select(
-        "band", F.pmod(block, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "node", "comp", "sig"
+        "band", F.pmod(block, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "number", "node", "comp", "sig", "long"
     )
     right = inside.select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(block, F.col("nj")).cast("int").alias("j"), F.lit(1).alias("side"), "node", "comp", "sig"
+        "band", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(block, F.col("nj")).cast("int").alias("j"), F.lit(1).alias("side"), "number", "node", "comp", "sig", "long"
     )
     more = (
         left.union(right)
@@ -234,8 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     more = materialise(more, "pairs")
     if not more.isEmpty():
-        more_links = _links(more, _full_sets(docs, classes, more))
-        comps = connected_components(links.union(more_links))
+        comps = connected_components(links.union(_links(more, sets)))
 
     joined = comps.join(classes.select("node", "first_id"), "node")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -246,13 +259,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, full) of the classes in ``pairs``, worked out again from the text of one row of each."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(classes.select("node", "path"), "node")
-    wanted = materialise(wanted.select("path").distinct(), "wanted")
+def _full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, full set, long signature) of the classes in ``members``, worked out again from the text of one row of each."""
+    wanted = materialise(members.select("path").distinct(), "wanted")
     texts = docs.join(small_side(wanted), "path", "left_semi").select("text")
     # A repeated row gives its class again.
-    return materialise(texts.mapInArrow(_sets, "node binary, full binary").dropDuplicates(["node"]), "sets")
+    return materialise(texts.mapInArrow(_sets, "node binary, full binary, long binary").dropDuplicates(["node"]), "sets")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
