@@ -32,7 +32,8 @@ from .shingles import MinHash, set_digest, shingle_sets
 
 BANDS, ROWS, BATCH = 24, 4, 32
 LONG, LONG_BATCH = 1024, 128
-LINK_NUM, LINK_DEN = 85, 100
+#: Percent of similarity from which documents are linked: by the operator's contract, and in the pipeline.
+LINK, STAGE_LINK = 85, 80
 MISS = 1e-7
 BLOCK = 256
 CHUNK = 1 << 21
@@ -83,13 +84,13 @@ def least_matches(threshold: float, batch: int, size: int, miss: float) -> list[
     return out
 
 
-_LINK = LINK_NUM / LINK_DEN
-_LEAST = least_matches(_LINK, BATCH, BANDS * ROWS, MISS)
-# The last byte of two different minima is equal once in 256 times.
-_LEAST_LONG = least_matches(_LINK + (1 - _LINK) / 256, LONG_BATCH, LONG, MISS)
+def _bounds(link: int) -> tuple[list[int], list[int]]:
+    """Least matches on the banded and on the long signature.  The last byte of two different minima is equal once in 256 times."""
+    share = link / 100
+    return least_matches(share, BATCH, BANDS * ROWS, MISS), least_matches(share + (1 - share) / 256, LONG_BATCH, LONG, MISS)
 
 
-def _posterior_pairs(a: np.ndarray, b: np.ndarray, batch: int = BATCH, least: list[int] = _LEAST) -> np.ndarray:
+def _posterior_pairs(a: np.ndarray, b: np.ndarray, batch: int, least: list[int]) -> np.ndarray:
     """Mask of the row pairs of two signature tables that survive every batch."""
     alive, equal = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, enough in enumerate(least):
@@ -105,18 +106,23 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
 
 
-def _prune_rows(batches):
+def _prune_rows(link: int):
     """Rows with sig_u and sig_v: keep those whose posterior allows a link."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            mask = _posterior_pairs(_sigs(part.column("sig_u")), _sigs(part.column("sig_v")))
-            yield part.select(["u", "v"]).filter(pa.array(mask))
+    least, _ = _bounds(link)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                mask = _posterior_pairs(_sigs(part.column("sig_u")), _sigs(part.column("sig_v")), BATCH, least)
+                yield part.select(["u", "v"]).filter(pa.array(mask))
+
+    return run
 
 
-def _prune_blocks(batches):
+def _prune_blocks(link: int):
     """Rows sorted by (band, i, j): compare the residual members of a block with its other members, across components."""
-    rest = None
+    least, least_long = _bounds(link)
 
     def block(part: pa.Table):
         side = np.asarray(part.column("side").combine_chunks())
@@ -133,10 +139,10 @@ def _prune_blocks(batches):
         for i in left.tolist():
             js = right[comp[right] != comp[i]]
             if len(js):
-                ok = js[_posterior_pairs(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js])]
+                ok = js[_posterior_pairs(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], BATCH, least)]
                 shared = (sig[ok] == sig[i]).reshape(len(ok), BANDS, ROWS).all(2)
                 ok = ok[shared.argmax(1) == band]
-                ok = ok[_posterior_pairs(np.broadcast_to(long[i], (len(ok), LONG)), long[ok], LONG_BATCH, _LEAST_LONG)]
+                ok = ok[_posterior_pairs(np.broadcast_to(long[i], (len(ok), LONG)), long[ok], LONG_BATCH, least_long)]
                 us.append(np.full(len(ok), i))
                 vs.append(ok)
         if not us:
@@ -144,7 +150,7 @@ def _prune_blocks(batches):
         u, v = np.concatenate(us), np.concatenate(vs)
         return pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], ["u", "v"])
 
-    def blocks(tbl: pa.Table, last: bool):
+    def blocks(tbl: pa.Table, last: bool, ready: list):
         keys = np.stack([np.asarray(tbl.column(c).combine_chunks()).astype(np.int64) for c in ("band", "i", "j")], 1)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         bounds = [0, *cuts.tolist()]
@@ -157,16 +163,19 @@ def _prune_blocks(batches):
                 ready.append(found)
         return None
 
-    ready: list = []
-    for batch in batches:
-        if batch.num_rows:
-            tbl = pa.Table.from_batches([batch])
-            rest = blocks(pa.concat_tables([rest, tbl]) if rest is not None else tbl, False)
+    def run(batches):
+        rest, ready = None, []
+        for batch in batches:
+            if batch.num_rows:
+                tbl = pa.Table.from_batches([batch])
+                rest = blocks(pa.concat_tables([rest, tbl]) if rest is not None else tbl, False, ready)
+                yield from ready
+                ready.clear()
+        if rest is not None and rest.num_rows:
+            blocks(rest, True, ready)
             yield from ready
-            ready.clear()
-    if rest is not None and rest.num_rows:
-        blocks(rest, True)
-        yield from ready
+
+    return run
 
 
 def _sets(batches):
@@ -179,24 +188,27 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays(columns, ["node", "full", "long"])
 
 
-def _confirm(batches):
-    for batch in batches:
-        keep = []
-        for u, v in zip(batch.column("full_u"), batch.column("full_v")):
-            a, b = np.frombuffer(u.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(LINK_DEN * both >= LINK_NUM * (len(a) + len(b) - both))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _confirm(link: int):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch.column("full_u"), batch.column("full_v")):
+                a, b = np.frombuffer(u.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= link * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """The pairs whose full sets are similar enough.  Sets travel only for rows in a pair that the posterior let through."""
     u = sets.select(F.col("node").alias("u"), F.col("full").alias("full_u"))
     v = sets.select(F.col("node").alias("v"), F.col("full").alias("full_v"))
-    return pairs.join(u, "u").join(v, "v").mapInArrow(_confirm, "u binary, v binary")
+    return pairs.join(u, "u").join(v, "v").mapInArrow(_confirm(link), "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     prepare(spark)
@@ -218,10 +230,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed_pairs = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("sig_u")), "u").join(
         sig.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v"
     )
-    pairs = materialise(signed_pairs.mapInArrow(_prune_rows, "u binary, v binary"), "pairs")
+    pairs = materialise(signed_pairs.mapInArrow(_prune_rows(link), "u binary, v binary"), "pairs")
 
     sets = _full_sets(docs, members.join(classes.select("node", "path"), "node"))
-    links = materialise(_links(pairs, sets), "links")
+    links = materialise(_links(pairs, sets, link), "links")
     comps = connected_components(links)
 
     # Buckets that still hold several components.
@@ -242,13 +254,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left.union(right)
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_prune_blocks, "u binary, v binary")
+        .mapInArrow(_prune_blocks(link), "u binary, v binary")
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         .distinct()
     )
     more = materialise(more, "pairs")
     if not more.isEmpty():
-        comps = connected_components(links.union(_links(more, sets)))
+        comps = connected_components(links.union(_links(more, sets, link)))
 
     joined = comps.join(classes.select("node", "first_id"), "node")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -268,8 +280,9 @@ def _full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest doc_id."""
-    found = near_duplicates(docs)
+    """Pipeline stage: one document of each component stays, the one with the smallest doc_id; documents are linked from 80 percent
+    on, where a pair shares no band with probability 3e-6."""
+    found = near_duplicates(docs, STAGE_LINK)
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     dropped = materialise(dropped, "dropped")
     return docs.join(small_side(dropped), "doc_id", "left_anti").select(*docs.columns)

@@ -103,7 +103,7 @@ def test_secret_stage(docs, spark):
     assert all("abcdef123456" not in (r.text or "") for r in out.collect())
 
 
-def brute_components(rows):
+def brute_components(rows, link=85):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
@@ -119,7 +119,7 @@ def brute_components(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= link * (len(sets[a]) + len(sets[b]) - both):
                 p, q = top(a), top(b)
                 parent[max(p, q)] = min(p, q)
     return {d: (len(sets[d]), top(d), top(d) == d) for d in ids}
@@ -148,8 +148,9 @@ def test_near_duplicates_groups(spark):
                 w[r.randrange(len(w))] = words(1, r.random())
             rows.append((g * 1000 + k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in op2_near_dup.near_duplicates(df).collect()}
-    assert got == brute_components(rows)
+    for link in (85, 80):
+        got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in op2_near_dup.near_duplicates(df, link).collect()}
+        assert got == brute_components(rows, link)
 
 
 def brute_pii(t):
