@@ -16,19 +16,20 @@ def greedy_one_to_one(candidates: DataFrame, group: str = "comparison_id", max_r
     A pair that is first for both of its ends is in the greedy result; taking all of them and dropping what touches them,
     again and again, gives the same pairs in a few rounds, and no group sits in one task."""
     order = ["distance", "old_id", "new_id"]
-    pending = written(candidates.select(group, *order), "candidates")
-    taken: DataFrame | None = None
+    by_old, by_new = Window.partitionBy(group, "old_id"), Window.partitionBy(group, "new_id")
+    pending, taken = candidates.select(group, *order), None
     for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        by_old = Window.partitionBy(group, "old_id").orderBy(*order)
-        by_new = Window.partitionBy(group, "new_id").orderBy(*order)
-        ranked = pending.withColumns({"_o": F.row_number().over(by_old), "_n": F.row_number().over(by_new)})
-        now = written(ranked.where((F.col("_o") == 1) & (F.col("_n") == 1)).drop("_o", "_n"), "taken")
+        ranked = pending.withColumn("_o", F.row_number().over(by_old.orderBy(*order))).withColumn("_n", F.row_number().over(by_new.orderBy(*order)))
+        marked = ranked.withColumn("_taken", (F.col("_o") == 1) & (F.col("_n") == 1))
+        # An end of a pair that is taken takes its other candidates along.
+        marked = marked.withColumn("_new_gone", F.max("_taken").over(by_new)).withColumn("_old_gone", F.max("_taken").over(by_old))
+        state = written(marked.select(group, *order, "_taken", (F.col("_new_gone") | F.col("_old_gone")).alias("_gone")), "assigned")
+        now = state.where("_taken").select(group, *order)
         taken = now if taken is None else taken.union(now)
-        left = pending.join(now.select(group, "old_id"), [group, "old_id"], "left_anti").join(now.select(group, "new_id"), [group, "new_id"], "left_anti")
-        pending = written(left.select(group, *order), "candidates")
-    return pending.limit(0) if taken is None else taken
+        pending = state.where("not _gone").select(group, *order)
+        if pending.isEmpty():
+            return taken
+    raise RuntimeError(f"the assignment did not settle in {max_rounds} rounds")
 
 
 def best_total(similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

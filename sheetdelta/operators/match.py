@@ -15,11 +15,12 @@ A, B, T = side("a_"), side("b_"), F.col
 
 
 def sides(entities: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old entities with their sheet's transform and diagonal, and new entities; columns prefixed a_ and b_."""
+    """Old entities with their sheet's transform and diagonal, and new entities with its diagonal; columns prefixed a_ and b_."""
     s = sheets.withColumn("diag", F.sqrt(F.col("new_width") ** 2 + F.col("new_height") ** 2)).select("comparison_id", "diag", "tx", "ty", "scale", "rotation")
     s = bounded(s)
     old = entities.where("revision = 'old'").select("comparison_id", *[F.col(c).alias("a_" + c) for c in [*SIDE, "signature"]]).join(s, "comparison_id")
     new = entities.where("revision = 'new'").select("comparison_id", *[F.col(c).alias("b_" + c) for c in [*SIDE, "signature"]])
+    new = new.join(s.select("comparison_id", F.col("diag").alias("b_diag"), _plain().alias("b_plain")), "comparison_id")
     return old, new
 
 
@@ -43,9 +44,9 @@ def exact_candidates(old: DataFrame, new: DataFrame, th: Thresholds = THRESHOLDS
     reach = th.exact * F.col("diag")
     ax, ay = _place(A, box)
     o = with_cells(old.where(~_plain()).withColumn("_cell", cell), ax - reach, ay - reach, ax + reach, ay + reach, F.col("_cell"))
-    scaled = old.where(~_plain()).select("comparison_id", (F.col("diag") / 64).alias("_cell")).distinct()
     bx, by = _place(B, (B("x0"), B("y0"), B("x1"), B("y1")))
-    n = new.join(bounded(scaled), "comparison_id").withColumns({"_cx": F.floor(bx / F.col("_cell")).cast("long"), "_cy": F.floor(by / F.col("_cell")).cast("long")}).drop("_cell")
+    cell_b = F.col("b_diag") / 64
+    n = new.where(~F.col("b_plain")).withColumns({"_cx": F.floor(bx / cell_b).cast("long"), "_cy": F.floor(by / cell_b).cast("long")})
     keys = (o["comparison_id"] == n["comparison_id"]) & (o["_cx"] == n["_cx"]) & (o["_cy"] == n["_cy"]) & (o["a_kind"] == n["b_kind"]) & o["a_text_payload"].eqNullSafe(n["b_text_payload"])
     loose = o.join(n, keys).drop(n["comparison_id"]).withColumn("distance", displacement(A, B, T))
     loose = loose.where(near & shape_equivalent(A, B, T, reach) & style_equivalent(A, B, T))
@@ -71,10 +72,8 @@ def attribute_candidates(old: DataFrame, new: DataFrame, th: Thresholds = THRESH
     cell = F.col("diag") / 24
     box = mapped_box(A, T)
     o = with_cells(old, F.least(box[0], _place(A, box)[0]) - tol, F.least(box[1], _place(A, box)[1]) - tol, F.greatest(box[2], _place(A, box)[0]) + tol, F.greatest(box[3], _place(A, box)[1]) + tol, cell)
-    diag = bounded(old.select("comparison_id", F.col("diag").alias("_d")).distinct())
-    n = new.join(diag, "comparison_id")
     bx, by = _place(B, (B("x0"), B("y0"), B("x1"), B("y1")))
-    n = with_cells(n, F.least(B("x0"), bx), F.least(B("y0"), by), F.greatest(B("x1"), bx), F.greatest(B("y1"), by), F.col("_d") / 24).drop("_d")
+    n = with_cells(new, F.least(B("x0"), bx), F.least(B("y0"), by), F.greatest(B("x1"), bx), F.greatest(B("y1"), by), F.col("b_diag") / 24)
     keys = (o["comparison_id"] == n["comparison_id"]) & (o["_cx"] == n["_cx"]) & (o["_cy"] == n["_cy"]) & (o["a_kind"] == n["b_kind"])
     pairs = o.join(n, keys).drop(n["comparison_id"]).withColumn("distance", displacement(A, B, T))
     near = F.col("distance") <= tol
