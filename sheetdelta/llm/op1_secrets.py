@@ -96,8 +96,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     unseen = named.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    unseen = materialise(unseen, "unseen-blobs")
-    blobs = named.join(small_side(unseen.hint("shuffle_hash")), ["blob", "path"], "left_semi")
+    # The same join at every size: texts meet the unseen blobs by key, and the hash side holds keys only.
+    blobs = named.join(unseen.hint("shuffle_hash"), ["blob", "path"], "left_semi")
     # The generator keeps the filter on findings, and with it the scan, behind the join: blobs of the ledger are not scanned.
     fresh = blobs.select("blob", F.explode(F.array(findings(F.col("body")))).alias("found")).where(F.size("found") > 0)
     # Repeated rows (same key, same text) pass the semi-join together; their findings are the same.
