@@ -18,6 +18,7 @@ from .common import materialise, small_side, spans_text, table
 #: The kinds in the order of the contract, then those that this operator adds.
 KINDS = ["assign", "access", "hex", "pem"]
 BASE = 3
+RUN = 512
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KEYWORD = r"(?i)password|passwd|secret|token|api_?key"
 # A run that is too short holds no other match of its own kind, so the length may stand in the pattern.
@@ -49,28 +50,25 @@ def _spans(text: Column, pattern: str, ordinal: int, min_group: tuple[int, int]
         ok.alias("ok"),
     )
     start = F.struct(F.lit(0).alias("at"), no_finding().alias("found"))
-    return F.aggregate(
-        parts,
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["len"]).alias("at"),
-            F.when(
-                p["ok"],
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + p["gap"]).alias("start"),
-                            F.lit(ordinal).alias("ord"),
-                            (acc["at"] + p["gap"] + p["len"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
+
+    def place(acc: Column, p: Column) -> Column:
+        begin, end = acc["at"] + p["gap"], acc["at"] + p["gap"] + p["len"]
+        one = F.array(F.struct(begin.alias("start"), F.lit(ordinal).alias("ord"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(p["ok"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    # Adding to an array copies it, so runs of RUN matches are placed by themselves and then moved by the lengths before them.
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(hits) - 1, F.lit(0)) / RUN).cast("int")),
+        lambda r: F.aggregate(F.slice(parts, r * RUN + 1, F.lit(RUN)), start, place),
+    )
+    before = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
+    moved = F.aggregate(runs, before, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+    return F.flatten(
+        F.zip_with(
+            runs,
+            moved["all"],
+            lambda r, by: F.transform(r["found"], lambda f: F.struct((f["start"] + by).alias("start"), f["ord"].alias("ord"), (f["end"] + by).alias("end"))),
+        )
     )
 
 
