@@ -8,7 +8,7 @@ Texts are parsed in segments of 512 characters, so that numpy steps through many
 character of a text is used.  Letters count in lower case and anything else is a blank.
 
 Sample: rows with text and lang whose crc32(doc_id) mod 4 is not 2; of each language, one row for each of 64 hash values of
-doc_id, whole texts of at most 3,000 characters first, until there are 12,000 characters (SAMPLE_CHARS).
+doc_id, whole texts of at most 3,000 characters first and none over 20,000, until there are 12,000 characters (SAMPLE_CHARS).
 
 Defined results: lang_pred is ``und`` (score 0) if the text is null or has no letter, or nothing could be learned; ties go
 to the language first in order; repeated rows each get a row; held_out is false for a null ``doc_id``; an empty table gives
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrow import by_bytes
 from .common import prepare, table
 
-SAMPLE_CHARS, SAMPLE_ROWS, SHORT = 12_000, 64, 3_000
+SAMPLE_CHARS, SAMPLE_ROWS, SHORT, LONGEST = 12_000, 64, 3_000, 20_000
 SEGMENT = 512
 CHUNK = 4 << 20
 UNKNOWN = "und"
@@ -198,7 +198,8 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
     ranked = keep.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
     chosen = ranked.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("part")).agg(F.min(F.struct("h", "doc_id"))["doc_id"].alias("doc_id"))
     ids = F.broadcast(chosen.select("lang", "doc_id"))  # SAMPLE_ROWS rows a language
-    rows = keep.join(ids, ["lang", "doc_id"], "left_semi").where(F.length("text") <= 20_000)
+    # Of rows with one doc_id the first text in order stands for all.
+    rows = keep.join(ids, ["lang", "doc_id"], "left_semi").where(F.length("text") <= LONGEST).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     by_lang: dict[str, list] = {}
     for r in rows.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect():
         by_lang.setdefault(r.lang, []).append((len(r.text) > SHORT, r.h, r.text))
