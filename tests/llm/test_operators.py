@@ -97,6 +97,14 @@ def test_secret_fuzz(spark):
     assert got == {i: spans_of(brute_secrets(t), op1_secrets.KINDS) for i, t in enumerate(texts)}
 
 
+def test_secret_many(spark):
+    """More matches in one text than a run holds."""
+    text = "é token=abcdef0 " * (3 * op1_secrets.RUN + 7) + "secret: ab " + "password = ABCDEFGH\n" * 600
+    want = [(m.start(), 0, m.end()) for m in re.finditer(op1_secrets.ASSIGN, text) if len(m.group(2)) >= 6]
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(x) for x in rows.select(op1_secrets.findings(F.col("text")).alias("f")).first().f] == want
+
+
 def test_secret_stage(docs, spark):
     out = op1_secrets.stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == len(ROWS)
@@ -182,6 +190,22 @@ def test_personal_data_fuzz():
     assert {s[1] for s in added} >= {4, 5}
 
 
+def test_personal_data_sql():
+    """The equal SQL finds the same spans, added kinds included."""
+    import duckdb
+    import pandas as pd
+
+    bits = ["sftp://u@h.org/a", "https://a:b@c.de:80/x?y", "xhttp://q@r.s", "http://a@b/http://c@d", "ftp://e@f", "IBAN", "GB82 WEST 1234 5698 7654 32", "iban: DE89370400440532013000",
+            "GB00WEST12345698765432", "4111 1111 1111 1111", "10.0.0.255", "300.1.1.1", "+49 (30) 123-4567", "a.b@c-d.org", "é", " ", " ", ",", "\n", "\"", "9", "A"]
+    r, a = random.Random(3), op3_pii._automaton()
+    texts = ["".join(r.choices(bits, k=r.randint(0, 14))) for _ in range(3000)] + [None, ""]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)}))
+    got = dict(con.execute(f"SELECT doc_id, spans FROM ({op3_pii.ORACLE_SQL})").fetchall())
+    for i, t in enumerate(texts):
+        assert got[i] == ",".join(f"{op3_pii.KINDS[k]}:{s}:{e}" for s, k, e in op3_pii.find(t or "", a)), t
+
+
 def test_bpe(docs, nothing):
     from tokenizers import Tokenizer
 
