@@ -14,6 +14,9 @@
 Defined results: null or wordless texts have an empty set and stay alone; repeated rows each get a row of the same
 component; component_id is the smallest non-null doc_id, and rows without a doc_id are kept only if their class has none
 (component_id null); an empty table gives an empty result; further columns are ignored.
+
+The stage decides by row, not by doc_id: one row of each component stays, the one with the smallest doc_id (none last), so
+repeated rows, copies without a doc_id and different texts under one doc_id each get the right verdict.
 """
 
 from __future__ import annotations
@@ -210,9 +213,17 @@ def _links(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    rows = _components(docs.withColumn("path", F.xxhash64("doc_id", "text")), link)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _components(docs: DataFrame, link: int) -> DataFrame:
+    """A row per row of ``docs`` (doc_id, path, text): doc_id, path, n_shingles, node (null without words), root (a node that names
+    the component), component_id (its smallest doc_id)."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("path"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign, "doc_id long, path long, n_shingles long, node binary, sig binary"), "signatures")
     classes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("path").alias("path"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
@@ -265,10 +276,10 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     joined = comps.join(classes.select("node", "first_id"), "node")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.select("node", "first_id").join(comps, "node", "left").join(least, "root", "left")
-    named = named.select("node", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = named.select(
+        "node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return signed.select("doc_id", "path", "n_shingles", "node").join(named, "node", "left")
 
 
 def _full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -280,12 +291,20 @@ def _full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest doc_id; documents are linked from 80 percent
-    on, where a pair shares no band with probability 3e-6."""
-    found = near_duplicates(docs, STAGE_LINK)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    """Pipeline stage: one row of each component stays, the one with the smallest doc_id (none last, then the row key); documents
+    are linked from 80 percent on, where a pair shares no band with probability 3e-6.  Rows without words all stay."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    # Written once, so that a row has the same key wherever it is read.
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    rows = _components(keyed.select("doc_id", F.col(key).alias("path"), "text"), STAGE_LINK).where(F.col("node").isNotNull())
+    rows = materialise(rows.select("doc_id", "path", "root"), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "path"))["path"]
+    stays = rows.groupBy("root").agg(F.count("*").alias("n"), first.alias("stays")).where("n > 1")
+    dropped = rows.join(stays, "root").where(F.col("path") != F.col("stays")).select(F.col("path").alias(key))
     dropped = materialise(dropped, "dropped")
-    return docs.join(small_side(dropped), "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(small_side(dropped), key, "left_anti").select(*docs.columns)
 
 
 def op2_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

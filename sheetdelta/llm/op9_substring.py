@@ -9,28 +9,29 @@ places of the same document,
 - a run of clauses that are repeats, with shorter ones between them, goes if the repeats in it have at least 12 words.
 Removed spans are given as code points of the original text.
 
-Only (digest, doc_id) pairs are shuffled; texts move once, to meet the list of digests that others own.
+Only (digest, document) pairs are shuffled; texts move once, to meet the list of digests that others own.
 
 Defined results: a null text has no units and stays null; clauses under 3 words never count by themselves; rows with the
-same doc_id are versions of one document and do not remove passages from each other; a null doc_id ranks last; an empty
-table gives an empty result; further columns are ignored by ``repeated_units`` and kept by the stage.
+same doc_id are versions of one document and do not remove passages from each other; every row without a doc_id is a document
+of its own, ranked behind those with one by a row key; an empty table gives an empty result; further columns are ignored by ``repeated_units`` and kept by the stage.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import by_bytes
-from .common import prepare, table
+from .common import materialise, prepare, table
 from .shingles import _SPACE, _LOWER, _power_table, mix
 
 MIN_LINE, MIN_CLAUSE, MIN_RUN = 5, 3, 12
 CUT_MASK = np.uint64(15)
 CHUNK = 1 << 21
-LAST = (1 << 63) - 1
+#: A document: whether it lacks a doc_id, and its doc_id or else its row key.
+DOCUMENT = ["_late", "_rank"]
 
 
 class Units:
@@ -84,7 +85,8 @@ def _units(batches):
             t, x, y = np.concatenate(text), np.concatenate(h1), np.concatenate(h2)
             # A line of one clause has the digest of the clause; one row for each digest of a text.
             first = np.sort(_first_of_each(t, x, y))
-            yield pa.RecordBatch.from_arrays([part.column("rank").take(pa.array(t[first])), pa.array(x[first]), pa.array(y[first])], ["rank", "h1", "h2"])
+            of = pa.array(t[first])
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(of) for c in DOCUMENT], pa.array(x[first]), pa.array(y[first])], [*DOCUMENT, "h1", "h2"])
 
 
 def _first_of_each(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,26 +170,34 @@ def _clean(batches):
             )
 
 
-def _rank(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
+def _ranked(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of DOCUMENT.  Only rows without a doc_id are written, since their keys must not change."""
+    rank = F.col("doc_id").cast("long")
+    named = docs.where(rank.isNotNull()).withColumns({"_late": F.lit(False), "_rank": rank})
+    nameless = docs.where(rank.isNull()).withColumns({"_late": F.lit(True), "_rank": F.monotonically_increasing_id()})
+    return named.unionByName(materialise(nameless, "nameless"))
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """(rank, others): for every document with units that an earlier one owns, their digests."""
-    prepare(docs.sparkSession)
-    rows = docs.select(_rank(F.col("doc_id")).alias("rank"), F.col("text").cast("string").alias("text"))
-    units = rows.mapInArrow(_units, "rank long, h1 long, h2 long")
-    owners = units.groupBy("h1", "h2").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).where("owner < last").drop("last")
-    later = units.join(owners, ["h1", "h2"]).where(F.col("rank") > F.col("owner"))
-    return later.groupBy("rank").agg(F.collect_set(F.struct("h1", "h2")).alias("others"))
+def repeated_units(rows: DataFrame) -> DataFrame:
+    """(DOCUMENT, others): for every document of ``rows`` (DOCUMENT, text) with units that an earlier one owns, their digests."""
+    prepare(rows.sparkSession)
+    units = rows.select(*DOCUMENT, "text").mapInArrow(_units, "_late boolean, _rank long, h1 long, h2 long")
+    early, late = F.when(~F.col("_late"), F.col("_rank")), F.when(F.col("_late"), F.col("_rank"))
+    owners = units.groupBy("h1", "h2").agg(F.min(early).alias("owner"), F.max(early).alias("last"), F.min(late).alias("late_owner"), F.max(late).alias("late_last"))
+    # A document with a doc_id owns a unit before any without one.
+    owners = owners.where("owner < last or late_owner < late_last or owner is not null and late_owner is not null").drop("last", "late_last")
+    behind = F.when(F.col("_late"), F.col("owner").isNotNull() | (F.col("_rank") > F.col("late_owner"))).otherwise(F.col("_rank") > F.col("owner"))
+    later = units.join(owners, ["h1", "h2"]).where(behind)
+    return later.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("h1", "h2")).alias("others"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, then text (without the repeats), removed ("start:end,..." of the original) and
     removed_chars."""
-    found = repeated_units(docs).select(F.col("rank").alias("_rank"), F.col("others").alias("_others"))
-    rows = docs.select(_rank(F.col("doc_id")).alias("_rank"), *keep, F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, "_rank", "left").select(*keep, "text", "_others")
+    ranked = _ranked(docs.select("doc_id", *[c for c in keep if c != "doc_id"], F.col("text").cast("string").alias("text")))
+    found = repeated_units(ranked).withColumnRenamed("others", "_others")
+    rows = ranked.select(*DOCUMENT, *keep, "text")
+    joined = rows.join(found, DOCUMENT, "left").select(*keep, "text", "_others")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     return joined.mapInArrow(_clean, f"{schema}, text string, removed string, removed_chars long")
 

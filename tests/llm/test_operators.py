@@ -161,6 +161,17 @@ def test_near_duplicates_groups(spark):
         assert got == brute_components(rows, link)
 
 
+def test_near_duplicates_stage_by_row(spark):
+    lone, other = words(80, 31), words(80, 32)
+    near = lone.split()
+    near[40] = "changed"
+    rows = [(None, lone), (None, lone), (None, " ".join(near)), (5, other), (5, other), (7, COPY), (9, COPY), (9, PASSAGE), (None, COPY), (None, None), (3, "")]
+    out = op2_near_dup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    # One of the copies without any id, one of the repeated rows, the smallest id of the copies, and the other text of document 9.
+    assert len([r for r in out if r.doc_id is None and r.text is not None]) == 1
+    assert Counter((r.doc_id, r.text) for r in out if r.doc_id is not None or r.text is None) == Counter([(5, other), (7, COPY), (9, PASSAGE), (None, None), (3, "")])
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
@@ -355,6 +366,15 @@ def test_repeats(docs, nothing, spark):
     assert op9_substring.stage(spark, docs, "").columns == docs.columns
 
 
+def test_repeats_without_id(spark):
+    own, held = words(60, 41), words(60, 42)
+    rows = [(None, words(30, 43) + "\n" + own), (None, words(30, 44) + "\n" + own), (None, words(30, 45) + "\n" + own), (None, held), ((1 << 63) - 1, held)]
+    out = op9_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"]).collect()
+    assert sum(own in r.text for r in out) == 1
+    assert [r.doc_id for r in out if held in r.text] == [(1 << 63) - 1]
+    assert len(out) == 5 and sum(r.removed != "" for r in out) == 3
+
+
 def test_warc(spark):
     rows = [
         (1, 1, "http://A.org:80/x/index.html?b=2&a=1#f", 10, "response", '"v1"', 5, {"server": "s", "date": "d0", "content-type": "t"}),
