@@ -6,6 +6,9 @@ and joins findings back to every path (row) that holds the blob.
 
 Defined results: a null text counts as empty and has no findings; repeated rows each get a row, since findings are joined
 by content; null ``doc_id`` passes through; an empty table gives an empty result; further columns of the input are ignored.
+
+The query reports a private key by its first line, as the equal SQL does.  The stage masks the whole key: through the matching
+END line or, where that is missing, the base64 text behind the first line.
 """
 
 from __future__ import annotations
@@ -25,7 +28,15 @@ KEYWORD = r"(?i)password|passwd|secret|token|api_?key"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-RULE_VERSION = "rules-1"
+_BREAK = r"(?:\r?\n|(?:\\r)?\\n)"
+_BASE64 = r"[A-Za-z0-9+/=]"
+#: From the first line of a key through its END line; else over the header fields, long base64 words and base64 lines behind it.
+#: Line breaks may be escaped, as in JSON.  Possessive loops keep the search linear.
+WHOLE_KEY = (
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:(?:(?!-----BEGIN |-----END )[\s\S])*+-----END \1PRIVATE KEY-----"
+    rf"|(?:(?:\s|\\[rnt])++(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|{_BASE64}{{20,}}+)|{_BREAK}[\x20\t]*+{_BASE64}++(?=[\x20\t]*+(?:{_BREAK}|\z)))*+)"
+)
+RULE_VERSION, STAGE_VERSION = "rules-1", "rules-1-whole-keys"
 FINDING = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -72,17 +83,19 @@ def _spans(text: Column, pattern: str, ordinal: int, min_group: tuple[int, int]
     )
 
 
-def findings(text: Column) -> Column:
+def findings(text: Column, pem: str = PEM) -> Column:
     """All findings of one text.  A cheap search decides whether a kind's places need to be worked out at all."""
     return F.concat(
         F.when(text.rlike(KEYWORD), _spans(text, ASSIGN, 0, (2, 6))).otherwise(no_finding()),
         F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(no_finding()),
         F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(no_finding()),
-        F.when(text.contains("PRIVATE KEY-----"), _spans(text, PEM, 3)).otherwise(no_finding()),
+        F.when(text.contains("PRIVATE KEY-----"), _spans(text, pem, 3)).otherwise(no_finding()),
     )
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(
+    docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, key: list[str] | None = None, pem: str = PEM
+) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows).  findings: ``blob`` and ``found`` of every blob of ``docs`` that has a finding, now or in the
     ledger; new ledger rows: blob, version, found of each blob scanned now.
 
@@ -97,7 +110,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     # The same join at every size: texts meet the unseen blobs by key, and the hash side holds keys only.
     blobs = named.join(unseen.hint("shuffle_hash"), ["blob", "path"], "left_semi")
     # The generator keeps the filter on findings, and with it the scan, behind the join: blobs of the ledger are not scanned.
-    fresh = blobs.select("blob", F.explode(F.array(findings(F.col("body")))).alias("found")).where(F.size("found") > 0)
+    fresh = blobs.select("blob", F.explode(F.array(findings(F.col("body"), pem))).alias("found")).where(F.size("found") > 0)
     # Repeated rows (same key, same text) pass the semi-join together; their findings are the same.
     fresh = fresh.dropDuplicates(["blob"])
     fresh = materialise(fresh, "secret-findings")
@@ -145,8 +158,8 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their secrets masked; n_chars follows the text.  Every row stays."""
-    known, _ = scan(docs)
+    """Pipeline stage: the documents with their secrets masked, private keys whole; n_chars follows the text.  Every row stays."""
+    known, _ = scan(docs, version=STAGE_VERSION, pem=WHOLE_KEY)
     rows = join_paths(docs, known).withColumn("_masked", redact(F.col("text"), F.col("_found")))
     n_chars = F.when(F.size("_found") > 0, F.char_length("_masked").cast("long")).otherwise(F.col("n_chars"))
     new = {"text": F.col("_masked"), "n_chars": n_chars}
