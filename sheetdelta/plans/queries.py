@@ -266,14 +266,24 @@ def match_attribute(spark, sf_dir):
 
 @query
 def match_greedy(spark, sf_dir):
-    """Greedy pairs among texts and texts 20 apart or less, where each has several partners."""
-    e = written(_entities(spark, sf_dir).where("comparison_id = 0 and kind = 'linework'"))
-    a = e.where("revision = 'old'").select("comparison_id", F.col("entity_id").alias("old_id"), "x0", "y0")
-    b = e.where("revision = 'new'").select("comparison_id", F.col("entity_id").alias("new_id"), F.col("x0").alias("u"), F.col("y0").alias("v"))
+    """Greedy pairs of the linework of sheet 0, 60 apart or less, where each has several partners: the part that its SQL covers."""
+    return _greedy_pairs(_entities(spark, sf_dir).where("comparison_id = 0 and kind = 'linework'"))
+
+
+@query
+def match_greedy_all(spark, sf_dir):
+    """Greedy pairs of one kind, 60 apart or less, on every sheet."""
+    return _greedy_pairs(_entities(spark, sf_dir))
+
+
+def _greedy_pairs(entities):
+    e = written(entities)
+    a = e.where("revision = 'old'").select("comparison_id", "kind", F.col("entity_id").alias("old_id"), "x0", "y0")
+    b = e.where("revision = 'new'").select("comparison_id", "kind", F.col("entity_id").alias("new_id"), F.col("x0").alias("u"), F.col("y0").alias("v"))
     cell = lambda c: F.floor(F.col(c) / 60)
     a = a.withColumn("_x", F.explode(F.sequence(cell("x0") - 1, cell("x0") + 1))).withColumn("_y", F.explode(F.sequence(cell("y0") - 1, cell("y0") + 1)))
     dx, dy = F.col("u") - F.col("x0"), F.col("v") - F.col("y0")
-    pairs = a.join(b.withColumns({"_x": cell("u"), "_y": cell("v")}), ["comparison_id", "_x", "_y"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where("distance <= 60")
+    pairs = a.join(b.withColumns({"_x": cell("u"), "_y": cell("v")}), ["comparison_id", "kind", "_x", "_y"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where("distance <= 60")
     return greedy_one_to_one(pairs).select("comparison_id", "old_id", "new_id", _r("distance").alias("distance"))
 
 
@@ -290,8 +300,18 @@ def unmatched_entities(spark, sf_dir):
 
 @query
 def label_alignment(spark, sf_dir):
-    """Records at the centres of the old entities, two points off, back to their entities."""
-    e = written(_entities(spark, sf_dir).where("revision = 'old' and comparison_id < 2"))
+    """Records at the centres of the old entities, two points off, back to their entities: the two sheets that its SQL covers."""
+    return _aligned(_entities(spark, sf_dir).where("revision = 'old' and comparison_id < 2"))
+
+
+@query
+def label_alignment_all(spark, sf_dir):
+    """The same on every sheet."""
+    return _aligned(_entities(spark, sf_dir).where("revision = 'old'"))
+
+
+def _aligned(entities):
+    e = written(entities)
     records = e.select("comparison_id", "kind", F.col("ordinal").alias("record_id"), ((F.col("x0") + F.col("x1")) / 2 + 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     return ft.align_records(e, records, F.lit(1031.0)).select("comparison_id", F.col("old_id").alias("entity_id"), F.col("new_id").alias("record_id"), _r("distance").alias("distance"))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetdelta.functions.geometry import location_bin
+from sheetdelta.functions.identity import with_identity
 from sheetdelta.functions.text import capitalised, collapsed, colour_hex, parse_dimension, signed
 from sheetdelta.operators.assign import best_total, greedy_one_to_one
 from sheetdelta.operators.delta import violations
@@ -16,7 +17,7 @@ from sheetdelta.operators.jobs import expired
 from sheetdelta.operators.match import similarity_histogram
 from sheetdelta.operators.register import least_squares, seeded_ransac
 from sheetdelta.operators.report import canonical_reports, severity_label, summary_lines, summary_table, union_area
-from sheetdelta.plans import fixtures
+from sheetdelta.plans import fixtures, queries
 from sheetdelta.plans.compare import compare
 from sheetdelta.schema import ENTITY, SHEET
 
@@ -187,6 +188,29 @@ def test_expiry(spark):
     assert {r.job_id for r in expired(jobs, F.lit("2024-02-01 10:00:00").cast("timestamp")).collect()} == {1, 4}
 
 
+def greedy(pairs):
+    """The pairs (comparison, distance, old, new) that one pass in order takes."""
+    out, olds, news = set(), set(), set()
+    for c, d, a, b in sorted(pairs):
+        if (c, a) not in olds and (c, b) not in news:
+            olds.add((c, a))
+            news.add((c, b))
+            out.add((c, a, b, round(d, 6)))
+    return out
+
+
+def test_greedy_on_every_sheet_and_kind(spark, data):
+    e = with_identity(fixtures.entities(spark, data)).collect()
+    old, new = ([r for r in e if r.revision == v] for v in ("old", "new"))
+    near = [(a.comparison_id, float(np.sqrt((b.x0 - a.x0) ** 2 + (b.y0 - a.y0) ** 2)), a.entity_id, b.entity_id) for a in old for b in new if (a.comparison_id, a.kind) == (b.comparison_id, b.kind)]
+    got = {(r.comparison_id, r.old_id, r.new_id, r.distance) for r in queries.match_greedy_all(spark, data).collect()}
+    assert got == greedy(p for p in near if p[1] <= 60) and {c for c, *_ in got} == set(range(7))
+    at = [(r, (r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2) for r in old]
+    near = [(a.comparison_id, float(np.sqrt((u + 2 - x) ** 2 + (v - y) ** 2)), a.entity_id, b.ordinal) for a, x, y in at for b, u, v in at if (a.comparison_id, a.kind) == (b.comparison_id, b.kind)]
+    got = {(r.comparison_id, r.entity_id, r.record_id, r.distance) for r in queries.label_alignment_all(spark, data).collect()}
+    assert got == greedy(p for p in near if p[1] <= 20.62) and {c for c, *_ in got} == set(range(7))
+
+
 def test_fixture_rules(spark, data):
     e = fixtures.entities(spark, data)
     assert e.where("revision = 'old'").count() == spark.read.parquet(f"{data}/part.parquet").count()
