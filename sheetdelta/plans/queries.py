@@ -221,9 +221,23 @@ def _anchors(spark, sf_dir):
     return written(register.text_anchors(_entities(spark, sf_dir)).where("comparison_id <> 3"))
 
 
+def _all_anchors(spark, sf_dir):
+    return written(register.text_anchors(_entities(spark, sf_dir)))
+
+
 @query
 def fit_similarity_ls(spark, sf_dir):
-    f = register.least_squares(_anchors(spark, sf_dir), ["comparison_id"])
+    """Without sheet 3, as in its SQL."""
+    return _fit(_anchors(spark, sf_dir))
+
+
+@query
+def fit_similarity_ls_all(spark, sf_dir):
+    return _fit(_all_anchors(spark, sf_dir))
+
+
+def _fit(anchors):
+    f = register.least_squares(anchors, ["comparison_id"])
     return f.select("comparison_id", "n", *[_r(F.col(c), 4).alias(c) for c in ("scale", "rotation", "tx", "ty")])
 
 
@@ -236,15 +250,31 @@ def registration_quality(spark, sf_dir):
 
 @query
 def consensus_all_pairs(spark, sf_dir):
-    """Every tenth anchor of each sheet, all hypotheses."""
+    """Every tenth anchor of each sheet but sheet 3, all hypotheses: the part that its SQL covers."""
     order = Window.partitionBy("comparison_id").orderBy("key")
     p = written(_anchors(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n % 10 = 1").drop("n"))
-    return register.consensus_all_pairs(p, fixtures.sheets(spark)).select("comparison_id", F.col("i").cast("long").alias("i"), F.col("i2").cast("long").alias("i2"), F.col("inliers").cast("long").alias("inliers"))
+    return _consensus(p, fixtures.sheets(spark))
+
+
+@query
+def consensus_all_anchors(spark, sf_dir):
+    """All hypotheses over all anchors.  Each sheet is read as many small ones, 40 parts to each, so that every anchor is in
+    exactly one and the work follows the table."""
+    small = F.col("comparison_id") + 7 * F.floor(F.col("ordinal") / 2 / (7 * 40))
+    e = written(_entities(spark, sf_dir).withColumns({"sheet": F.col("comparison_id"), "comparison_id": small.cast("int")}))
+    sheets = fixtures.sheets(spark).withColumnRenamed("comparison_id", "sheet")
+    sheets = e.select("comparison_id", "sheet").distinct().join(sheets, "sheet").drop("sheet")
+    return _consensus(written(register.text_anchors(e)), sheets)
+
+
+def _consensus(anchors, sheets):
+    c = register.consensus_all_pairs(anchors, sheets)
+    return c.select("comparison_id", F.col("i").cast("long").alias("i"), F.col("i2").cast("long").alias("i2"), F.col("inliers").cast("long").alias("inliers"))
 
 
 @query
 def seeded_ransac(spark, sf_dir):
-    f = register.seeded_ransac(_anchors(spark, sf_dir), fixtures.sheets(spark))
+    f = register.seeded_ransac(_all_anchors(spark, sf_dir), fixtures.sheets(spark))
     return f.select("comparison_id", "n", *[_r(F.col(c), 6).alias(c) for c in ("scale", "rotation", "tx", "ty")])
 
 

@@ -15,7 +15,7 @@ from sheetdelta.operators.delta import violations
 from sheetdelta.operators.graph import knn
 from sheetdelta.operators.jobs import expired
 from sheetdelta.operators.match import similarity_histogram
-from sheetdelta.operators.register import least_squares, seeded_ransac
+from sheetdelta.operators.register import least_squares, seeded_ransac, text_anchors
 from sheetdelta.operators.report import canonical_reports, severity_label, summary_lines, summary_table, union_area
 from sheetdelta.plans import fixtures, queries
 from sheetdelta.plans.compare import compare
@@ -211,6 +211,28 @@ def test_greedy_on_every_sheet_and_kind(spark, data):
     assert got == greedy(p for p in near if p[1] <= 20.62) and {c for c, *_ in got} == set(range(7))
 
 
+def test_consensus_uses_every_anchor(spark, data):
+    anchors, sheets = text_anchors(with_identity(fixtures.entities(spark, data))).collect(), {s.comparison_id: s for s in fixtures.sheets(spark).collect()}
+    groups = {}
+    for r in anchors:
+        k = int("".join(ch for ch in r.key.split(" ")[0] if ch.isdigit()))
+        groups.setdefault(r.comparison_id + 7 * (k // 280), []).append(r)
+    want = set()
+    for c, rows in groups.items():
+        rows.sort(key=lambda r: r.key)
+        o, n = np.array([complex(r.ox, r.oy) for r in rows]), np.array([complex(r.nx, r.ny) for r in rows])
+        tol, best = 0.005 * abs(complex(sheets[c % 7].new_width, sheets[c % 7].new_height)), None
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            a = (n[j] - n[i]) / (o[j] - o[i]) if o[i] != o[j] else 0
+            if 0.2 <= abs(a) <= 5:
+                count = int((abs(a * o + (n[i] - a * o[i]) - n) <= tol).sum())
+                best = max(best or (0,), (count, -i - 1, -j - 1))
+        want.add((c, -best[1], -best[2], best[0]))
+    assert {tuple(r) for r in queries.consensus_all_anchors(spark, data).collect()} == want and {c % 7 for c, *_ in want} == set(range(7))
+    assert {r.comparison_id for r in queries.seeded_ransac(spark, data).collect()} == set(range(7))
+    assert {r.comparison_id for r in queries.fit_similarity_ls_all(spark, data).collect()} == set(range(7))
+
+
 def test_fixture_rules(spark, data):
     e = fixtures.entities(spark, data)
     assert e.where("revision = 'old'").count() == spark.read.parquet(f"{data}/part.parquet").count()
