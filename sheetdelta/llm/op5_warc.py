@@ -1,19 +1,22 @@
 """Not-modified revisits of web captures, resolved by an as-of join, in DataFrame functions only.
 
-A revisit record says that a page had not changed, and carries no body.  It is resolved to the latest earlier full response
-of the same canonical URL whose validator it names: if both sides have an entity tag they must agree (weak tags by their
-value), else if both have a modification date they must be equal; a revisit without a validator is taken at its word.
+A revisit record says that a page had not changed, and carries no body.  The latest earlier full response of the same
+canonical URL is its candidate, and validators are then checked: if both sides have an entity tag they must agree (weak tags by
+their value), else if both have a modification date they must be equal; a revisit without a validator is taken at its word.
 Headers come from the full response; those that a not-modified response may update (FRESH) come from the revisit if it has them.
 
-The join runs in two levels: records are ordered within (URL, day) buckets, and what a bucket passes on is ordered within
-the URL, so a URL with very many captures is spread over its days.  Bodies never move: records name the page that holds one.
+The join runs in two levels: records are dealt to ranges of (URL, time) of about one size and ordered within them, and what a
+range passes on is ordered within the URL.  So a URL with very many captures, even of one second, is spread over ranges.  Bodies
+never move: records name the page that holds one.
 
 Captures are derived from ``pages`` (CAPTURES gives the rule as SQL): every page is fetched once; and, at later hours given by
 its id, again, some of these being revisits with a matching or a stale validator.
 
-Defined results: a null url has a null canonical URL and resolves to nothing; a revisit before any response, or whose
-validator does not match, has a null target and status ``unresolved``; ties in time go to the larger record id; repeated
-rows each get a row; an empty table gives an empty result; further columns are ignored.
+Defined results: a null url has a null canonical URL and resolves to nothing, like a null ts; a revisit before any response, or
+whose validator does not match, has a null target and status ``unresolved``; a kind other than revisit, null included, keeps its
+headers; where one side has no headers (null) a resolved revisit has those of the other; a response of the same second counts as
+earlier, and ties among responses go to the larger record id; repeated rows each get a row; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Headers that a not-modified response may update, and query parameters without meaning.
 FRESH = ["cache-control", "date", "expires", "vary"]
@@ -49,30 +52,34 @@ def resolve(records: DataFrame) -> DataFrame:
     """``records``: record_id, page_id, url, ts (seconds), kind (response or revisit), etag, modified, headers (map).
     A row per record: record_id, page_id, canonical, ts, kind, status, target_id, target_page, headers (map)."""
     r = records.select("record_id", "page_id", canonical_url(F.col("url")).alias("canonical"), "ts", "kind", "etag", "modified", "headers")
-    r = r.withColumn("_day", F.floor(F.col("ts") / 86400))
-    full = (F.col("kind") == "response") & F.col("canonical").isNotNull()
-    r = r.withColumn("_full", F.when(full, F.struct("ts", "record_id", "page_id", "etag", "modified", "headers")))
-    # What the days before a day leave: one row per URL and day.
-    days = r.where(full).groupBy("canonical", "_day").agg(F.max(F.struct("ts", "record_id")).alias("top"))
-    last = r.where(full).select("canonical", "_day", "ts", "record_id", "_full").join(
-        days.select("canonical", "_day", F.col("top.ts").alias("ts"), F.col("top.record_id").alias("record_id")), ["canonical", "_day", "ts", "record_id"], "left_semi"
-    ).select("canonical", "_day", F.col("_full").alias("_last"))
-    here = r.select("canonical", "_day").distinct().join(last, ["canonical", "_day"], "left")
-    by_url = Window.partitionBy("canonical").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    before = here.withColumn("_before", F.last("_last", ignorenulls=True).over(by_url)).select("canonical", "_day", "_before")
-    in_day = Window.partitionBy("canonical", "_day").orderBy("ts", F.when(full, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_same_day", F.when(F.col("canonical").isNotNull(), F.last("_full", ignorenulls=True).over(in_day)))
-    r = r.join(before, ["canonical", "_day"], "left").withColumn("_t", F.coalesce("_same_day", "_before"))
+    r = r.withColumn("_late", F.when(F.col("kind") == "response", 0).otherwise(1))
+    # Records without a URL or time have no target and take no part in the join.
+    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    # Ranges of (URL, time) are of one size whatever the number of captures of a URL; the written table fixes their numbers.
+    dealt = r.where(placed).repartitionByRange("canonical", "ts", "_late", "record_id").withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt, "captures")
+    full = F.when(F.col("_late") == 0, F.struct("ts", "record_id", "page_id", "etag", "modified", "headers"))
+    # What the ranges before a range leave of its URL: one row per URL and range.
+    latest = dealt.groupBy("_range", "canonical").agg(F.max_by(full, F.when(F.col("_late") == 0, F.struct("ts", "record_id"))).alias("_latest"))
+    by_url = Window.partitionBy("canonical").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = latest.withColumn("_before", F.last("_latest", ignorenulls=True).over(by_url)).where(F.col("_before").isNotNull()).select("_range", "canonical", "_before")
+    inside = Window.partitionBy("_range", "canonical").orderBy("ts", "_late", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.withColumn("_here", F.last(full, ignorenulls=True).over(inside)).join(before, ["_range", "canonical"], "left")
+    columns = [c for c in r.columns if c != "_late"]
+    t = F.coalesce("_here", "_before")
+    r = joined.select(*columns, t.alias("_t")).unionByName(r.where(~placed).select(*columns), allowMissingColumns=True)
     t = F.col("_t")
     agrees = (
         F.when(F.col("etag").isNotNull() & t["etag"].isNotNull(), _etag(F.col("etag")) == _etag(t["etag"]))
         .when(F.col("modified").isNotNull() & t["modified"].isNotNull(), F.col("modified") == t["modified"])
         .otherwise(F.lit(True))
     )
-    revisit = F.col("kind") == "revisit"
+    revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
     found = revisit & t.isNotNull() & agrees
     fresh = F.map_filter("headers", lambda k, v: k.isin(FRESH))
-    merged = F.map_concat(F.map_filter(t["headers"], lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
+    kept = F.map_filter(t["headers"], lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    # Without headers on one side those of the other stand.
+    merged = F.when(t["headers"].isNull(), fresh).when(F.col("headers").isNull(), t["headers"]).otherwise(F.map_concat(kept, fresh))
     return r.select(
         "record_id",
         "page_id",
@@ -94,15 +101,14 @@ SELECT page_id * 4 + k AS record_id, page_id, url,
   CASE WHEN page_id % 7 = 0 THEN NULL WHEN k = 2 AND page_id % 11 = 0 THEN concat('"stale', page_id, '"')
        WHEN k = 1 AND page_id % 2 = 0 THEN concat('W/"v', page_id, '"') ELSE concat('"v', page_id, '"') END AS etag,
   CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 1000 END AS modified
-FROM pages CROSS JOIN fetches WHERE k = 0 OR page_id % (k + 1) = 0
+FROM fetched WHERE k = 0 OR page_id % (k + 1) = 0
 """
 
 
 def captures(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """The capture records of ``pages``."""
-    rows = spark.sql(
-        f"WITH pages AS (SELECT page_id, url FROM {{pages}}), fetches AS (SELECT explode(sequence(0, 3)) AS k) {CAPTURES}", pages=pages.select("page_id", "url")
-    )
+    fetched = pages.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    rows = spark.sql(CAPTURES.replace("fetched", "{fetched}"), fetched=fetched)
     date = F.concat(F.lit("t"), F.col("ts").cast("string"))
     header = F.when(
         F.col("kind") == "response",
@@ -118,7 +124,7 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH fetches AS (SELECT unnest([0, 1, 2, 3]) AS k), c AS ({CAPTURES}),
+WITH fetched AS (SELECT page_id, url, unnest([0, 1, 2, 3]) AS k FROM pages), c AS ({CAPTURES}),
 u AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u0 FROM c),
 h AS (SELECT *, regexp_extract(u0, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS h0 FROM u),
 p AS (SELECT *, substr(u0, length(h0) + 1) AS tail,

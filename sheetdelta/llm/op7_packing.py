@@ -1,14 +1,17 @@
 """Packing documents into fixed-length sequences by vector bin packing.
 
-A document becomes its token ids and an end id.  It is cut at multiples of the sequence length; whole sequences need no
-packing.  The rest are items with three demands: tokens, one segment, and loss-bearing tokens (the first token of a segment
-has no context, so it bears none).  Bins open one at a time; each takes, again and again, the item that fits and has the
+A document becomes its token ids and an end id.  It is cut at multiples of the longest piece; such pieces need no packing.  The
+rest are items with three demands: tokens, one segment, and loss-bearing tokens (the first token of a segment
+has no context, so it bears none).  Loss-bearing tokens have a lower limit than tokens, so that sequences of one long piece do
+not weigh more in training than those of many: one of few segments is full before it has LENGTH tokens, and documents are cut
+so that a piece by itself keeps both limits.  Bins open one at a time; each takes, again and again, the item that fits and has the
 largest dot product of its demands with what the bin has left, both as shares of the limits and weighted by the mean demand.
 Items are dealt to shards of bounded size, so that no task holds an unbounded group; each shard packs its own.
 
 Defined results: a null text counts as empty and gives the single end id; repeated rows are packed each; null ``doc_id``
 passes through; an empty table gives an empty result; further columns are ignored.  An item over a limit by itself (only
-possible in the general interface) gets a sequence of its own; nothing is dropped.
+possible in the general interface) gets a sequence of its own; nothing is dropped.  Texts with very long runs of white space
+or of one letter have the same ids as any other encoder of the file gives.
 """
 
 from __future__ import annotations
@@ -20,16 +23,20 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, byte_symbols
+from .bpe import PATTERN, BytePairCodec, byte_symbols
 from .common import materialise, prepare, table
 
-LENGTH, SEGMENTS, END_ID = 1024, 64, 0
-SHARD = 20_000
+LENGTH, SEGMENTS, LOSS, END_ID = 1024, 64, 1016, 0
+SHARD, MAX_TASKS = 20_000, 10_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+#: The faster encoder searches white space by backtracking, whose depth is bounded; longer runs go to the one of operator 4.
+BLANK_RUN = 8_192
+_blank_run = regex.compile(rf"\s{{{BLANK_RUN}}}")
 _encoders: dict = {}
 
 
@@ -50,7 +57,16 @@ def encoder(path: str):
             ranks = {bytes(symbols[c] for c in t): i for t, i in vocab.items() if t not in special}
             e = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
             marks = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-            _encoders[path] = lambda t: e.encode(t, allowed_special="all") if marks.search(t) else e.encode_ordinary(t)
+            careful: list[BytePairCodec] = []
+
+            def encode(t: str) -> list[int]:
+                if len(t) >= BLANK_RUN and _blank_run.search(t):
+                    if not careful:
+                        careful.append(BytePairCodec(path))
+                    return careful[0].encode(t)
+                return e.encode(t, allowed_special="all") if marks.search(t) else e.encode_ordinary(t)
+
+            _encoders[path] = encode
         else:
             from tokenizers import Tokenizer
 
@@ -141,23 +157,26 @@ def _pack_shard(limits: tuple[int, int, int]):
     return run
 
 
-def pack(items: DataFrame, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH)) -> DataFrame:
+def pack(items: DataFrame, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LOSS)) -> DataFrame:
     """``items`` (item, tokens, loss; item unique, the table materialised) with sequence_id and offset under limits on
     tokens, segments and loss-bearing tokens."""
     prepare(items.sparkSession)
     shards = max(1, -(-items.count() // SHARD))
     dealt = items.select("item", "tokens", F.lit(1).cast("long").alias("segments"), "loss", F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(limits), "item long, sequence_id long, offset long")
+    # A task for each shard, as far as shards are not many more than the tasks of any other shuffle here.
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, MAX_TASKS))
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInPandas(_pack_shard(limits), "item long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    # The written table fixes the pieces, so their numbers stay the same when a task runs again.
-    cut = materialise(pieces(docs, path, length), "pieces")
-    cut = materialise(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    whole = cut.where(F.col("length") == length)
-    rest = cut.where(F.col("length") < length)
-    placed = pack(rest.select("item", F.col("length").alias("tokens"), (F.col("length") - 1).alias("loss")), (length, segments, length))
+    longest = min(length, loss + 1)
+    # The written table fixes the numbers of the pieces.
+    cut = materialise(pieces(docs, path, longest).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    # Only segments without loss fit beside a piece of full length; a sequence of its own loses length - longest tokens at most.
+    whole = cut.where(F.col("length") == longest)
+    rest = cut.where(F.col("length") < longest)
+    placed = pack(rest.select("item", F.col("length").alias("tokens"), (F.col("length") - 1).alias("loss")), (length, segments, loss))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return whole.select(*out[:5], F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).union(rest.join(placed, "item").select(*out))
 

@@ -2,13 +2,16 @@
 
 A bounded sample of labelled text per language is indexed by a suffix automaton.  A text is parsed against each language:
 the longest prefix that occurs in the sample is a phrase, and parsing goes on behind it.  Few, long phrases mean low cross
-entropy; the language with the fewest phrases, times the bits that name a place in its sample, wins.
+entropy; the language with the fewest phrases, times the bits that name a place in its sample, wins.  A letter that the sample
+lacks is a phrase by itself.
 
 Texts are parsed in segments of 512 characters, so that numpy steps through many segments of a batch at once; every
 character of a text is used.  Letters count in lower case and anything else is a blank.
 
 Sample: rows with text and lang whose crc32(doc_id) mod 4 is not 2; of each language, one row for each of 64 hash values of
-doc_id, whole texts of at most 3,000 characters first and none over 20,000, until there are 12,000 characters (SAMPLE_CHARS).
+doc_id, texts of at most 3,000 characters first, until there are 12,000 characters (SAMPLE_CHARS; less where there are over
+SAMPLE_TOTAL / SAMPLE_CHARS languages, so that the sample as a whole is bounded).  A sampled text counts by its first 20,000
+characters (LONGEST).  Up to MAX_LANGS languages are learned, those with most rows.
 
 Defined results: lang_pred is ``und`` (score 0) if the text is null or has no letter, or nothing could be learned; ties go
 to the language first in order; repeated rows each get a row; held_out is false for a null ``doc_id``; an empty table gives
@@ -19,13 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import by_bytes
-from .common import prepare, table
+from .common import materialise, prepare, table
 
 SAMPLE_CHARS, SAMPLE_ROWS, SHORT, LONGEST = 12_000, 64, 3_000, 20_000
+SAMPLE_TOTAL, MAX_LANGS = 1_200_000, 500
 SEGMENT = 512
 CHUNK = 4 << 20
 UNKNOWN = "und"
@@ -72,7 +76,7 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
 
 
 class CrossParser:
-    """Phrase counts of texts against every sample.  A table entry holds the next state, and whether a phrase ended before it."""
+    """Phrase counts of texts against every sample.  A table entry holds the next state, and whether a phrase starts with the symbol."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in samples]
@@ -89,6 +93,8 @@ class CrossParser:
             miss = step < 0
             fresh = np.where(step[0] < 0, 0, step[0])
             step = np.where(miss, fresh[None, :], step)
+            # The root is left at the start of a text and behind a letter of no sample: a phrase starts there, too.
+            miss[0] = True
             code = ((step + at) * self.size) << 1 | miss
             code[:, 0] = ((np.arange(len(step)) + at) * self.size) << 1
             parts.append(code.ravel())
@@ -136,15 +142,15 @@ class CrossParser:
         start, length, owner = start[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(SEGMENT), "left")
         state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], total, 1)
-        ended = np.ones((langs, total), np.int32)
+        begun = np.zeros((langs, total), np.int32)
         for t in range(int(length[0])):
             k = int(active[t])
             sym = flat[start[:k] + t].astype(self.table.dtype)
             code = self.table[state[:, :k] + sym]
-            ended[:, :k] += code & 1
+            begun[:, :k] += code & 1
             state[:, :k] = code >> 1
         for j in range(langs):
-            out[:, j] = np.bincount(owner, weights=ended[j], minlength=n).astype(np.int64)
+            out[:, j] = np.bincount(owner, weights=begun[j], minlength=n).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -192,26 +198,27 @@ def _apply(samples: list[tuple[str, str]]):
     return run
 
 
-def learn(docs: DataFrame) -> list[tuple[str, str]]:
-    """[(language, sample text)] in order: at most SAMPLE_ROWS texts of each language come to the driver, in two scans."""
+def learn(docs: DataFrame, most: int = MAX_LANGS) -> list[tuple[str, str]]:
+    """[(language, sample text)] in order.  At most SAMPLE_TOTAL characters, and one more text of each language, come to the driver."""
     keep = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
-    ranked = keep.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    chosen = ranked.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("part")).agg(F.min(F.struct("h", "doc_id"))["doc_id"].alias("doc_id"))
-    ids = F.broadcast(chosen.select("lang", "doc_id"))  # SAMPLE_ROWS rows a language
+    keep = keep.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    part = F.pmod("h", F.lit(SAMPLE_ROWS)).alias("part")
+    chosen = keep.groupBy("lang", part).agg(F.min(F.struct("h", "doc_id"))["doc_id"].alias("doc_id"), F.count("*").alias("n"))
+    chosen = materialise(chosen, "sample")
+    langs = [r.lang for r in chosen.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
+    if not langs:
+        return []
+    ids = F.broadcast(chosen.where(F.col("lang").isin(langs)).select("lang", "doc_id"))  # at most SAMPLE_ROWS * MAX_LANGS rows
     # Of rows with one doc_id the first text in order stands for all.
-    rows = keep.join(ids, ["lang", "doc_id"], "left_semi").where(F.length("text") <= LONGEST).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    text = F.substring("text", 1, LONGEST)
+    rows = keep.join(ids, ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id", "h").agg(F.min(text).alias("text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.length("text") > SHORT, "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    share = min(SAMPLE_CHARS, SAMPLE_TOTAL // len(langs))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < share)
     by_lang: dict[str, list] = {}
-    for r in rows.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect():
-        by_lang.setdefault(r.lang, []).append((len(r.text) > SHORT, r.h, r.text))
-    out = []
-    for lang in sorted(by_lang):
-        text, n = [], 0
-        for _, _, t in sorted(by_lang[lang]):
-            if n < SAMPLE_CHARS:
-                text.append(t)
-                n += len(t)
-        out.append((lang, "\n".join(text)))
-    return out
+    for r in rows.select("lang", "before", "text").collect():
+        by_lang.setdefault(r.lang, []).append((r.before, r.text))
+    return [(lang, "\n".join(t for _, t in sorted(by_lang[lang]))) for lang in sorted(by_lang)]
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
