@@ -2,14 +2,24 @@
 
 Every text gets counts (words, symbols, repeated lines, words in repeated 5-word windows); two plain rules reject on them.
 The rest are judged by group (language and source; groups under 50 rows pool by language, then all together): four
-transformed statistics, damped for short texts, are compared with a minimum-covariance-determinant estimate of their
-centre and spread.  It starts from medians and quartiles and takes concentration steps, each on the 75 percent of rows
-that lie nearest, then one reweighted step; spreads have a floor, since most texts have no symbols or repeats at all.
-A row is rejected if its squared Mahalanobis distance is over the 1 - 1e-6 quantile of chi-squared with 4 degrees.
-
-All estimates are grouped sums over the whole table; quantiles come from counts of distance classes, so no task ever holds
-a group.  Defined results: a null text has no words and fails the base rule; null lang or source is a group of its own;
-repeated rows each get a row; an empty table gives an empty result; further columns are ignored.
+transformed statistics, damped for short texts and rounded to a grid, are compared with a minimum-covariance-determinant
+estimate of their centre and spread:
+
+1. Five deterministic starts: medians with quartile spreads; means with covariances; medians with the correlations of squashed
+   scores; lower and upper quartiles with quartile spreads.
+2. Concentration steps from each: the 75 percent of rows that lie nearest give the next centre and covariance.  A start goes on
+   as long as the determinant falls; a step that does not lower it is not taken.
+3. The start with the least determinant is the estimate, followed by one reweighted step.
+
+Spreads have a floor, since most texts have no symbols or repeats at all; determinants are of the covariance with floors.  A row is
+rejected if its squared Mahalanobis distance is over the 1 - 1e-6 quantile of chi-squared with 4 degrees.
+
+Rows with equal rounded statistics are one weighted cell, so every step reads cells, whose number is bounded by the grid and not
+by the rows.  The edge of the nearest 75 percent comes from counts of distance classes, and the class on the edge counts in part,
+so no task ever holds a group.  Every row of the table counts in every estimate.
+
+Defined results: a null text has no words and fails the base rule; null lang or source is a group of its own; rows of equal
+statistics have one verdict; repeated rows each get a row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +31,21 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_side, table
 
-#: Least group, share of a concentration step, quantiles of chi-squared with 4 degrees of freedom, and the
-#: factors that make the spread of a trimmed sample consistent for normal data.
-MIN_GROUP, STEPS, SHARE = 50, 3, 0.75
+#: Least group, most steps, share of a concentration step, quantiles of chi-squared with 4 degrees of freedom, and
+#: the factors that make the spread of a trimmed sample consistent for normal data.
+MIN_GROUP, STEPS, SHARE = 50, 40, 0.75
 CUTOFF, REWEIGHT = 33.38, 11.14
 FACTOR_SHARE, FACTOR_REWEIGHT = 1.485, 1.064
 FLOORS = [0.06, 0.3, 0.3, 0.3]
+GRID = [0.01, 0.02, 0.02, 0.02]
+#: Distance classes to a factor of e, and the fall of the logarithm of the determinant below which a start has settled.
+CLASSES, SETTLED = 200, 1e-9
+BROADCAST = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 X = [f"_x{i}" for i in range(4)]
 PAIRS = list(combinations_with_replacement(range(4), 2))
+STATE = [f"_m{i}" for i in range(4)] + [f"_t{i}{j}" for i in range(4) for j in range(i + 1)]
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -42,9 +57,10 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the counts of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(*keep, text.alias("_text"))
-    df = _held(df, "_words", F.filter(F.split("_text", SPACE), lambda w: w != ""))
+    inner = F.btrim("_text", F.lit(" \t\n\x0b\x0c\r"))
+    df = _held(df, "_words", F.when(inner != "", F.split(inner, SPACE)).otherwise(F.expr("cast(array() as array<string>)")))
     n = F.size("_words")
-    window = F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("_words", i, F.lit(5))))
+    window = F.transform(F.slice("_words", F.lit(1), F.greatest(n - 4, F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, 5)]))
     df = _held(df, "_windows", F.when(n >= 5, window).otherwise(F.expr("cast(array() as array<bigint>)")))
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
     pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -83,7 +99,7 @@ def _statistics(df: DataFrame) -> DataFrame:
         F.log1p(10 * F.col("n_repeat_words") / (n + 20)),
     ]
     failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
-    return df.select("*", failed.alias("base_failed"), *[v.alias(x) for v, x in zip(values, X)])
+    return df.select("*", failed.alias("base_failed"), *[(F.round(v / g) * g).alias(x) for v, x, g in zip(values, X, GRID)])
 
 
 def _grouped(df: DataFrame) -> DataFrame:
@@ -102,12 +118,12 @@ def _grouped(df: DataFrame) -> DataFrame:
         .otherwise("*")
         .alias("_g"),
     )
-    return df.join(small_side(materialise(named, "groups")), ["_l", "_s"], "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).drop("_l", "_s")
+    return df.join(small_side(materialise(named, "groups"), BROADCAST), ["_l", "_s"], "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).drop("_l", "_s")
 
 
-def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], df: DataFrame) -> DataFrame:
-    """(_g, centre, Cholesky factor) from centre and covariance columns, floors added to the variances."""
-    df = df.select("_g", *[m.alias(f"_m{i}") for i, m in enumerate(mean)], *[c.alias(f"_c{i}{j}") for (i, j), c in cov.items()])
+def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, centre, Cholesky factor, logarithm of the determinant) from centre and covariance columns, floors added to the variances."""
+    df = df.select(*keys, *[m.alias(f"_m{i}") for i, m in enumerate(mean)], *[c.alias(f"_c{i}{j}") for (i, j), c in cov.items()])
     for j in range(4):
         for i in range(j, 4):
             dot = sum((F.col(f"_t{i}{k}") * F.col(f"_t{j}{k}") for k in range(j)), F.lit(0.0))
@@ -116,65 +132,123 @@ def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], df: DataFram
                 df = df.withColumn(f"_t{j}{j}", F.sqrt(F.greatest(F.col(f"_c{j}{j}") + F.lit(FLOORS[j] ** 2) - dot, F.lit(FLOORS[j] ** 2 / 2))))
             else:
                 df = df.withColumn(f"_t{i}{j}", (F.col(f"_c{j}{i}") - dot) / F.col(f"_t{j}{j}"))
-    return materialise(df.select("_g", *[f"_m{i}" for i in range(4)], *[f"_t{i}{j}" for i in range(4) for j in range(i + 1)]), "spread")
+    return df.select(*keys, *STATE, (2 * sum((F.log(F.col(f"_t{i}{i}")) for i in range(4)), F.lit(0.0))).alias("_logdet"))
 
 
-def _distance(df: DataFrame, spread: DataFrame) -> DataFrame:
-    """Adds ``_d``, the squared Mahalanobis distance, by forward substitution."""
-    df = df.join(small_side(spread), "_g", "left")
+def _distance(df: DataFrame) -> DataFrame:
+    """Adds ``_d``, the squared Mahalanobis distance of a row to the estimate beside it, by forward substitution."""
     for i in range(4):
         rest = F.col(X[i]) - F.col(f"_m{i}") - sum((F.col(f"_t{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
         df = df.withColumn(f"_z{i}", rest / F.col(f"_t{i}{i}"))
     return df.withColumn("_d", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, 4)), F.col("_z0") * F.col("_z0")))
 
 
-def _moments(df: DataFrame, factor: float) -> DataFrame:
-    sums = df.groupBy("_g").agg(
-        F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    )
+def _sums(weight: Column, x: list[Column]) -> list[Column]:
+    return [
+        F.sum(weight).alias("n"),
+        *[F.sum(weight * x[i]).alias(f"s{i}") for i in range(4)],
+        *[F.sum(weight * x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS],
+    ]
+
+
+def _from_sums(factor: float) -> tuple[list[Column], dict[tuple[int, int], Column]]:
+    """Centre and covariance from the columns of ``_sums``."""
     mean = [F.col(f"s{i}") / F.col("n") for i in range(4)]
     cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) * factor for i, j in PAIRS}
-    cov |= {(i, i): F.greatest(cov[i, i], F.lit(0.0)) for i in range(4)}
-    return _factor(mean, cov, sums)
+    return mean, cov | {(i, i): F.greatest(cov[i, i], F.lit(0.0)) for i in range(4)}
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """The deterministic starts of every group: _g, _start, centre, factor, _logdet (infinite: any step is taken)."""
+    x = [F.col(c) for c in X]
+    quarter = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = materialise(cells.groupBy("_g").agg(*[F.percentile(c, quarter, F.col("_w").cast("long")).alias(f"p{i}") for i, c in enumerate(X)], *_sums(F.col("_w"), x)), "quartiles")
+    # Spreads of the middle half, never under the floor.
+    width = [F.sqrt(((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349) ** 2 + F.lit(FLOORS[i] ** 2)) for i in range(4)]
+    middle = [F.col(f"p{i}")[1] for i in range(4)]
+    score = [F.tanh((x[i] - middle[i]) / width[i]) for i in range(4)]
+    squashed = cells.join(small_side(q.select("_g", *[f"p{i}" for i in range(4)]), BROADCAST), "_g").groupBy("_g").agg(*_sums(F.col("_w"), score))
+    _, cov = _from_sums(1.0)
+    tied = {f"r{i}{j}": cov[i, j] / F.sqrt((cov[i, i] + F.lit(1e-4)) * (cov[j, j] + F.lit(1e-4))) for i, j in PAIRS}
+    q = q.join(squashed.select("_g", *[c.alias(k) for k, c in tied.items()]), "_g")
+    alone = {(i, j): width[i] * width[i] if i == j else F.lit(0.0) for i, j in PAIRS}
+    linked = {(i, j): width[i] * width[i] if i == j else F.col(f"r{i}{j}") * width[i] * width[j] for i, j in PAIRS}
+    ways = [
+        (middle, alone),
+        _from_sums(1.0),
+        (middle, linked),
+        ([F.col(f"p{i}")[0] for i in range(4)], alone),
+        ([F.col(f"p{i}")[2] for i in range(4)], alone),
+    ]
+    found = None
+    for k, (mean, spread) in enumerate(ways):
+        one = _factor(mean, spread, q, ["_g"]).withColumns({"_start": F.lit(k), "_logdet": F.lit(float("inf"))})
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _concentrate(cells: DataFrame, state: DataFrame) -> DataFrame:
+    """One concentration step of every (group, start) of ``state``."""
+    keys = ["_g", "_start"]
+    placed = _distance(cells.join(state, "_g")).withColumn("_b", F.floor(F.log1p("_d") * CLASSES).cast("int"))
+    # One row per group, start and distance class: a few thousand classes at most, whatever the number of rows.
+    classes = placed.groupBy(*keys, "_b").agg(*_sums(F.col("_w"), [F.col(c) for c in X]))
+    run = F.sum("n").over(Window.partitionBy(*keys).orderBy("_b"))
+    whole = F.ceil(SHARE * F.sum("n").over(Window.partitionBy(*keys)) - 1e-9)
+    # The class on the edge counts in part, so that exactly the nearest 75 percent do.
+    part = F.least(F.lit(1.0), (whole - (run - F.col("n"))) / F.col("n"))
+    parts = classes.withColumn("_part", part).where(F.col("_part") > 0)
+    names = ["n", *[f"s{i}" for i in range(4)], *[f"q{i}{j}" for i, j in PAIRS]]
+    sums = parts.groupBy(*keys).agg(*[F.sum(F.col("_part") * F.col(c)).alias(c) for c in names])
+    return _factor(*_from_sums(FACTOR_SHARE), sums, keys)
+
+
+def covariance_determinant(cells: DataFrame) -> DataFrame:
+    """The estimate of least determinant of every group of ``cells`` (_g, the statistics, weight _w): _g, centre, factor, _logdet."""
+    state = materialise(_starts(cells).withColumn("_open", F.lit(True)), "starts")
+    for _ in range(STEPS):
+        still = state.where("_open").select("_g", "_start", *STATE)
+        n = still.count()
+        if not n:
+            break
+        step = _concentrate(cells, F.broadcast(still) if n <= BROADCAST else still)
+        new = [F.col(c).alias(f"{c}_new") for c in [*STATE, "_logdet"]]
+        both = state.join(step.select("_g", "_start", *new), ["_g", "_start"], "left")
+        falls = F.coalesce(F.col("_logdet_new") < F.col("_logdet") - SETTLED, F.lit(False))
+        state = materialise(both.select("_g", "_start", *[F.when(falls, F.col(f"{c}_new")).otherwise(F.col(c)).alias(c) for c in [*STATE, "_logdet"]], falls.alias("_open")), "steps")
+    columns = [*STATE, "_logdet"]
+    best = state.groupBy("_g").agg(F.min_by(F.struct(*columns), F.struct("_logdet", "_start")).alias("best"))
+    return materialise(best.select("_g", *[F.col(f"best.{c}").alias(c) for c in columns]), "least")
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Centre and spread of every group of ``rows`` (_g and the statistics), by concentration steps."""
-    q = rows.groupBy("_g").agg(*[F.percentile(F.round(x, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, x in enumerate(X)])
-    mean = [F.col(f"p{i}")[1] for i in range(4)]
-    width = [(F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349 for i in range(4)]
-    spread = _factor(mean, {(i, j): width[i] * width[i] if i == j else F.lit(0.0) for i, j in PAIRS}, q)
-    for _ in range(STEPS):
-        placed = _distance(rows, spread).withColumn("_b", F.floor(F.log1p("_d") * 200).cast("int"))
-        classes = placed.groupBy("_g", "_b").agg(F.count("*").alias("n"))
-        # One row per group and distance class: a few thousand classes at most, whatever the number of rows.
-        running = Window.partitionBy("_g").orderBy("_b")
-        whole = Window.partitionBy("_g")
-        edges = classes.withColumns({"_run": F.sum("n").over(running), "_all": F.sum("n").over(whole)}).where(F.col("_run") >= SHARE * F.col("_all"))
-        edges = materialise(edges.groupBy("_g").agg(F.min("_b").alias("_edge")), "edges")
-        spread = _moments(placed.join(small_side(edges), "_g").where(F.col("_b") <= F.col("_edge")), FACTOR_SHARE)
-    return _moments(_distance(rows, spread).where(F.col("_d") <= REWEIGHT), FACTOR_REWEIGHT)
+def cells_of(rows: DataFrame) -> DataFrame:
+    """Weighted cells of ``rows`` (_g and the statistics)."""
+    return materialise(rows.groupBy("_g", *X).agg(F.count("*").cast("double").alias("_w")), "cells")
+
+
+def estimate(cells: DataFrame) -> DataFrame:
+    """Centre and spread of every group of ``cells``: least determinant, then one reweighted step."""
+    near = _distance(cells.join(small_side(covariance_determinant(cells), BROADCAST), "_g")).where(F.col("_d") <= REWEIGHT)
+    sums = near.groupBy("_g").agg(*_sums(F.col("_w"), [F.col(c) for c in X]))
+    return materialise(_factor(*_from_sums(FACTOR_REWEIGHT), sums, ["_g"]), "spread")
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, the counts, base_failed, kept and the distance of every row."""
-    names = {c: f"_k{i}" for i, c in enumerate(keep)}
-    narrow = docs.select(*[F.col(c).alias(k) for c, k in names.items()], F.col("text").cast("string").alias("text"), "lang", "source")
-    rows = materialise(_statistics(counts(narrow, [*names.values(), "lang", "source"])), "statistics")
+    """The columns ``keep`` as a struct ``doc``, the counts, base_failed, kept and distance2 of every row."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc")
+    narrow = docs.select(doc, F.col("text").cast("string").alias("text"), "lang", "source")
+    rows = materialise(_statistics(counts(narrow, ["_doc", "lang", "source"])), "statistics")
     rows = _grouped(rows)
-    spread = estimate(rows.where(~F.col("base_failed")).select("_g", *X))
+    spread = estimate(cells_of(rows.where(~F.col("base_failed")).select("_g", *X)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("_d"), F.lit(0.0)) <= CUTOFF)
-    return _distance(rows, spread).select(*[F.col(k).alias(c) for c, k in names.items()], *COUNTS, "base_failed", kept.alias("kept"), F.col("_d").alias("distance2"))
+    placed = _distance(rows.join(small_side(spread, BROADCAST), "_g", "left"))
+    return placed.select(F.col("_doc").alias("doc"), *COUNTS, "base_failed", kept.alias("kept"), F.col("_d").alias("distance2"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep.  A verdict belongs to text, language and source, so a hash of the
-    whole row finds the rejected ones."""
-    row = F.xxhash64("doc_id", "text", "lang", "source")
-    rejected = judge(docs.withColumn("_row", row), ["_row"]).where(~F.col("kept")).select("_row").distinct()
-    rejected = materialise(rejected, "rejected")
-    return docs.withColumn("_row", row).join(small_side(rejected), "_row", "left_anti").select(*docs.columns)
+    """Pipeline stage: the documents that the rules keep.  Rows travel with their statistics, so each has its own verdict."""
+    return judge(docs, docs.columns).where("kept").select("doc.*")
 
 
 def op6_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"]).drop("distance2")
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc.doc_id", *COUNTS, "base_failed", "kept")

@@ -282,19 +282,109 @@ def brute_quality(t):
 
 def test_quality(docs, nothing, spark):
     rows = op6_quality.judge(docs, ["doc_id"]).collect()
-    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows)
+    got = Counter((r.doc.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows)
     assert got == Counter((d, *brute_quality(t)) for d, t, *_ in ROWS)
     assert not [r for r in rows if r.base_failed and r.kept]
     assert op6_quality.judge(nothing, ["doc_id"]).count() == 0
-    out = op6_quality.stage(spark, docs, "")
-    assert out.columns == docs.columns and out.count() == sum(r.kept for r in rows)
+    clash = docs.withColumns({c: F.lit(7) for c in ("_doc", "_g", "_row", "_x0", "_words", "kept", "n_words", "doc")})
+    out = op6_quality.stage(spark, clash, "")
+    assert out.columns == clash.columns and out.count() == sum(r.kept for r in rows)
+    assert all(r["_row"] == r["kept"] == r["_g"] == 7 for r in out.collect())
 
 
 def test_quality_outliers(spark):
     rows = [(i, words(200, i), "en", f"s{i % 2}") for i in range(200)]
     rows += [(1000 + i, " ".join(w + "$$$" for w in words(200, 300 + i).split()), "en", "s1") for i in range(10)]
     found = op6_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()
-    assert {r.doc_id for r in found if not r.kept} == set(range(1000, 1010))
+    assert {r.doc.doc_id for r in found if not r.kept} == set(range(1000, 1010))
+
+
+def _cells(spark, groups):
+    rows = [(g, *map(float, x)) for g, xs in groups.items() for x in xs]
+    return op6_quality.cells_of(spark.createDataFrame(rows, f"_g string, {', '.join(f'{c} double' for c in op6_quality.X)}"))
+
+
+def _spread(xs, factor):
+    return np.cov(np.array(xs).T, bias=True) * factor + np.diag(np.array(op6_quality.FLOORS) ** 2)
+
+
+def test_least_determinant(spark):
+    """Small groups with planted outliers against every subset of three quarters of the rows."""
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    groups = {}
+    for g in range(12):
+        x = r.normal(size=(16, 4)) @ np.diag([0.3, 1, 1, 1]) + (r.normal(size=(16, 1)) * r.uniform(0, 1, 4))
+        x[: g % 4] += 6 + g
+        groups[f"g{g}"] = x
+    groups["same"] = np.ones((16, 4))
+    cells = _cells(spark, groups)
+    found = {x["_g"]: x for x in op6_quality.covariance_determinant(cells).collect()}
+    exact = 0
+    for g, x in groups.items():
+        dets = {s: np.linalg.slogdet(_spread(x[list(s)], op6_quality.FACTOR_SHARE))[1] for s in combinations(range(16), 12)}
+        best = min(dets, key=dets.get)
+        # Steps from few starts may end a little above the least determinant of all subsets, never below it.
+        assert dets[best] - 1e-6 <= found[g]["_logdet"] <= dets[best] + 0.3
+        if found[g]["_logdet"] <= dets[best] + 1e-6:
+            exact += 1
+            assert np.allclose([found[g][f"_m{i}"] for i in range(4)], x[list(best)].mean(0))
+            t = np.array([[found[g][f"_t{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+            assert np.allclose(t @ t.T, _spread(x[list(best)], op6_quality.FACTOR_SHARE))
+    assert exact >= 4 and found["same"]["_m0"] == 1
+    # The planted rows are far from every estimate.
+    for g in range(12):
+        t = np.array([[found[f"g{g}"][f"_t{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        z = np.linalg.solve(t, (groups[f"g{g}"] - [found[f"g{g}"][f"_m{i}"] for i in range(4)]).T)
+        assert ((z**2).sum(0) > op6_quality.CUTOFF)[: g % 4].all()
+
+
+def test_least_determinant_steps(spark):
+    """Larger groups, with ties and repeats, against the same steps by rows: every start, until its determinant stops falling."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(900, 4)) @ r.normal(size=(4, 4)) * 0.5
+    x[:200] = 5 + r.normal(size=(200, 4)) * 0.2
+    x = np.round(x, 1)
+    groups = {"a": x, "b": np.concatenate([x[:300], x[:300], x[300:350]])}
+    cells = _cells(spark, groups)
+    found = {c["_g"]: c for c in op6_quality.covariance_determinant(cells).collect()}
+    final = {c["_g"]: c for c in op6_quality.estimate(cells).collect()}
+
+    def distance(x, m, s):
+        return np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(s), x - m)
+
+    floors = np.array(op6_quality.FLOORS)
+    for g, x in groups.items():
+        lower, middle, upper = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+        width = np.sqrt(((upper - lower) / 1.349) ** 2 + floors**2)
+        z = np.tanh((x - middle) / width)
+        c = np.cov(z.T, bias=True)
+        d = np.sqrt(np.diag(c) + 1e-4)
+        tied = c / d[:, None] / d[None, :]
+        np.fill_diagonal(tied, 1)
+        eye = np.diag(floors**2)
+        starts = [(middle, np.diag(width**2)), (x.mean(0), np.cov(x.T, bias=True)), (middle, tied * width[:, None] * width[None, :]), (lower, np.diag(width**2)), (upper, np.diag(width**2))]
+        best = None
+        for m, s in starts:
+            det, s = np.inf, s + eye
+            while True:
+                b = np.floor(np.log1p(distance(x, m, s)) * op6_quality.CLASSES)
+                h, w = np.ceil(0.75 * len(x)), np.zeros(len(x))
+                for k in np.unique(b):
+                    n = (b == k).sum()
+                    w[b == k] = min(1, max(0, (h - w.sum()) / n))
+                new_m = np.average(x, axis=0, weights=w)
+                new_s = np.cov(x.T, aweights=w, bias=True) * op6_quality.FACTOR_SHARE + eye
+                new = np.linalg.slogdet(new_s)[1]
+                if new >= det - op6_quality.SETTLED:
+                    break
+                m, s, det = new_m, new_s, new
+            if best is None or det < best[0] - 1e-9:
+                best = (det, m, s)
+        assert abs(found[g]["_logdet"] - best[0]) < 1e-6
+        near = x[distance(x, best[1], best[2]) <= op6_quality.REWEIGHT]
+        assert np.allclose([final[g][f"_m{i}"] for i in range(4)], near.mean(0), atol=1e-6)
 
 
 def brute_pieces(rows, path):
