@@ -121,70 +121,64 @@ def _grouped(df: DataFrame) -> DataFrame:
     return df.join(small_side(materialise(named, "groups"), BROADCAST), ["_l", "_s"], "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).drop("_l", "_s")
 
 
-def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, centre, Cholesky factor, logarithm of the determinant) from centre and covariance columns, floors added to the variances."""
-    df = df.select(*keys, *[m.alias(f"_m{i}") for i, m in enumerate(mean)], *[c.alias(f"_c{i}{j}") for (i, j), c in cov.items()])
+def _factor(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, centre, Cholesky factor, logarithm of the determinant) from centre (_m0, ...) and covariance (_c00, _c01, ...) columns,
+    floors added to the variances."""
+    t = []
     for j in range(4):
         for i in range(j, 4):
-            dot = sum((F.col(f"_t{i}{k}") * F.col(f"_t{j}{k}") for k in range(j)), F.lit(0.0))
+            dot = " + ".join([f"_t{i}{k} * _t{j}{k}" for k in range(j)] or ["0"])
             if i == j:
                 # What the earlier statistics leave unexplained is at least the floor, apart from rounding.
-                df = df.withColumn(f"_t{j}{j}", F.sqrt(F.greatest(F.col(f"_c{j}{j}") + F.lit(FLOORS[j] ** 2) - dot, F.lit(FLOORS[j] ** 2 / 2))))
+                t.append(f"sqrt(greatest(_c{j}{j} + {FLOORS[j] ** 2!r}D - ({dot}), {FLOORS[j] ** 2 / 2!r}D)) AS _t{j}{j}")
             else:
-                df = df.withColumn(f"_t{i}{j}", (F.col(f"_c{j}{i}") - dot) / F.col(f"_t{j}{j}"))
-    return df.select(*keys, *STATE, (2 * sum((F.log(F.col(f"_t{i}{i}")) for i in range(4)), F.lit(0.0))).alias("_logdet"))
+                t.append(f"(_c{j}{i} - ({dot})) / _t{j}{j} AS _t{i}{j}")
+    return df.selectExpr(*keys, *STATE[:4], *t).selectExpr(*keys, *STATE, "2 * (ln(_t00) + ln(_t11) + ln(_t22) + ln(_t33)) AS _logdet")
 
 
 def _distance(df: DataFrame) -> DataFrame:
     """Adds ``_d``, the squared Mahalanobis distance of a row to the estimate beside it, by forward substitution."""
-    for i in range(4):
-        rest = F.col(X[i]) - F.col(f"_m{i}") - sum((F.col(f"_t{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
-        df = df.withColumn(f"_z{i}", rest / F.col(f"_t{i}{i}"))
-    return df.withColumn("_d", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, 4)), F.col("_z0") * F.col("_z0")))
+    z = [f"({X[i]} - _m{i} - ({' + '.join([f'_t{i}{k} * _z{k}' for k in range(i)] or ['0'])})) / _t{i}{i} AS _z{i}" for i in range(4)]
+    return df.selectExpr("*", *z, "_z0 * _z0 + _z1 * _z1 + _z2 * _z2 + _z3 * _z3 AS _d")
 
 
-def _sums(weight: Column, x: list[Column]) -> list[Column]:
-    return [
-        F.sum(weight).alias("n"),
-        *[F.sum(weight * x[i]).alias(f"s{i}") for i in range(4)],
-        *[F.sum(weight * x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS],
-    ]
+def _sums(x: list[str]) -> list[Column]:
+    """Sums of the weights, of the values and of their products."""
+    terms = {"n": "_w", **{f"s{i}": f"_w * {x[i]}" for i in range(4)}, **{f"q{i}{j}": f"_w * {x[i]} * {x[j]}" for i, j in PAIRS}}
+    return [F.expr(f"sum({term}) AS {name}") for name, term in terms.items()]
 
 
-def _from_sums(factor: float) -> tuple[list[Column], dict[tuple[int, int], Column]]:
+def _from_sums(factor: float) -> tuple[list[str], dict[tuple[int, int], str]]:
     """Centre and covariance from the columns of ``_sums``."""
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(4)]
-    cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) * factor for i, j in PAIRS}
-    return mean, cov | {(i, i): F.greatest(cov[i, i], F.lit(0.0)) for i in range(4)}
+    cov = {(i, j): f"(q{i}{j} / n - s{i} / n * s{j} / n) * {factor!r}D" for i, j in PAIRS}
+    return [f"s{i} / n" for i in range(4)], cov | {(i, i): f"greatest({cov[i, i]}, 0D)" for i in range(4)}
+
+
+def _named(mean: list[str], cov: dict[tuple[int, int], str]) -> dict[str, str]:
+    return {f"_m{i}": m for i, m in enumerate(mean)} | {f"_c{i}{j}": c for (i, j), c in cov.items()}
+
+
+def _moments(sums: DataFrame, factor: float, keys: list[str]) -> DataFrame:
+    return _factor(sums.selectExpr(*keys, *[f"{e} AS {c}" for c, e in _named(*_from_sums(factor)).items()]), keys)
 
 
 def _starts(cells: DataFrame) -> DataFrame:
     """The deterministic starts of every group: _g, _start, centre, factor, _logdet (infinite: any step is taken)."""
-    x = [F.col(c) for c in X]
-    quarter = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = materialise(cells.groupBy("_g").agg(*[F.percentile(c, quarter, F.col("_w").cast("long")).alias(f"p{i}") for i, c in enumerate(X)], *_sums(F.col("_w"), x)), "quartiles")
+    quartiles = [F.expr(f"percentile({c}, array(0.25, 0.5, 0.75), cast(_w AS bigint)) AS p{i}") for i, c in enumerate(X)]
     # Spreads of the middle half, never under the floor.
-    width = [F.sqrt(((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349) ** 2 + F.lit(FLOORS[i] ** 2)) for i in range(4)]
-    middle = [F.col(f"p{i}")[1] for i in range(4)]
-    score = [F.tanh((x[i] - middle[i]) / width[i]) for i in range(4)]
-    squashed = cells.join(small_side(q.select("_g", *[f"p{i}" for i in range(4)]), BROADCAST), "_g").groupBy("_g").agg(*_sums(F.col("_w"), score))
+    width = [f"sqrt(power((p{i}[2] - p{i}[0]) / 1.349D, 2) + {FLOORS[i] ** 2!r}D) AS w{i}" for i in range(4)]
+    q = materialise(cells.groupBy("_g").agg(*quartiles, *_sums(X)).selectExpr("*", *width), "quartiles")
+    beside = q.select("_g", *[f"{c}{i}" for c in "pw" for i in range(4)])
+    score = cells.join(small_side(beside, BROADCAST), "_g").selectExpr("_g", "_w", *[f"tanh(({c} - p{i}[1]) / w{i}) AS _y{i}" for i, c in enumerate(X)])
     _, cov = _from_sums(1.0)
-    tied = {f"r{i}{j}": cov[i, j] / F.sqrt((cov[i, i] + F.lit(1e-4)) * (cov[j, j] + F.lit(1e-4))) for i, j in PAIRS}
-    q = q.join(squashed.select("_g", *[c.alias(k) for k, c in tied.items()]), "_g")
-    alone = {(i, j): width[i] * width[i] if i == j else F.lit(0.0) for i, j in PAIRS}
-    linked = {(i, j): width[i] * width[i] if i == j else F.col(f"r{i}{j}") * width[i] * width[j] for i, j in PAIRS}
-    ways = [
-        (middle, alone),
-        _from_sums(1.0),
-        (middle, linked),
-        ([F.col(f"p{i}")[0] for i in range(4)], alone),
-        ([F.col(f"p{i}")[2] for i in range(4)], alone),
-    ]
-    found = None
-    for k, (mean, spread) in enumerate(ways):
-        one = _factor(mean, spread, q, ["_g"]).withColumns({"_start": F.lit(k), "_logdet": F.lit(float("inf"))})
-        found = one if found is None else found.unionByName(one)
-    return found
+    tied = [f"({cov[i, j]}) / sqrt(({cov[i, i]} + 1e-4D) * ({cov[j, j]} + 1e-4D)) AS r{i}{j}" for i, j in PAIRS]
+    q = q.join(score.groupBy("_g").agg(*_sums([f"_y{i}" for i in range(4)])).selectExpr("_g", *tied), "_g")
+    alone = {(i, j): f"w{i} * w{i}" if i == j else "0D" for i, j in PAIRS}
+    linked = {(i, j): f"w{i} * w{i}" if i == j else f"r{i}{j} * w{i} * w{j}" for i, j in PAIRS}
+    quarter = [[f"p{i}[{k}]" for i in range(4)] for k in range(3)]
+    ways = [(quarter[1], alone), _from_sums(1.0), (quarter[1], linked), (quarter[0], alone), (quarter[2], alone)]
+    rows = [f"named_struct('_start', {k}, {', '.join(f"'{c}', {e}" for c, e in _named(*way).items())})" for k, way in enumerate(ways)]
+    return _factor(q.selectExpr("_g", f"inline(array({', '.join(rows)}))"), ["_g", "_start"]).withColumn("_logdet", F.lit(float("inf")))
 
 
 def _concentrate(cells: DataFrame, state: DataFrame) -> DataFrame:
@@ -192,15 +186,13 @@ def _concentrate(cells: DataFrame, state: DataFrame) -> DataFrame:
     keys = ["_g", "_start"]
     placed = _distance(cells.join(state, "_g")).withColumn("_b", F.floor(F.log1p("_d") * CLASSES).cast("int"))
     # One row per group, start and distance class: a few thousand classes at most, whatever the number of rows.
-    classes = placed.groupBy(*keys, "_b").agg(*_sums(F.col("_w"), [F.col(c) for c in X]))
-    run = F.sum("n").over(Window.partitionBy(*keys).orderBy("_b"))
-    whole = F.ceil(SHARE * F.sum("n").over(Window.partitionBy(*keys)) - 1e-9)
+    classes = placed.groupBy(*keys, "_b").agg(*_sums(X))
     # The class on the edge counts in part, so that exactly the nearest 75 percent do.
-    part = F.least(F.lit(1.0), (whole - (run - F.col("n"))) / F.col("n"))
-    parts = classes.withColumn("_part", part).where(F.col("_part") > 0)
+    by = "OVER (PARTITION BY _g, _start"
+    part = f"least(1D, (ceil({SHARE} * sum(n) {by}) - 1e-9D) - (sum(n) {by} ORDER BY _b) - n)) / n) AS _part"
     names = ["n", *[f"s{i}" for i in range(4)], *[f"q{i}{j}" for i, j in PAIRS]]
-    sums = parts.groupBy(*keys).agg(*[F.sum(F.col("_part") * F.col(c)).alias(c) for c in names])
-    return _factor(*_from_sums(FACTOR_SHARE), sums, keys)
+    parts = classes.selectExpr("*", part).where("_part > 0").groupBy(*keys).agg(*[F.expr(f"sum(_part * {c}) AS {c}") for c in names])
+    return _moments(parts, FACTOR_SHARE, keys)
 
 
 def covariance_determinant(cells: DataFrame) -> DataFrame:
@@ -212,13 +204,13 @@ def covariance_determinant(cells: DataFrame) -> DataFrame:
         if not n:
             break
         step = _concentrate(cells, F.broadcast(still) if n <= BROADCAST else still)
-        new = [F.col(c).alias(f"{c}_new") for c in [*STATE, "_logdet"]]
-        both = state.join(step.select("_g", "_start", *new), ["_g", "_start"], "left")
-        falls = F.coalesce(F.col("_logdet_new") < F.col("_logdet") - SETTLED, F.lit(False))
-        state = materialise(both.select("_g", "_start", *[F.when(falls, F.col(f"{c}_new")).otherwise(F.col(c)).alias(c) for c in [*STATE, "_logdet"]], falls.alias("_open")), "steps")
+        columns = [*STATE, "_logdet"]
+        both = state.join(step.selectExpr("_g", "_start", *[f"{c} AS {c}_new" for c in columns]), ["_g", "_start"], "left")
+        both = both.selectExpr("_g", "_start", *columns, *[f"{c}_new" for c in columns], f"coalesce(_logdet_new < _logdet - {SETTLED!r}D, false) AS _falls")
+        state = materialise(both.selectExpr("_g", "_start", *[f"if(_falls, {c}_new, {c}) AS {c}" for c in columns], "_falls AS _open"), "steps")
     columns = [*STATE, "_logdet"]
-    best = state.groupBy("_g").agg(F.min_by(F.struct(*columns), F.struct("_logdet", "_start")).alias("best"))
-    return materialise(best.select("_g", *[F.col(f"best.{c}").alias(c) for c in columns]), "least")
+    best = state.groupBy("_g").agg(F.expr(f"min_by(struct({', '.join(columns)}), struct(_logdet, _start)) AS best"))
+    return materialise(best.select("_g", "best.*"), "least")
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -229,8 +221,7 @@ def cells_of(rows: DataFrame) -> DataFrame:
 def estimate(cells: DataFrame) -> DataFrame:
     """Centre and spread of every group of ``cells``: least determinant, then one reweighted step."""
     near = _distance(cells.join(small_side(covariance_determinant(cells), BROADCAST), "_g")).where(F.col("_d") <= REWEIGHT)
-    sums = near.groupBy("_g").agg(*_sums(F.col("_w"), [F.col(c) for c in X]))
-    return materialise(_factor(*_from_sums(FACTOR_REWEIGHT), sums, ["_g"]), "spread")
+    return materialise(_moments(near.groupBy("_g").agg(*_sums(X)), FACTOR_REWEIGHT, ["_g"]), "spread")
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
