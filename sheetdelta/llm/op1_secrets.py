@@ -2,7 +2,11 @@
 
 Every version of a text is content-addressed by its SHA-256.  The ledger holds one row per (blob, rule version) that has
 been scanned, with its findings.  A run anti-joins the incoming blobs with the ledger, scans one copy of each unseen blob,
-and joins findings back to every path (row) that holds the blob.
+appends what it scanned to the ledger, and joins the ledger's findings back to every path (row) that holds the blob.
+
+The ledger is a Parquet folder that runs share (``update``).  The query and the stage of the pipeline start one of their own and read
+it again; ``history`` goes through two versions of a table and two rule versions with one ledger.  All joins are by content
+address and shuffled, at every size; one content that holds a large share of the rows is split by adaptive skew joins.
 
 Defined results: a null text counts as empty and has no findings; repeated rows each get a row, since findings are joined
 by content; null ``doc_id`` passes through; an empty table gives an empty result; further columns of the input are ignored.
@@ -13,10 +17,12 @@ END line or, where that is missing, the base64 text behind the first line.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side, spans_text, table
+from .common import materialise, shared_dir, spans_text, table
 
 #: The kinds in the order of the contract, then those that this operator adds.
 KINDS = ["assign", "access", "hex", "pem"]
@@ -93,13 +99,9 @@ def findings(text: Column, pem: str = PEM) -> Column:
     )
 
 
-def scan(
-    docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, key: list[str] | None = None, pem: str = PEM
-) -> tuple[DataFrame, DataFrame]:
-    """(findings, new ledger rows).  findings: ``blob`` and ``found`` of every blob of ``docs`` that has a finding, now or in the
-    ledger; new ledger rows: blob, version, found of each blob scanned now.
-
-    ``ledger`` has columns blob, version, found; pairs that it holds are not scanned again.  ``key`` names a row's path."""
+def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, key: list[str] | None = None, pem: str = PEM) -> DataFrame:
+    """New ledger rows: blob, version and found of each blob of ``docs`` for which ``ledger`` (of the same columns) has no row of
+    this version.  Only those blobs are scanned.  ``key`` names a row's path."""
     key = key or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     # One path stands for each blob; its hash picks it, so that texts move once and only those to be scanned.
@@ -112,64 +114,118 @@ def scan(
     # The generator keeps the filter on findings, and with it the scan, behind the join: blobs of the ledger are not scanned.
     fresh = blobs.select("blob", F.explode(F.array(findings(F.col("body"), pem))).alias("found")).where(F.size("found") > 0)
     # Repeated rows (same key, same text) pass the semi-join together; their findings are the same.
-    fresh = fresh.dropDuplicates(["blob"])
-    fresh = materialise(fresh, "secret-findings")
-    scanned = unseen.select("blob").join(fresh, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("found", no_finding()).alias("found"))
-    known = fresh
-    if ledger is not None:
-        known = known.unionByName(ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", "found"))
-    return known, scanned
+    fresh = materialise(fresh.dropDuplicates(["blob"]), "secret-findings")
+    return unseen.select("blob").join(fresh, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("found", no_finding()).alias("found"))
+
+
+def update(docs: DataFrame, path: str, version: str = RULE_VERSION, key: list[str] | None = None, pem: str = PEM) -> DataFrame:
+    """Scan what the ledger at ``path`` has not seen of ``docs``, append it, and return the ledger.  An empty path starts a ledger."""
+    spark = docs.sparkSession
+    schema = f"blob string, version string, found {FINDING}"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    # The rows to append are worked out in full before the ledger that they depend on changes.
+    new = materialise(scan(docs, spark.read.schema(schema).parquet(path), version, key, pem), "secret-ledger")
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
-def join_paths(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their findings as ``_found``: content addresses carry findings back to every path."""
-    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    hits = small_side(known.select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), 50_000)
-    return docs.withColumn("_blob", blob).join(hits, "_blob", "left").withColumn("_found", F.coalesce("_found", no_finding())).drop("_blob")
+def own_ledger(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def join_paths(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, keep: list[str] | None = None) -> DataFrame:
+    """(doc, found) for the rows of ``docs``: its columns (or those of ``keep``) as a struct, and the ledger's findings of its content."""
+    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), blob)
+    hits = ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", "found")
+    return rows.join(hits.hint("shuffle_hash"), "blob", "left").select("doc", F.coalesce("found", no_finding()).alias("found"))
 
 
 def digest(found: DataFrame, key: list[str]) -> DataFrame:
     def count(i: int) -> Column:
-        return F.size(F.filter("_found", lambda s: s["ord"] == i)).cast("long")
+        return F.size(F.filter("found", lambda s: s["ord"] == i)).cast("long")
 
-    base = F.filter("_found", lambda s: s["ord"] < BASE)
+    base = F.filter("found", lambda s: s["ord"] < BASE)
     return found.select(
-        *key,
+        *[f"doc.{c}" for c in key],
         *[count(i).alias(f"n_{KINDS[i]}") for i in range(BASE)],
         F.sha2(spans_text(base, KINDS), 256).alias("base_sha256"),
-        spans_text(F.col("_found"), KINDS).alias("spans"),
+        spans_text(F.col("found"), KINDS).alias("spans"),
     )
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with the union of its findings replaced by ``mark``."""
-    step = F.aggregate(
-        F.sort_array(found),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
+    """``text`` with the union of its findings replaced by ``mark``.
+
+    Adding to a string copies it, so runs of RUN findings write a part of the text each, between the ends that they reach."""
+    spans = F.sort_array(found)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda r: F.slice(spans, r * RUN + 1, F.lit(RUN)))
+    reach = F.aggregate(
+        F.transform(runs, lambda run: F.array_max(F.transform(run, lambda s: s["end"]))),
+        F.array(F.lit(0)),
+        lambda acc, end: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), end))),
     )
-    return F.when(F.size(found) > 0, step).otherwise(text)
+
+    def part(bounds: Column, run: Column) -> Column:
+        begin = bounds["a"]
+        region = F.substring(text, begin + 1, bounds["b"] - begin)
+        return F.aggregate(
+            run,
+            F.struct(begin.alias("at"), F.lit("").alias("out"), region.alias("region")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(acc["region"], acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(mark)))
+                .otherwise(acc["out"])
+                .alias("out"),
+                acc["region"].alias("region"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    bounds = F.arrays_zip(F.slice(reach, F.lit(1), F.size(reach) - 1).alias("a"), F.slice(reach, F.lit(2), F.size(reach) - 1).alias("b"))
+    whole = F.concat(F.array_join(F.zip_with(bounds, runs, part), ""), F.substring(text, F.element_at(reach, -1) + 1, F.char_length(text)))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their secrets masked, private keys whole; n_chars follows the text.  Every row stays."""
-    known, _ = scan(docs, version=STAGE_VERSION, pem=WHOLE_KEY)
-    rows = join_paths(docs, known).withColumn("_masked", redact(F.col("text"), F.col("_found")))
-    n_chars = F.when(F.size("_found") > 0, F.char_length("_masked").cast("long")).otherwise(F.col("n_chars"))
-    new = {"text": F.col("_masked"), "n_chars": n_chars}
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    ledger = update(docs, own_ledger(spark), STAGE_VERSION, pem=WHOLE_KEY)
+    text, found = F.col("doc.text"), F.col("found")
+    # The generator works the masked text out once.
+    rows = join_paths(docs, ledger, STAGE_VERSION).select("doc", "found", F.explode(F.array(redact(text, found))).alias("masked"))
+    n_chars = F.when(F.size(found) > 0, F.char_length("masked").cast("long")).otherwise(F.col("doc.n_chars"))
+    new = {"text": F.col("masked"), "n_chars": n_chars}
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known, _ = scan(docs)
-    return digest(join_paths(docs, known), ["doc_id"])
+    return digest(join_paths(docs, update(docs, own_ledger(spark)), keep=["doc_id"]), ["doc_id"])
+
+
+#: The later version of a table in ``history``, in SQL that both engines read: every third document has a line more, every fifth
+#: is gone, and the others are as they were.
+LATER = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(coalesce(text, ''), '\n', 'token=abcdef', doc_id % 1000) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0"
+
+
+def history(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(run, scanned, ledger_rows, findings, paths) of four runs with one ledger: a table, its later version, the first again, and the later one
+    by other rules.  scanned: blobs scanned by the run; findings, paths: of the run's version of the table, by the ledger."""
+    later = spark.sql(LATER.replace("FROM documents", "FROM {documents}"), documents=docs)
+    path, out, before = own_ledger(spark), None, 0
+    for run, (rows, version) in enumerate([(docs, "rules-1"), (later, "rules-1"), (docs, "rules-1"), (later, "rules-2")], 1):
+        ledger = update(rows, path, version)
+        now = ledger.count()
+        hits = ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", F.size("found").alias("n"))
+        named = rows.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob")).join(hits, "blob")
+        one = named.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("findings"), F.count("*").alias("paths"))
+        one = one.select(F.lit(run).cast("long").alias("run"), F.lit(now - before).cast("long").alias("scanned"), F.lit(now).cast("long").alias("ledger_rows"), "findings", "paths")
+        out, before = (materialise(one, "history") if out is None else out.union(materialise(one, "history"))), now
+    return out
+
+
+def secret_ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 _PLACES = """
@@ -189,14 +245,16 @@ def _duck_spans(pattern: str, o: int, ok: str) -> str:
     )
 
 
-ORACLE_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+_HITS = f"""
 hit AS (
   SELECT rid, p.s AS s, p.o AS o, p.e AS e FROM (
     {_duck_spans(ASSIGN, 0, "length(g2[k]) >= 6")}
     UNION ALL {_duck_spans(ACCESS, 1, "true")}
     UNION ALL {_duck_spans(HEX, 2, "true")}
-    UNION ALL {_duck_spans(PEM, 3, "true")}) WHERE p.ok),
+    UNION ALL {_duck_spans(PEM, 3, "true")}) WHERE p.ok)
+"""
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), {_HITS},
 txt AS (
   SELECT rid, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
     coalesce(string_agg((['assign','access','hex','pem'])[o + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, o) FILTER (WHERE o < 3), '') AS base,
@@ -206,3 +264,15 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN txt USING (rid)
 """
+
+HISTORY_SQL = f"""
+WITH d0 AS (SELECT 1 AS part, coalesce(text, '') AS t FROM documents UNION ALL SELECT 2, coalesce(text, '') FROM ({LATER})),
+d AS (SELECT row_number() OVER () AS rid, part, t, sha256(t) AS blob FROM d0), {_HITS},
+n AS (SELECT rid, count(*) AS n FROM hit GROUP BY rid),
+f AS (SELECT part, sum(n)::BIGINT AS findings, count(*) AS paths FROM n JOIN d USING (rid) GROUP BY part),
+b AS (SELECT blob, bool_or(part = 1) AS old, bool_or(part = 2) AS new FROM d GROUP BY blob),
+c AS (SELECT count(*) FILTER (WHERE old) AS a, count(*) FILTER (WHERE new AND NOT old) AS b, count(*) FILTER (WHERE new) AS c FROM b),
+r AS (SELECT 1::BIGINT AS run, 1 AS part, a AS scanned, a AS ledger_rows FROM c UNION ALL SELECT 2, 2, b, a + b FROM c
+  UNION ALL SELECT 3, 1, 0, a + b FROM c UNION ALL SELECT 4, 2, c, a + b + c FROM c)
+SELECT run, scanned, ledger_rows, coalesce(findings, 0) AS findings, coalesce(paths, 0) AS paths FROM r LEFT JOIN f USING (part)
+"""

@@ -6,7 +6,7 @@ import importlib
 
 #: module -> queries in it
 _MODULES = {
-    "op1_secrets": ["op1_secret_ledger"],
+    "op1_secrets": ["op1_secret_ledger", "secret_ledger_history"],
     "op2_near_dup": ["op2_minhash_components"],
     "op3_pii": ["op3_pii_anchors"],
     "op4_bpe": ["op4_bpe_round_trip"],
@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         sql = getattr(importlib.import_module(f".{module}", __package__), "ORACLE_SQL", None)
         if sql:
             found[names[0]] = sql
+    found["secret_ledger_history"] = importlib.import_module(".op1_secrets", __package__).HISTORY_SQL
     return found
