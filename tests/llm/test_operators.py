@@ -544,19 +544,23 @@ def test_language_sample(spark):
 def test_repeats(docs, nothing, spark):
     rows = op9_substring.remove_repeats(docs, ["doc_id"]).collect()
     assert len(rows) == len(ROWS)
-    text = {r.doc_id: r.text for r in rows}
+    text = {r.doc.doc_id: r.text for r in rows}
     assert text[3] is None and text[6] == LONG and text[7].strip() == ""
     inner = ". ".join(PASSAGE.split(". ")[1:-1])
     assert inner in text[11] and inner not in text[12]
     assert text[14].count("line one is here now") == 1
     original = dict((d, t) for d, t, *_ in ROWS)
     for r in rows:
-        if r.removed and r.doc_id:
+        if r.removed and r.doc.doc_id:
             cut = [tuple(map(int, s.split(":"))) for s in r.removed.split(",")]
             assert sum(e - s for s, e in cut) == r.removed_chars
-            assert all(0 <= s < e <= len(original[r.doc_id]) for s, e in cut)
+            assert all(0 <= s < e <= len(original[r.doc.doc_id]) for s, e in cut)
     assert op9_substring.remove_repeats(nothing, ["doc_id"]).count() == 0
-    assert op9_substring.stage(spark, docs, "").columns == docs.columns
+    clash = docs.withColumns({c: F.lit(7) for c in ("removed", "_others", "_rank", "_late", "doc", "others", "removed_chars", "h1")})
+    out = op9_substring.stage(spark, clash, "")
+    assert out.columns == clash.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc.doc_id, r.text) for r in rows)
+    assert all(r["removed"] == r["_rank"] == r["doc"] == 7 for r in out.collect())
 
 
 def test_repeats_without_id(spark):
@@ -564,7 +568,7 @@ def test_repeats_without_id(spark):
     rows = [(None, words(30, 43) + "\n" + own), (None, words(30, 44) + "\n" + own), (None, words(30, 45) + "\n" + own), (None, held), ((1 << 63) - 1, held)]
     out = op9_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"]).collect()
     assert sum(own in r.text for r in out) == 1
-    assert [r.doc_id for r in out if held in r.text] == [(1 << 63) - 1]
+    assert [r.doc.doc_id for r in out if held in r.text] == [(1 << 63) - 1]
     assert len(out) == 5 and sum(r.removed != "" for r in out) == 3
 
 
@@ -638,50 +642,64 @@ def test_vectors(spark, data):
 def brute_repeats(rows):
     from sheetdelta.llm.shingles import word_hashes
 
+    least = {"lines": 5, "paragraphs": op9_substring.MIN_RUN, "clauses": 3}
     docs, own = [], {}
     for d, t in sorted(rows):
-        lines, clauses, at = [], [], 0
+        units, at, block = {"lines": [], "paragraphs": [], "clauses": []}, 0, []
         for line in t.split("\n"):
             found = [(m.start() + at, m.end() + at, m.group().translate(LOWER)) for m in WORD.finditer(line)]
             at += len(line) + 1
             if found:
-                lines.append(found)
+                units["lines"].append(found)
                 hashes, _ = word_hashes([" ".join(w for *_, w in found).encode()])
-                clauses.append([])
+                clause = []
                 for w, h in zip(found, hashes.tolist()):
-                    clauses[-1].append(w)
+                    clause.append(w)
                     if w[2][-1] in ".!?" or h % 16 == 0:
-                        clauses.append([])
-                clauses = [c for c in clauses if c]
-        docs.append((d, t, lines, clauses))
-        for u in [*(x for x in lines if len(x) >= 5), *(x for x in clauses if len(x) >= 3)]:
-            own.setdefault(tuple(w[2] for w in u), d)
+                        units["clauses"].append(clause)
+                        clause = []
+                if clause:
+                    units["clauses"].append(clause)
+                block += found
+            elif block:
+                units["paragraphs"].append(block)
+                block = []
+        if block:
+            units["paragraphs"].append(block)
+        docs.append((d, units))
+        for name, of in units.items():
+            for u in of:
+                if len(u) >= least[name]:
+                    own.setdefault(tuple(w[2] for w in u), d)
     out = {}
-    for d, t, lines, clauses in docs:
-        cuts = []
-        for units, least in ((lines, 5), (clauses, 3)):
-            seen, repeat = set(), []
-            for u in units:
-                k = tuple(w[2] for w in u)
-                repeat.append(len(u) >= least and (own.get(k, d) < d or k in seen))
+    for d, units in docs:
+        cuts = {"lines": [], "paragraphs": [], "clauses": []}
+        for name, of in units.items():
+            seen, run = set(), []
+            for u in [*of, None]:
+                k = tuple(w[2] for w in u or ())
+                mine = u is not None and len(u) >= least[name] and k in seen
+                repeat = mine or u is not None and len(u) >= least[name] and own[k] < d
                 seen.add(k)
-            runs, run = [], []
-            for i, u in enumerate(units):
-                if repeat[i]:
-                    run.append(i)
-                if units is lines or (not repeat[i] and len(u) >= 3):
-                    runs.append(run)
+                if mine and name == "lines":
+                    cuts[name].append((u[0][0], u[-1][1]))
+                if repeat:
+                    run.append(u)
+                elif run and (u is None or len(u) >= (3 if name == "clauses" else 1)):
+                    if sum(map(len, run)) >= op9_substring.MIN_RUN:
+                        cuts[name].append((run[0][0][0], run[-1][-1][1]))
                     run = []
-            for run in [*runs, run]:
-                if run and (units is lines or sum(len(units[i]) for i in run) >= 12):
-                    cuts.append((units[run[0]][0][0], units[run[-1]][-1][1]))
-        merged = []
-        for p, q in sorted(cuts):
-            if merged and p <= merged[-1][1]:
-                merged[-1][1] = max(q, merged[-1][1])
-            else:
-                merged.append([p, q])
-        out[d] = ",".join(f"{p}:{q}" for p, q in merged)
+
+        def text(cuts):
+            merged = []
+            for p, q in sorted(cuts):
+                if merged and p <= merged[-1][1]:
+                    merged[-1][1] = max(q, merged[-1][1])
+                else:
+                    merged.append([p, q])
+            return ",".join(f"{p}:{q}" for p, q in merged)
+
+        out[d] = (text(sum(cuts.values(), [])), text(cuts["lines"] + cuts["paragraphs"]), text(cuts["clauses"]))
     return out
 
 
@@ -689,5 +707,12 @@ def test_repeats_against_brute_force(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     passage = words(70, 42) + ". é " + words(10, 43)
     rows += [(5000 + i, f"{words(30 + i, 50 + i)} {passage} {words(20, 70 + i)}\n\nshared line of five words\n{words(3, i)}") for i in range(20)]
-    got = {r.doc_id: r.removed for r in op9_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
-    assert got == brute_repeats(rows)
+    # A paragraph in other lines; runs of lines, long and short; a line held twice; lines of blanks between paragraphs.
+    block = words(40, 90).split()
+    rows += [(6000 + i, "\n".join([words(8, 200 + i), " \t", *(" ".join(block[k : k + 3 + i]) for k in range(0, 40, 3 + i)), "", words(9, 300 + i)])) for i in range(4)]
+    lines = [words(7, 400 + k) for k in range(6)]
+    rows += [(7000 + i, "\n".join([words(9, 500 + i), *lines[: i + 1], words(9, 600 + i), lines[0]])) for i in range(6)]
+    got = {r.doc.doc_id: (r.removed, r.removed_lines, r.removed_clauses) for r in op9_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    want = brute_repeats(rows)
+    assert got == want
+    assert want[6001][1] and not want[7001][1].startswith("0:") and want[7005][1].count(":") == 2
