@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetdelta.tables import bounded, shared_dir, ship, written
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -23,43 +20,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="sheetdelta-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it proves to have at most ``max_rows`` rows (of a few numbers each); else as it is,
-    so that Spark shuffles both sides and splits skewed partitions.  ``df`` should be materialised: it is counted."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-_shipped: set[str] = set()
+    """``df`` with a broadcast hint if it proves to have at most ``max_rows`` rows, and bytes in proportion; else as it is, so that
+    Spark shuffles both sides and splits skewed partitions.  ``df`` should be materialised: it is counted."""
+    return bounded(df, max_rows)
 
 
 def prepare(spark: SparkSession) -> None:
     """Make jobs independent of how the session was started: Python workers get this package, and adaptive execution with
     its skew-join splitting is on."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="sheetdelta-")) / f"{package.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        sc.addPyFile(z.filename)
-        _shipped.add(sc.applicationId)
+    ship(spark)
     for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
         if spark.conf.get(key, "true") != "true":
             spark.conf.set(key, "true")
