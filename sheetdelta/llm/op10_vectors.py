@@ -10,8 +10,9 @@ sample's own rows find a share of TARGET of their best neighbours in the sample;
 vectors without structure in many.  There is no cap on lists, and a query whose lists hold fewer than K rows besides its own takes the
 next ones until they hold as many, all lists at last.
 
-Lists that lie together form groups of up to GROUP.  A row or a query goes once to each group, with a bit for each of its lists
-there.  Groups are dealt to blocks of bounded size; a block scores each query against the rows that share a list with it, with the
+Lists that lie together form GROUPS groups (more where a group would have over 62 lists).  A row or a query goes once to each
+group, with a bit for each of its lists there, so a query's copies and what they return do not grow with the table until a group
+has over BLOCK rows.  Groups are dealt to blocks of bounded size; a block scores each query against the rows that share a list with it, with the
 original vectors in double precision, and the best K of each block meet in a final choice.
 
 Every row is indexed; only the fit looks at a sample (about SAMPLE rows, those with the smallest hashes).  Measured recall on the
@@ -37,7 +38,7 @@ K = 20
 SAMPLE, MAX_LISTS, LIST_ROWS = 20_000, 4_096, 128
 REPLICAS, BOUNDARY = 4, 1.04
 TARGET, TRIALS = 0.96, 256
-GROUP, BLOCK = 16, 8_192
+GROUPS, BLOCK = 16, 32_768
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,13 +81,17 @@ def fit(x: np.ndarray, lists: int, seed: int = 5, rounds: int = 6) -> np.ndarray
     return centres
 
 
+def group_size(lists: int) -> int:
+    return min(62, -(-lists // GROUPS))
+
+
 def near_order(centres: np.ndarray) -> np.ndarray:
     """Places of the centroids such that neighbours in order lie together: halves by the widest component, again and again."""
     out: list[np.ndarray] = []
     todo = [np.arange(len(centres))]
     while todo:
         own = todo.pop()
-        if len(own) <= GROUP:
+        if len(own) <= group_size(len(centres)):
             out.append(own)
             continue
         c = centres[own]
@@ -172,19 +177,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _emit(batch: pa.RecordBatch, places: list[np.ndarray], firsts: list[int]) -> pa.RecordBatch:
+def _emit(batch: pa.RecordBatch, places: list[np.ndarray], firsts: list[int], size: int) -> pa.RecordBatch:
     """A row per (row, group) with a bit for each list; ``places``: the lists of each row; ``firsts``: its own list, named once."""
     row, group, bits, first = [], [], [], []
     for i, (p, own) in enumerate(zip(places, firsts)):
-        groups, of = np.unique(p // GROUP, return_inverse=True)
+        groups, of = np.unique(p // size, return_inverse=True)
         mask = np.zeros(len(groups), np.int64)
-        np.bitwise_or.at(mask, of, 1 << (p % GROUP))
+        np.bitwise_or.at(mask, of, np.left_shift(1, p % size))
         row += [i] * len(groups)
         group += groups.tolist()
         bits += mask.tolist()
-        first += [own if g == own // GROUP else None for g in groups.tolist()]
+        first += [own if g == own // size else None for g in groups.tolist()]
     at = pa.array(row, pa.int64())
-    columns = [pa.array(group, pa.int32()), pa.array(bits, pa.int32()), pa.array(first, pa.int32()), *[batch.column(c).take(at) for c in ("row", "vec_id", "v")]]
+    columns = [pa.array(group, pa.int32()), pa.array(bits, pa.int64()), pa.array(first, pa.int32()), *[batch.column(c).take(at) for c in ("row", "vec_id", "v")]]
     return pa.RecordBatch.from_arrays(columns, ["grp", "bits", "own_list", "row", "vec_id", "v"])
 
 
@@ -201,7 +206,7 @@ def _assign(centres: np.ndarray, top: float):
                 for q, start in zip(full, graph.starts(full)):
                     c, d = graph.search(q, start, 4 * REPLICAS, BOUNDARY)
                     places.append(c[_replicas(d)])
-                yield _emit(batch, places, [int(p[0]) for p in places])
+                yield _emit(batch, places, [int(p[0]) for p in places], group_size(len(centres)))
 
     return run
 
@@ -223,7 +228,7 @@ def _probe(centres: np.ndarray, ratio: float, held: np.ndarray):
                         c = np.argsort(_distances(q[None], centres)[0], kind="stable")
                         n = max(n, int(np.searchsorted(np.cumsum(held[c]), K + same)) + 1)
                     places.append(c[:n])
-                yield _emit(batch, places, [-1] * len(places))
+                yield _emit(batch, places, [-1] * len(places), group_size(len(centres)))
 
     return run
 
@@ -266,7 +271,7 @@ def index(rows: DataFrame, n: int, top: float) -> tuple[np.ndarray, float, DataF
     centres = fit(sample, min(MAX_LISTS, max(1, n // LIST_ROWS)))
     centres = centres[near_order(centres)]
     kind = rows.schema["v"].dataType.simpleString()
-    posted = rows.select("row", "vec_id", "v").mapInArrow(_assign(centres, top), f"grp int, bits int, own_list int, row long, vec_id long, v {kind}")
+    posted = rows.select("row", "vec_id", "v").mapInArrow(_assign(centres, top), f"grp int, bits long, own_list int, row long, vec_id long, v {kind}")
     return centres, fit_ratio(sample, centres), materialise(posted, "lists")
 
 
@@ -299,12 +304,13 @@ def search(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     asked = materialise(usable(queries).where(F.size("v") == dims.m.dim).withColumn("row", F.monotonically_increasing_id()), "queries")
     same = rows.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("same"))
     asked = asked.join(same, "vec_id", "left").select("row", "vec_id", "v", F.coalesce("same", F.lit(0)).alias("same"))
+    asked = asked.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "row")
     kind = asked.schema["v"].dataType.simpleString()
-    probes = materialise(asked.mapInArrow(_probe(centres, ratio, held), f"grp int, bits int, own_list int, row long, vec_id long, v {kind}"), "probes")
+    probes = materialise(asked.mapInArrow(_probe(centres, ratio, held), f"grp int, bits long, own_list int, row long, vec_id long, v {kind}"), "probes")
 
     sizes = posted.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asks = probes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    both = F.broadcast(sizes.join(asks, "grp"))  # one row per group, of which there are at most 2 * MAX_LISTS / GROUP * 2
+    both = F.broadcast(sizes.join(asks, "grp"))  # one row per group, of which there are 2 * MAX_LISTS / 62 at most
     hashed = F.xxhash64("row")
     columns = ["bits", "row", "vec_id", "v"]
     right = posted.join(both, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(hashed, "blocks").cast("int").alias("j"), *columns)
