@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The shape of a dimension text, and of a value with a unit.
 DIMENSION = r"(?U)^\s*(\S{1,24})\s*=\s*(\d+(?:\.\d+)?\s*[a-zA-Z°%\"']{0,8})\s*$"
-VALUE = r"^\s*(-?\d+(?:\.\d+)?)\s*([a-zA-Z°%\"']*)\s*$"
+VALUE = r"^\s*([+-]?\d+(?:\.\d+)?)\s*([A-Za-z%]+)\s*$"
 
 
 def colour_hex(r: Column, g: Column, b: Column) -> Column:
@@ -31,12 +31,6 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def signed(value: Column) -> Column:
-    """A number as a signed decimal without trailing zeros, six significant digits."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.abs(value)), r"0+$", ""), r"\.$", "")
-    return F.concat(F.when(value < 0, "-").otherwise("+"), plain)
-
-
 def quoted(value: Column) -> tuple[Column, Column]:
     """(text, grounded): the value in quotes, or a notice if there is none."""
     some = value.isNotNull() & (value != "")

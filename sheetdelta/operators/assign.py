@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from ..tables import ship, written
 
 
-def greedy_one_to_one(candidates: DataFrame, group: str = "comparison_id", max_rounds: int = 200) -> DataFrame:
+#: Rounds of windows before what is left may be finished in order, and the most candidates for which that is done.
+ROUNDS, REST = 20, 1_000_000
+
+
+def greedy_one_to_one(candidates: DataFrame, group: str = "comparison_id", rounds: int = ROUNDS) -> DataFrame:
     """Rows (group, distance, old_id, new_id) that a greedy pass in the order (distance, old_id, new_id) would take.
 
     A pair that is first for both of its ends is in the greedy result; taking all of them and dropping what touches them,
-    again and again, gives the same pairs in a few rounds, and no group sits in one task."""
+    again and again, gives the same pairs in a few rounds, and no group sits in one task.  A chain of candidates with rising
+    distances settles one pair a round; so after some rounds, what is left is passed through in order if it has proved small."""
     order = ["distance", "old_id", "new_id"]
     by_old, by_new = Window.partitionBy(group, "old_id"), Window.partitionBy(group, "new_id")
-    pending, taken = candidates.select(group, *order), None
-    for _ in range(max_rounds):
+    pending, taken, done = candidates.select(group, *order), None, 0
+    while True:
         ranked = pending.withColumn("_o", F.row_number().over(by_old.orderBy(*order))).withColumn("_n", F.row_number().over(by_new.orderBy(*order)))
         marked = ranked.withColumn("_taken", (F.col("_o") == 1) & (F.col("_n") == 1))
         # An end of a pair that is taken takes its other candidates along.
@@ -27,9 +32,29 @@ def greedy_one_to_one(candidates: DataFrame, group: str = "comparison_id", max_r
         now = state.where("_taken").select(group, *order)
         taken = now if taken is None else taken.union(now)
         pending = state.where("not _gone").select(group, *order)
+        done += 1
         if pending.isEmpty():
             return taken
-    raise RuntimeError(f"the assignment did not settle in {max_rounds} rounds")
+        if done >= rounds and pending.limit(REST + 1).count() <= REST:
+            return taken.union(_in_order(pending, group, order))
+
+
+def _in_order(candidates: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """The greedy pass itself, over groups that have proved small."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        old, new, keep = set(), set(), []
+        for a, b in zip(frame["old_id"], frame["new_id"]):
+            free = a not in old and b not in new
+            keep.append(free)
+            if free:
+                old.add(a)
+                new.add(b)
+        return frame[keep]
+
+    ship(candidates.sparkSession)
+    return candidates.groupBy(group).applyInPandas(run, candidates.schema)
 
 
 def best_total(similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

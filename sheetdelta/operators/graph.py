@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import written
-from .grid import with_cells
+from ..tables import bounded, written
+from .grid import cell_sizes, with_cells
 
 KEY = ["comparison_id", "revision"]
 K = 4
@@ -55,18 +55,20 @@ def knn_edges(entities: DataFrame, k: int = K) -> DataFrame:
 
 def touch_edges(entities: DataFrame, sheets: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Pairs of entities whose boxes, widened by a share of their own sheet's diagonal, overlap."""
-    wide = F.when(F.col("revision") == "old", F.sqrt(F.col("old_width") ** 2 + F.col("old_height") ** 2)).otherwise(F.sqrt(F.col("new_width") ** 2 + F.col("new_height") ** 2))
-    s = sheets.select("comparison_id", "old_width", "old_height", "new_width", "new_height")
-    e = entities.select(*KEY, "entity_id", "x0", "y0", "x1", "y1").join(F.broadcast(s) if s.limit(100_001).count() <= 100_000 else s, "comparison_id")
-    e = e.withColumns({"tol": wide * tolerance, "cell": wide / 32})
+    s = bounded(sheets.select("comparison_id", "old_width", "old_height", "new_width", "new_height"))
+    e = entities.select(*KEY, "entity_id", "x0", "y0", "x1", "y1").join(s, "comparison_id")
+    own = lambda c: F.when(F.col("revision") == "old", F.col("old_" + c)).otherwise(F.col("new_" + c))
+    e = e.withColumns({"w": own("width"), "h": own("height")}).withColumn("tol", F.sqrt(F.col("w") ** 2 + F.col("h") ** 2) * tolerance)
+    e = e.join(bounded(written(cell_sizes(e, KEY, F.col("w"), F.col("h"), F.col("tol")), "cells")), KEY)
     e = with_cells(e, F.col("x0") - F.col("tol"), F.col("y0") - F.col("tol"), F.col("x1") + F.col("tol"), F.col("y1") + F.col("tol"), F.col("cell"))
     a = e.select(*KEY, "_cx", "_cy", F.col("entity_id").alias("source"), "x0", "y0", "x1", "y1", "tol", "cell")
     b = e.select(*KEY, "_cx", "_cy", F.col("entity_id").alias("target"), *[F.col(c).alias("o" + c) for c in ("x0", "y0", "x1", "y1")])
     pairs = a.join(b, [*KEY, "_cx", "_cy"]).where(F.col("source") < F.col("target"))
     tol = F.col("tol")
     hit = (F.col("ox0") <= F.col("x1") + tol) & (F.col("ox1") >= F.col("x0") - tol) & (F.col("oy0") <= F.col("y1") + tol) & (F.col("oy1") >= F.col("y0") - tol)
-    # Boxes that share several cells meet in each; the pair counts once.
-    return pairs.where(hit).select(*KEY, "source", "target").distinct().withColumn("edge_kind", F.lit("connectivity"))
+    # Boxes that share several cells count in the first of them, where the later of their lower corners lies.
+    first = [F.floor((F.greatest(F.col(c), F.col("o" + c)) - tol) / F.col("cell")) == F.col(g) for c, g in (("x0", "_cx"), ("y0", "_cy"))]
+    return pairs.where(hit & first[0] & first[1]).select(*KEY, "source", "target", F.lit("connectivity").alias("edge_kind"))
 
 
 def graph_edges(entities: DataFrame, sheets: DataFrame) -> DataFrame:

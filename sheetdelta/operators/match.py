@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import displacement, iou, mapped_box, shape_equivalent, side, style_equivalent
+from ..functions.numbers import fixed
 from ..schema import SIDE, THRESHOLDS, Thresholds
 from ..tables import bounded, written
 from .assign import greedy_one_to_one, optimal_by_group
-from .grid import with_cells
+from .grid import cell_sizes, with_cells
 
 A, B, T = side("a_"), side("b_"), F.col
 
 
 def sides(entities: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old entities with their sheet's transform and diagonal, and new entities with its diagonal; columns prefixed a_ and b_."""
-    s = sheets.withColumn("diag", F.sqrt(F.col("new_width") ** 2 + F.col("new_height") ** 2)).select("comparison_id", "diag", "tx", "ty", "scale", "rotation")
+    """Old entities with their sheet's transform, diagonal and cell size, and new entities with its cell size; columns prefixed a_ and b_."""
+    s = sheets.withColumn("diag", F.sqrt(F.col("new_width") ** 2 + F.col("new_height") ** 2))
+    # Both sides meet on the new sheet's cells, whose size follows its density.
+    inside = entities.where("revision = 'new'").join(bounded(s.select("comparison_id", "new_width", "new_height", "diag")), "comparison_id")
+    sizes = written(cell_sizes(inside, ["comparison_id"], F.col("new_width"), F.col("new_height"), 0.005 * F.col("diag")), "cells")
+    s = s.select("comparison_id", "diag", "tx", "ty", "scale", "rotation").join(sizes, "comparison_id", "left").withColumn("cell", F.coalesce("cell", F.col("diag") / 64))
     s = bounded(s)
     old = entities.where("revision = 'old'").select("comparison_id", *[F.col(c).alias("a_" + c) for c in [*SIDE, "signature"]]).join(s, "comparison_id")
     new = entities.where("revision = 'new'").select("comparison_id", *[F.col(c).alias("b_" + c) for c in [*SIDE, "signature"]])
-    new = new.join(s.select("comparison_id", F.col("diag").alias("b_diag"), _plain().alias("b_plain")), "comparison_id")
+    new = new.join(s.select("comparison_id", F.col("cell").alias("b_cell"), _plain().alias("b_plain")), "comparison_id")
     return old, new
 
 
@@ -39,14 +44,12 @@ def exact_candidates(old: DataFrame, new: DataFrame, th: Thresholds = THRESHOLDS
     same = old.where(_plain()).join(new, (old["comparison_id"] == new["comparison_id"]) & (old["a_signature"] == new["b_signature"])).drop(new["comparison_id"])
     by_hash = same.withColumn("distance", displacement(A, B, T)).where(near)
     # An exact match may sit one tolerance beyond a cell's edge, so the old side goes to every cell it may fall in.
-    cell = F.col("diag") / 64
     box = mapped_box(A, T)
     reach = th.exact * F.col("diag")
     ax, ay = _place(A, box)
-    o = with_cells(old.where(~_plain()).withColumn("_cell", cell), ax - reach, ay - reach, ax + reach, ay + reach, F.col("_cell"))
+    o = with_cells(old.where(~_plain()), ax - reach, ay - reach, ax + reach, ay + reach, F.col("cell"))
     bx, by = _place(B, (B("x0"), B("y0"), B("x1"), B("y1")))
-    cell_b = F.col("b_diag") / 64
-    n = new.where(~F.col("b_plain")).withColumns({"_cx": F.floor(bx / cell_b).cast("long"), "_cy": F.floor(by / cell_b).cast("long")})
+    n = new.where(~F.col("b_plain")).withColumns({"_cx": F.floor(bx / F.col("b_cell")).cast("long"), "_cy": F.floor(by / F.col("b_cell")).cast("long")})
     keys = (o["comparison_id"] == n["comparison_id"]) & (o["_cx"] == n["_cx"]) & (o["_cy"] == n["_cy"]) & (o["a_kind"] == n["b_kind"]) & o["a_text_payload"].eqNullSafe(n["b_text_payload"])
     loose = o.join(n, keys).drop(n["comparison_id"]).withColumn("distance", displacement(A, B, T))
     loose = loose.where(near & shape_equivalent(A, B, T, reach) & style_equivalent(A, B, T))
@@ -69,11 +72,10 @@ def remaining(rows: DataFrame, taken: DataFrame, own: str, other: str) -> DataFr
 def attribute_candidates(old: DataFrame, new: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
     """Pairs of one kind that changed in place.  Boxes widened by the tolerance meet on grid cells, then the rule decides."""
     tol = th.in_place * F.col("diag")
-    cell = F.col("diag") / 24
     box = mapped_box(A, T)
-    o = with_cells(old, F.least(box[0], _place(A, box)[0]) - tol, F.least(box[1], _place(A, box)[1]) - tol, F.greatest(box[2], _place(A, box)[0]) + tol, F.greatest(box[3], _place(A, box)[1]) + tol, cell)
+    o = with_cells(old, F.least(box[0], _place(A, box)[0]) - tol, F.least(box[1], _place(A, box)[1]) - tol, F.greatest(box[2], _place(A, box)[0]) + tol, F.greatest(box[3], _place(A, box)[1]) + tol, F.col("cell"))
     bx, by = _place(B, (B("x0"), B("y0"), B("x1"), B("y1")))
-    n = with_cells(new, F.least(B("x0"), bx), F.least(B("y0"), by), F.greatest(B("x1"), bx), F.greatest(B("y1"), by), F.col("b_diag") / 24)
+    n = with_cells(new, F.least(B("x0"), bx), F.least(B("y0"), by), F.greatest(B("x1"), bx), F.greatest(B("y1"), by), F.col("b_cell"))
     keys = (o["comparison_id"] == n["comparison_id"]) & (o["_cx"] == n["_cx"]) & (o["_cy"] == n["_cy"]) & (o["a_kind"] == n["b_kind"])
     pairs = o.join(n, keys).drop(n["comparison_id"]).withColumn("distance", displacement(A, B, T))
     near = F.col("distance") <= tol
@@ -103,7 +105,7 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity_histogram(assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per tenth of all assigned pairs, rejected ones included; labels as a number with one decimal."""
     s = F.greatest(F.lit(-1.0), F.least(F.lit(0.999), F.col("similarity")))
-    label = F.format_string("%.1f", s)
+    label = fixed(s, 1)
     return assigned.groupBy(*keys, label.alias("bucket")).agg(F.count("*").alias("n"))
 
 

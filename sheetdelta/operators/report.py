@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import location_bin
-from ..functions.text import VALUE, capitalised, collapsed, quoted, signed
+from ..functions.numbers import canonical, fixed, signed
+from ..functions.text import VALUE, capitalised, collapsed, quoted
 from ..schema import THRESHOLDS, Thresholds
 from ..tables import bounded
 from .delta import REPORT_ORDER
 
 
+#: A private character that no drawing text begins a number with.
+MARK = "\ue000"
+
+
 def _kinds() -> Column:
     return F.array_join("kinds", ", ")
 
@@ -117,7 +122,7 @@ def delta_cell() -> Column:
     diff = F.concat_ws(" ", signed(part(a, 1).cast("double") - part(b, 1).cast("double")), part(a, 2))
     dx = (after["x0"] + after["x1"]) / 2 - (before["x0"] + before["x1"]) / 2
     dy = (after["y0"] + after["y1"]) / 2 - (before["y0"] + before["y1"]) / 2
-    moved = F.concat(F.format_string("%.1f", F.sqrt(dx * dx + dy * dy)), F.lit(" pt"))
+    moved = F.concat(fixed(F.sqrt(dx * dx + dy * dy), 1), F.lit(" pt"))
     both = before.isNotNull() & after.isNotNull()
     return F.when(both & same_unit, diff).when(both & F.array_contains("kinds", "moved"), moved).otherwise(F.lit(""))
 
@@ -132,7 +137,7 @@ def summary_table(sheets: DataFrame, deltas: DataFrame) -> DataFrame:
     d = deltas.join(bounded(sheets.select("comparison_id", "new_width", "new_height")), "comparison_id").withColumn("position", _in_order())
     number = F.col("position").cast("string")
     kinds = F.when((F.col("change_type") == "modified") & (F.size("kinds") > 0), F.concat(F.lit(" ("), _kinds(), F.lit(")"))).otherwise(F.lit(""))
-    percent = lambda v: F.concat(F.format_string("%.0f", v * 100), F.lit("%"))
+    percent = lambda v: F.concat(fixed(v * 100, 0), F.lit("%"))
     return d.select(
         "comparison_id",
         F.col("position").cast("long").alias("position"),
@@ -203,10 +208,11 @@ def change_values(deltas: DataFrame) -> DataFrame:
 
 
 def canonical_reports(sheets: DataFrame, deltas: DataFrame, version: str = "1") -> DataFrame:
-    """(comparison_id, report): one JSON text per comparison with sorted names, numbers rounded to six digits and no negative zero."""
+    """(comparison_id, report): one JSON text per comparison with sorted names, numbers rounded to six decimals and no negative zero."""
 
     def number(c: Column) -> Column:
-        return F.round(c, 6) + F.lit(0.0)
+        # Marked texts, whose quotes go at the end: the JSON writer would give large numbers exponents.
+        return F.concat(F.lit(MARK), canonical(c))
 
     def entity(s: Column) -> Column:
         fields = {
@@ -225,4 +231,5 @@ def canonical_reports(sheets: DataFrame, deltas: DataFrame, version: str = "1")
     rows = F.transform(F.coalesce("rows", F.expr("array()").cast(lists.schema["rows"].dataType)), lambda r: r["row"])
     outcome = F.when(F.size(rows) > 0, "changes_found").otherwise("no_changes")
     body = F.struct(F.col("comparison_id"), rows.alias("deltas"), outcome.alias("outcome"), F.lit(version).alias("pipeline_version"))
-    return out.select("comparison_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+    text = F.regexp_replace(F.to_json(body, {"ignoreNullFields": "false"}), f'"{MARK}([-0-9.e]+)"', "$1")
+    return out.select("comparison_id", text.alias("report"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import iou
 from ..tables import written
 from .assign import greedy_one_to_one
+from .grid import with_cells
 
 MIN_IOU = 0.3
 
@@ -16,12 +17,20 @@ def score_pairs(found: DataFrame, key: DataFrame) -> DataFrame:
     """``key``: comparison_id, key_id (its order), change_type, kind, x0..y1, old_value, new_value (null: not asked); ``found`` has
     the same with found_id (its order).  Pairs of equal type, kind and values that overlap enough, one to one in key order."""
     f = found.select("comparison_id", "change_type", "kind", "found_id", *[F.col(c).alias("f_" + c) for c in ("x0", "y0", "x1", "y1", "old_value", "new_value")])
-    pairs = key.join(f, ["comparison_id", "change_type", "kind"])
+    # Boxes of which one is more than 1 / MIN_IOU times as long as the other do not overlap enough; the others meet on cells of their own
+    # size: a found box on the cells of its level (a power of two), a key's box on those of the levels about its own.
+    level = lambda p: F.floor(F.log2(F.greatest(F.col(p + "x1") - F.col(p + "x0"), F.col(p + "y1") - F.col(p + "y0")))).cast("int")
+    some = lambda p: (F.col(p + "x1") > F.col(p + "x0")) & (F.col(p + "y1") > F.col(p + "y0"))
+    size = F.power(F.lit(2.0), F.col("_level") + 1)
+    corners = lambda p: [F.col(p + c) for c in ("x0", "y0", "x1", "y1")]
+    f = with_cells(f.where(some("f_")).withColumn("_level", level("f_")), *corners("f_"), size)
+    k = key.where(some("")).withColumn("_level", F.explode(F.sequence(level("") - 2, level("") + 2)))
+    pairs = with_cells(k, *corners(""), size).join(f, ["comparison_id", "change_type", "kind", "_level", "_cx", "_cy"])
     over = iou(tuple(F.col("f_" + c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))) >= MIN_IOU
     same = [F.col(c).isNull() | (F.col(c) == F.col("f_" + c)) for c in ("old_value", "new_value")]
     pairs = pairs.where(over & F.coalesce(same[0] & same[1], F.lit(False)))
     # Key order first, then the order of the found changes: a greedy pass by (key, found).
-    ranked = pairs.select("comparison_id", F.col("key_id").cast("double").alias("distance"), F.col("key_id").alias("old_id"), F.col("found_id").alias("new_id"))
+    ranked = pairs.select("comparison_id", F.col("key_id").cast("double").alias("distance"), F.col("key_id").alias("old_id"), F.col("found_id").alias("new_id")).distinct()
     return greedy_one_to_one(ranked)
 
 

@@ -200,7 +200,7 @@ SELECT comparison_id, old_id AS entity_id, CAST(new_id AS BIGINT) - 1000000000 A
     "summary_table": f"""{_SQL_R}{_DELTA} SELECT comparison_id, position, delta_id, 'CH-' || CASE WHEN position < 1000 THEN lpad(CAST(position AS VARCHAR), 3, '0') ELSE CAST(position AS VARCHAR) END AS change,
   {_CAP.format("change_type")} || CASE WHEN kinds <> '' THEN ' (' || {_KL} || ')' ELSE '' END AS change_cell, kind AS entity,
   {_WHERE9.format(x="((x0 + x1) / 2)", y="((y0 + y1) / 2)", w="new_width", h="new_height")} AS location, {_OLD} AS old_value, {_NEW} AS new_value,
-  CASE WHEN change_type = 'modified' AND kind = 'dimension' THEN CASE WHEN {_NUM} < 0 THEN '-' ELSE '+' END || CAST(CAST(abs({_NUM}) AS BIGINT) AS VARCHAR) || ' cm'
+  CASE WHEN change_type = 'modified' AND kind = 'dimension' THEN printf('%+g cm', {_NUM})
     WHEN contains(kinds, 'moved') THEN printf('%.1f pt', sqrt(power((b_x0 + b_x1) / 2 - (a_x0 + a_x1) / 2, 2) + power((b_y0 + b_y1) / 2 - (a_y0 + a_y1) / 2, 2))) ELSE '' END AS delta, '' AS confidence
 FROM p JOIN sheets USING (comparison_id)""",
     "top_changes": f"{_SQL_R}{_DELTA} SELECT comparison_id, n AS position, delta_id FROM (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY position) AS n FROM p WHERE change_type <> 'added') WHERE n <= 15",

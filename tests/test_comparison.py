@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sheetdelta.functions.geometry import location_bin
 from sheetdelta.functions.identity import with_identity
-from sheetdelta.functions.text import capitalised, collapsed, colour_hex, parse_dimension, signed
+from sheetdelta.functions.numbers import canonical, fixed, signed
+from sheetdelta.functions.text import VALUE, capitalised, collapsed, colour_hex, parse_dimension
 from sheetdelta.operators.assign import best_total, greedy_one_to_one
 from sheetdelta.operators.delta import violations
 from sheetdelta.operators.graph import knn
@@ -41,6 +42,41 @@ def test_text_functions(spark):
     assert one(spark, colour_hex(lit(1.0), lit(None).cast("double"), lit(0.0))) == (None,)
 
 
+def test_numbers_as_text(spark):
+    """Against Python's formatting: ties, near ties, large and small numbers."""
+    import json
+    import random
+
+    r = random.Random(1)
+    values = [0.0, -0.0, 0.25, 0.35, 12.5, 13.5, 0.15, 2.675, 1000.123456, 1234567.5, 999999.5, 99999.95, 1e-5, 1.5e-7, 0.0001, 100000.0, 1e6, 123456.5, 0.05, -0.04, 5e-7, 1.5e-6, 2.5e-6, 0.000105, 12345.678905, 1e7]
+    values += [r.choice([-1, 1]) * r.randint(0, 10**9) / r.choice([4, 8, 20, 1000, 2000, 10**6, 2 * 10**6]) for _ in range(3000)]
+    values += [r.uniform(-1, 1) * 10 ** r.randint(-6, 8) for _ in range(3000)]
+    v = F.col("v")
+    rows = spark.createDataFrame([(x,) for x in values], "v double").select(v, signed(v).alias("g"), fixed(v, 1).alias("f1"), fixed(v, 0).alias("f0"), canonical(v).alias("c")).collect()
+    for x in rows:
+        size = abs(x.v)
+        sign = "-" if x.v < 0 else ""
+        rounded = round(x.v, 6)
+        assert (x.g, x.f1, x.f0) == (("-" if x.v < 0 else "+") + f"{size:g}", sign + f"{size:.1f}", sign + f"{size:.0f}"), x.v
+        assert x.c == json.dumps(0.0 if rounded == 0 else rounded), x.v
+
+
+def test_value_pattern():
+    """A unit is needed, a sign of either kind is read."""
+    import re
+
+    assert [bool(re.match(VALUE, t)) for t in ("5 cm", "+5 cm", "-5.25%", "5", "5 °", "5 cm2", "")] == [True, True, True, False, False, False, False]
+
+
+def test_greedy_chain(spark):
+    """A chain of candidates with rising distances settles one pair a round; rounds do not bound it."""
+    rows = [("c", float(2 * k), f"o{k:03}", f"n{k:03}") for k in range(60)] + [("c", float(2 * k + 1), f"o{k + 1:03}", f"n{k:03}") for k in range(59)]
+    df = spark.createDataFrame(rows, "comparison_id string, distance double, old_id string, new_id string")
+    want = {(f"o{k:03}", f"n{k:03}") for k in range(60)}
+    for rounds in (2, 4):
+        assert {(x.old_id, x.new_id) for x in greedy_one_to_one(df, rounds=rounds).collect()} == want
+
+
 def test_location_bins(spark):
     for (x, y), want in {(1, 1): "upper left", (50, 50): "mid center", (99, 99): "lower right", (-5, 200): "lower left"}.items():
         c = [F.lit(float(v)) for v in (x, y, x, y, 100, 100)]
