@@ -15,8 +15,9 @@ Defined results: null or wordless texts have an empty set and stay alone; repeat
 component; component_id is the smallest non-null doc_id, and rows without a doc_id are kept only if their class has none
 (component_id null); an empty table gives an empty result; further columns are ignored.
 
-The stage decides by row, not by doc_id: one row of each component stays, the one with the smallest doc_id (none last), so
-repeated rows, copies without a doc_id and different texts under one doc_id each get the right verdict.
+The stage decides by doc_id and text together (a 128-bit digest), not by doc_id: one row of each component stays, the one with
+the smallest doc_id (none last), so repeated rows, copies without a doc_id and different texts under one doc_id each get the right
+verdict.  Which of the rows of one doc_id and text stays is open where they differ in further columns.
 """
 
 from __future__ import annotations
@@ -224,7 +225,8 @@ def _components(docs: DataFrame, link: int) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.col("text").cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, path long, n_shingles long, node binary, sig binary"), "signatures")
+    kind = docs.schema["path"].dataType.simpleString()
+    signed = materialise(docs.mapInArrow(_sign, f"doc_id long, path {kind}, n_shingles long, node binary, sig binary"), "signatures")
     classes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("path").alias("path"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
 
@@ -291,20 +293,25 @@ def _full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each component stays, the one with the smallest doc_id (none last, then the row key); documents
-    are linked from 80 percent on, where a pair shares no band with probability 3e-6.  Rows without words all stay."""
+    """Pipeline stage: one row of each component stays, the one with the smallest doc_id (none last); documents are linked from 80
+    percent on, where a pair shares no band with probability 3e-6.  Rows without words all stay."""
     key = "_row"
     while key in docs.columns:
         key += "_"
-    # Written once, so that a row has the same key wherever it is read.
-    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    named = F.md5(F.concat_ws("\u001f", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text").cast("string")))
+    keyed = docs.withColumn(key, named)
     rows = _components(keyed.select("doc_id", F.col(key).alias("path"), "text"), STAGE_LINK).where(F.col("node").isNotNull())
     rows = materialise(rows.select("doc_id", "path", "root"), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "path"))["path"]
     stays = rows.groupBy("root").agg(F.count("*").alias("n"), first.alias("stays")).where("n > 1")
-    dropped = rows.join(stays, "root").where(F.col("path") != F.col("stays")).select(F.col("path").alias(key))
-    dropped = materialise(dropped, "dropped")
-    return keyed.join(small_side(dropped), key, "left_anti").select(*docs.columns)
+    dropped = rows.join(stays, "root").where(F.col("path") != F.col("stays")).select(F.col("path").alias(key)).distinct()
+    kept = keyed.join(small_side(materialise(dropped, "dropped")), key, "left_anti")
+    # Rows that are repeated whole share a key; of those one stays.
+    repeated = materialise(rows.groupBy(F.col("path").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
+    if not repeated.isEmpty():
+        repeated = small_side(repeated)
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,12 +102,15 @@ def _statistics(df: DataFrame) -> DataFrame:
     return df.select("*", failed.alias("base_failed"), *[(F.round(v / g) * g).alias(x) for v, x, g in zip(values, X, GRID)])
 
 
-def _grouped(df: DataFrame) -> DataFrame:
-    """Adds ``_g``, the group in which a row is judged."""
+def _named_groups(df: DataFrame) -> DataFrame:
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))
     source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    df = df.withColumns({"_l": lang, "_s": source})
-    each = df.where(~F.col("base_failed")).groupBy("_l", "_s").agg(F.count("*").alias("n"))
+    return df.withColumns({"_l": lang, "_s": source})
+
+
+def _groups(df: DataFrame) -> DataFrame:
+    """(_l, _s, _g): the group in which the rows of a language and source are judged."""
+    each = _named_groups(df).where(~F.col("base_failed")).groupBy("_l", "_s").agg(F.count("*").alias("n"))
     each = materialise(each, "group-sizes")
     pooled = each.where(F.col("n") < MIN_GROUP).groupBy("_l").agg(F.sum("n").alias("pool"))
     named = each.join(pooled, "_l", "left").select(
@@ -118,7 +121,11 @@ def _grouped(df: DataFrame) -> DataFrame:
         .otherwise("*")
         .alias("_g"),
     )
-    return df.join(small_side(materialise(named, "groups"), BROADCAST), ["_l", "_s"], "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).drop("_l", "_s")
+    return small_side(materialise(named, "groups"), BROADCAST)
+
+
+def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
+    return _named_groups(df).join(groups, ["_l", "_s"], "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).drop("_l", "_s")
 
 
 def _factor(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,21 +231,29 @@ def estimate(cells: DataFrame) -> DataFrame:
     return materialise(_moments(near.groupBy("_g").agg(*_sums(X)), FACTOR_REWEIGHT, ["_g"]), "spread")
 
 
-def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` as a struct ``doc``, the counts, base_failed, kept and distance2 of every row."""
+def judge(docs: DataFrame, keep: list[str], again: bool = False) -> DataFrame:
+    """The columns ``keep`` as a struct ``doc``, the counts, base_failed, kept and distance2 of every row.
+
+    Statistics are written once for all steps, with ``keep`` beside them; ``again`` works them out a second time from the texts
+    instead, so that wide columns are read twice but neither written nor shuffled."""
     doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc")
-    narrow = docs.select(doc, F.col("text").cast("string").alias("text"), "lang", "source")
-    rows = materialise(_statistics(counts(narrow, ["_doc", "lang", "source"])), "statistics")
-    rows = _grouped(rows)
-    spread = estimate(cells_of(rows.where(~F.col("base_failed")).select("_g", *X)))
+    text = F.col("text").cast("string").alias("text")
+    narrow = [] if again else ["_doc"]
+    rows = _statistics(counts(docs.select(*([] if again else [doc]), text, "lang", "source"), [*narrow, "lang", "source"]))
+    rows = materialise(rows.select(*narrow, "lang", "source", *COUNTS, "base_failed", *X), "statistics")
+    groups = _groups(rows)
+    rows = _grouped(rows, groups)
+    spread = small_side(estimate(cells_of(rows.where(~F.col("base_failed")).select("_g", *X))), BROADCAST)
+    if again:
+        rows = _grouped(_statistics(counts(docs.select(doc, text, "lang", "source"), ["_doc", "lang", "source"])), groups)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("_d"), F.lit(0.0)) <= CUTOFF)
-    placed = _distance(rows.join(small_side(spread, BROADCAST), "_g", "left"))
+    placed = _distance(rows.join(spread, "_g", "left"))
     return placed.select(F.col("_doc").alias("doc"), *COUNTS, "base_failed", kept.alias("kept"), F.col("_d").alias("distance2"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep.  Rows travel with their statistics, so each has its own verdict."""
-    return judge(docs, docs.columns).where("kept").select("doc.*")
+    """Pipeline stage: the documents that the rules keep.  Each row has its own verdict, beside it."""
+    return judge(docs, docs.columns, again=True).where("kept").select("doc.*")
 
 
 def op6_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
