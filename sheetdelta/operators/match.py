@@ -102,6 +102,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def unit(v: Column) -> Column:
+    """``v`` at unit length; a zero vector stays."""
+    norm = F.sqrt(cosine(v, v))
+    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+
 def similarity_histogram(assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per tenth of all assigned pairs, rejected ones included; labels as a number with one decimal."""
     s = F.greatest(F.lit(-1.0), F.least(F.lit(0.999), F.col("similarity")))

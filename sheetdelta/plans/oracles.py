@@ -153,8 +153,6 @@ FROM ff f LEFT JOIN both_ways t ON t.comparison_id = f.comparison_id AND t.revis
 LEFT JOIN ff g ON g.comparison_id = t.comparison_id AND g.revision = t.revision AND g.entity_id = t.target GROUP BY ALL""",
     "cosine_pairs": """SELECT a.label, a.vec_id, b.vec_id AS other, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 40""",
-    "similarity_gap": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[])[1:32] AS a, CAST(embedding AS DOUBLE[])[33:64] AS b FROM embeddings)
-SELECT v.label, round(min(list_dot_product(v.a, v.a)), 6) AS min_true, round(max(list_dot_product(v.a, w.b)), 6) AS max_false FROM v LEFT JOIN v w ON w.vec_id = v.vec_id - 1 GROUP BY v.label""",
     "text_anchors": f"WITH {_ANCHOR} SELECT * FROM ta",
     "geometry_anchors": f"WITH {_ANCHOR.replace('FROM e),', 'FROM (SELECT * REPLACE (CAST(comparison_id * 100 + ordinal // 2 % 50 AS INT) AS comparison_id) FROM e)),')} SELECT * FROM ga",
     "fit_similarity_ls": f"""WITH {_ANCHOR}, f AS ({_ls("t3")}) SELECT comparison_id, n, round(sqrt(a * a + b * b), 4) AS scale, round(atan2(b, a), 4) + 0.0 AS rotation,
@@ -232,3 +230,17 @@ ORACLES["score_precision_recall"] = f"""{_SQL_R}{_DELTA}, key AS ({KEY_SQL}), {_
 SELECT comparison_id, coalesce(g.n, 0) AS matched, coalesce(f.n, 0) AS found, coalesce(k.n, 0) AS expected, round(CASE WHEN f.n > 0 THEN coalesce(g.n, 0) / f.n ELSE 1 END, 6) AS precision,
   round(CASE WHEN k.n > 0 THEN coalesce(g.n, 0) / k.n ELSE 1 END, 6) AS recall FROM sheets LEFT JOIN (SELECT comparison_id, count(*) AS n FROM g GROUP BY 1) g USING (comparison_id)
 LEFT JOIN (SELECT comparison_id, count(*) AS n FROM d GROUP BY 1) f USING (comparison_id) LEFT JOIN (SELECT comparison_id, count(*) AS n FROM key GROUP BY 1) k USING (comparison_id)"""
+
+_HALVES = """WITH v AS (SELECT vec_id, vec_id // 60 AS comparison_id, CAST(embedding AS DOUBLE[])[1:32] AS a, CAST(embedding AS DOUBLE[])[33:64] AS b FROM embeddings),
+p AS (SELECT x.comparison_id, x.vec_id = y.vec_id AS is_true, list_cosine_similarity(x.a, y.b) AS s FROM v x JOIN v y USING (comparison_id))"""
+ORACLES["similarity_gap"] = f"""{_HALVES} SELECT comparison_id, round(min(s) FILTER (WHERE is_true), 6) AS min_true, round(max(s) FILTER (WHERE NOT is_true), 6) AS max_false FROM p GROUP BY comparison_id"""
+ORACLES["cosine_matrix"] = """SELECT a.vec_id // 60 AS comparison_id, a.vec_id AS old_id, b.vec_id AS new_id,
+  CASE WHEN a.label = b.label THEN round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) ELSE -1 END AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id // 60 = b.vec_id // 60 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1"""
+ORACLES["cosine_topk"] = """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 5"""
+ORACLES["graph_edges"] = f"""SELECT comparison_id, revision, source, target, edge_kind FROM ({ORACLES["knn_edges"]})
+UNION SELECT comparison_id, revision, source, target, edge_kind FROM ({ORACLES["touch_edges"]})"""
+ORACLES["summary_lookup"] = f"""SELECT t.comparison_id, t.position, t.change, l.text FROM ({ORACLES["summary_table"]}) t JOIN ({ORACLES["summary_lines"]}) l USING (comparison_id, delta_id)"""
+ORACLES["first_changes"] = f"{_SQL_R}{_DELTA} SELECT comparison_id, position, delta_id FROM p WHERE position <= 15"

@@ -125,6 +125,11 @@ def touch_edges(spark, sf_dir):
     return graph.touch_edges(_entities(spark, sf_dir), fixtures.sheets(spark))
 
 
+@query
+def graph_edges(spark, sf_dir):
+    return graph.graph_edges(written(_entities(spark, sf_dir)), fixtures.sheets(spark))
+
+
 @query
 def edge_degrees(spark, sf_dir):
     return graph.degrees(graph.touch_edges(_entities(spark, sf_dir), fixtures.sheets(spark)))
@@ -156,15 +161,48 @@ def cosine_pairs(spark, sf_dir):
     return pairs.select("label", "vec_id", "other", _r(match.cosine(F.col("v"), F.col("w"))).alias("similarity"))
 
 
+def _groups(spark, sf_dir):
+    """(old, new): even and odd vectors as the two revisions of comparisons of 60 numbers; every vector is in one."""
+    v = _vectors(spark, sf_dir).withColumn("comparison_id", F.floor(F.col("vec_id") / 60).cast("int"))
+    pick = lambda rest, id_, vector, kind: v.where(F.col("vec_id") % 2 == rest).select("comparison_id", F.col("vec_id").alias(id_), F.col("v").alias(vector), F.col("label").alias(kind))
+    return pick(0, "old_id", "a", "a_kind"), pick(1, "new_id", "b", "b_kind")
+
+
+@query
+def cosine_matrix(spark, sf_dir):
+    """Every old with every new vector of a comparison; -1 between kinds."""
+    old, new = _groups(spark, sf_dir)
+    s = F.when(F.col("a_kind") == F.col("b_kind"), match.cosine(F.col("a"), F.col("b"))).otherwise(F.lit(-1.0))
+    return old.join(new, "comparison_id").select("comparison_id", "old_id", "new_id", _r(s).alias("similarity"))
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    """The five most similar vectors for every vector whose number is divisible by 50, against the whole table, in blocks."""
+    v = written(_vectors(spark, sf_dir).select("vec_id", "v"), "vectors")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks = lambda df, size: F.lit(max(1, -(-df.count() // size)))
+    of_rows, of_queries = blocks(v, 10_000), blocks(q, 2_000)
+    # Each block of queries meets each block of rows once, so no task holds either side whole.
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = q.withColumn("i", F.pmod(F.xxhash64("query_id"), of_queries).cast("int")).withColumn("j", every(of_rows))
+    rows = v.withColumn("j", F.pmod(F.xxhash64("vec_id"), of_rows).cast("int")).withColumn("i", every(of_queries))
+    pairs = q.join(rows, ["i", "j"]).where(F.col("vec_id") != F.col("query_id"))
+    pairs = pairs.select("query_id", "vec_id", _r(match.cosine(F.col("q"), F.col("v"))).alias("similarity"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where("rank <= 5").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "similarity")
+
+
 @query
 def similarity_gap(spark, sf_dir):
-    """Halves of vectors as two revisions: a pair is true if it comes from one vector; false pairs are its neighbours by number."""
-    v = _vectors(spark, sf_dir).select("vec_id", "label", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
-    near = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("b").alias("other"))
-    true = v.select("label", F.lit(True).alias("is_true"), match.cosine(F.col("a"), F.col("a")).alias("similarity"))
-    false = v.join(near, "vec_id").select("label", F.lit(False).alias("is_true"), match.cosine(F.col("a"), F.col("other")).alias("similarity"))
-    g = ft.similarity_gap(true.union(false), ["label"])
-    return g.select("label", _r("min_true").alias("min_true"), _r("max_false").alias("max_false"))
+    """The halves of a vector, at unit length, as one entity in two revisions: the true pairs.  Every other pair of halves in a comparison
+    of 60 vectors is false."""
+    unit = lambda at: match.unit(F.slice("v", at, 32))
+    v = written(_vectors(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 60).cast("int").alias("comparison_id"), unit(1).alias("a"), unit(33).alias("b")), "halves")
+    other = v.select("comparison_id", F.col("vec_id").alias("other_id"), F.col("b").alias("other"))
+    pairs = v.join(other, "comparison_id").select("comparison_id", (F.col("vec_id") == F.col("other_id")).alias("is_true"), match.cosine(F.col("a"), F.col("other")).alias("similarity"))
+    g = ft.similarity_gap(pairs, ["comparison_id"])
+    return g.select("comparison_id", _r("min_true").alias("min_true"), _r("max_false").alias("max_false"))
 
 
 def _learned(spark, sf_dir):
@@ -394,11 +432,44 @@ def summary_table(sheets, d):
     return report.summary_table(sheets, d)
 
 
+@_on_deltas
+def summary_lookup(sheets, d):
+    """The sentence of every row of the table, found by its change."""
+    rows = report.summary_table(sheets, d).select("comparison_id", "position", "change", "delta_id")
+    return rows.join(report.summary_lines(d), ["comparison_id", "delta_id"]).select("comparison_id", "position", "change", "text")
+
+
+@query
+def moved_vs_removed(spark, sf_dir):
+    """The learned tier in the whole flow: parts moved by 20, and parts gone here and come again 300 further down, have one vector on
+    both sheets.  The first are moves with a similarity; the second are too far apart, so one entity is gone and another come."""
+    e = fixtures.entities(spark, sf_dir).withColumn("k", F.floor(F.col("ordinal") / 2))
+    label = F.when(F.col("kind") == "linework", F.when(F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0"), "wide").otherwise("tall"))
+    e = e.withColumns({"semantic_label": label, "semantic_confidence": F.when(label.isNotNull(), 0.5 + F.col("k") % 40 / 100)})
+    again = F.col("ordinal") % 2 == 1
+    moved = (F.col("k") % 19 == 0) & (F.col("k") % 17 != 0) & ~again
+    apart = (F.col("k") % 527 == 0) & ((F.col("revision") == "old") | again)
+    angle = F.col("k") * 2.399963
+    named = written(with_identity(e), "entities")
+    vectors = named.where(moved | apart).select("comparison_id", "revision", "entity_id", F.array(F.cos(angle), F.sin(angle)).alias("vector"))
+    sheets = fixtures.sheets(spark)
+    c = compare(e.drop("k"), sheets, vectors, registered=True)
+    rows = report.summary_table(sheets, c.deltas).join(report.summary_lines(c.deltas), ["comparison_id", "delta_id"])
+    d = c.deltas.select("comparison_id", "delta_id", "change_type", F.array_join("kinds", ",").alias("kinds"), "tier", "similarity", F.coalesce("new_id", "old_id").alias("entity_id"))
+    return d.join(rows.select("comparison_id", "delta_id", "entity", "confidence", "text"), ["comparison_id", "delta_id"])
+
+
 @_on_deltas
 def top_changes(sheets, d):
     return report.top_changes(d, 15, ["modified", "removed"]).select("comparison_id", F.col("position").cast("long").alias("position"), "delta_id")
 
 
+@_on_deltas
+def first_changes(sheets, d):
+    """The first 15 changes of all types, as the report lists them."""
+    return report.top_changes(d).select("comparison_id", F.col("position").cast("long").alias("position"), "delta_id")
+
+
 @_on_deltas
 def recommendations(sheets, d):
     r = report.recommendations(report.severity(sheets, d), report.change_counts(sheets, d), d)

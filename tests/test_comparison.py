@@ -273,3 +273,15 @@ def test_fixture_rules(spark, data):
     e = fixtures.entities(spark, data)
     assert e.where("revision = 'old'").count() == spark.read.parquet(f"{data}/part.parquet").count()
     assert e.groupBy("comparison_id", "revision", "ordinal").count().where("count > 1").count() == 0
+
+
+def test_moved_vs_removed(spark, data):
+    """Moves are found by similarity and carry it; what is too far apart is one entity gone and one come."""
+    rows = queries.QUERIES["moved_vs_removed"](spark, data).collect()
+    learned = [r for r in rows if r.tier == "learned"]
+    assert learned and all(r.change_type == "modified" and "moved" in r.kinds and r.confidence == "100%" for r in learned)
+    parts = spark.read.parquet(f"{data}/part.parquet").count()
+    named = [k for k in range(1, parts + 1) if k % 19 == 0 and k % 17 and k % 4 >= 2]
+    assert len([r for r in learned if r.entity in ("text", "dimension")]) == len(named)
+    assert any(r.change_type == "removed" and "type \"" in r.text for r in rows) and any("(" in r.entity for r in rows)
+    assert not [r for r in rows if r.change_type != "modified" and r.confidence]

@@ -38,6 +38,40 @@ def test_pdf(spark, tmp_path):
         pdf.provider("dxf")
 
 
+def test_pdf_graphics_state():
+    """Transforms with save and restore, closed paths, short curves, turned rectangles, colours, arrays of strings; too few operands."""
+    content = (
+        b"q 2 0 0 2 10 20 cm 1 w 0 0 m 5 0 l 5 5 l h S 0 1 0 rg 1 1 3 2 re f Q 1 0 0 RG 0 0 m 1 1 2 2 v 3 3 4 4 y S "
+        b"q 0 1 -1 0 0 0 cm 1 2 3 4 re S Q 0.5 g 0 0 m 9 0 l b 1 2 re S m BT /F 10 Tf 2 0 0 2 50 60 Tm [(W ) -20 (= ) <34302063>(m)] TJ 0 -10 Td (A\\(\\051) Tj ET"
+    )
+    items = pdf.scan(pdf_bytes(content))["items"]
+    shapes = [([(o["op"], [(p["x"], 595 - p["y"]) for p in o["points"]]) for o in i["ops"]], i["stroke"], i["fill"], i["width"]) for i in items if i["text"] is None]
+    black, red, green, grey = [0.0] * 3, [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.5] * 3
+    assert shapes == [
+        ([("l", [(10, 20), (20, 20)]), ("l", [(20, 20), (20, 30)]), ("l", [(20, 30), (10, 20)])], black, None, 2.0),
+        ([("re", [(12, 26), (18, 22)])], None, green, None),
+        ([("c", [(0, 0), (0, 0), (1, 1), (2, 2)]), ("c", [(2, 2), (3, 3), (4, 4), (4, 4)])], red, None, 1.0),
+        ([("qu", [(-6, 1), (-6, 4), (-2, 1), (-2, 4)])], red, None, 1.0),
+        ([("l", [(0, 0), (9, 0)]), ("l", [(9, 0), (0, 0)])], red, grey, 1.0),
+    ]
+    assert [(i["text"], i["x"], 595 - i["y"], i["size"]) for i in items if i["text"]] == [("W = 40 cm", 50, 60, 20), ("A()", 50, 40, 20)]
+    assert pdf.scan(pdf_bytes(b"1 2 re"))["items"] == [] and pdf.scan(pdf_bytes(CONTENT, True)[:150] + b"%%EOF")["items"] == []
+
+
+def test_pdf_pages_and_object_streams():
+    """The page asked for, by the page tree, also where its object lies in an object stream."""
+    first, second = b"0 0 m 1 1 l S", zlib.compress(b"5 5 m 6 6 l S 7 7 m 8 8 l S")
+    packed = b"<< /Type /Page /Contents [6 0 R] /MediaBox [0 0 200 100] >>"
+    stream = zlib.compress(b"4 0 " + packed)
+    data = (
+        b"%PDF-1.5\n1 0 obj << /Type /Pages /Kids [4 0 R 3 0 R] >> endobj\n3 0 obj << /Type /Page /Contents 5 0 R /MediaBox [0 0 842 595] >> endobj\n"
+        b"5 0 obj << /Length 13 >> stream\n" + first + b"\nendstream endobj\n6 0 obj << /Filter /FlateDecode >> stream\n" + second + b"\nendstream endobj\n"
+        b"7 0 obj << /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream endobj\n%%EOF"
+    )
+    found = [pdf.scan(data, k) for k in range(3)]
+    assert [(f["pages"], len(f["items"])) for f in found] == [(2, 2), (2, 1), (2, 0)] and [f["page_width"] for f in found[:2]] == [200.0, 842.0]
+
+
 def kinds(c):
     return Counter((d.change_type, ",".join(d.kinds)) for d in c.deltas.collect())
 
