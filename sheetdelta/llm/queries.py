@@ -16,6 +16,9 @@ _MODULES = {
     "op8_language": ["op8_cross_parsing"],
     "op9_substring": ["op9_repeated_units"],
     "op10_vectors": ["op10_posting_lists"],
+    "op11_suffix": ["op11_bucket_pointers"],
+    "op12_divergence": ["op12_source_divergence"],
+    "op13_resampling": ["op13_target_resampling"],
 }
 
 
