@@ -38,7 +38,7 @@ from .shingles import _power_table, mix
 WIDTH, GRAM = 400, 100
 #: Pointers of a part, level by level; each is a multiple of the next.
 LEVELS = (WIDTH - GRAM + 1, 43, 1)
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Fixed values of the two digest functions: a number for each byte.
 _VALUES = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
 _RANGE = "row long, at int, first int, last int, core long, whole long"
