@@ -117,3 +117,56 @@ def pair(spark: SparkSession, mutations: list[str], dx: float = 0.0, dy: float =
 
 def sheets(spark: SparkSession, ids: list[int]) -> DataFrame:
     return spark.createDataFrame([(i, WIDTH, HEIGHT, WIDTH, HEIGHT, 0.0, 0.0, 1.0, 0.0) for i in ids], SHEET)
+
+
+#: What the entities of ``plan`` and ``site`` are, by ordinal.
+SEMANTICS = (
+    {k: "wall" for k in range(4)} | {k: "furniture" for k in range(4, 8)} | {k: "door" for k in range(8, 12)} | {k: "room-label" for k in range(20, 24)} | {24: "note", 25: "title"}
+    | {k: "dimension" for k in range(30, 34)} | {k: "linework" for k in range(50, 59)} | {60: "title", 61: "dimension", 90: "wall", 95: "furniture"}
+)
+
+
+def site(spark: SparkSession) -> DataFrame:
+    """A plot of land: its boundary, contours, a title and the length of its front."""
+    rows = [_row(50 + i, "linework", box, width=0.8) for i, box in enumerate([(100, 100, 700, 100), (700, 100, 700, 480), (100, 480, 700, 480), (100, 100, 100, 480)])]
+    rows += [_row(54 + i, "linework", (140, 150 + 60 * i, 660, 158 + 61 * i), width=0.8) for i in range(5)]
+    rows.append(_row(60, "text", (120, 510, 260, 524), text="SITE PLAN B-07", width=14.0))
+    rows.append(_row(61, "dimension", (360, 500, 440, 510), text="F = 6000 cm", label="F", value="6000 cm", width=10.0))
+    return spark.createDataFrame(rows, ENTITY)
+
+
+def unrelated(spark: SparkSession, seed: int = 3) -> DataFrame:
+    """Twenty lines and a text that no plan has."""
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for k in range(20):
+        x, y = r.uniform(40, 600), r.uniform(40, 420)
+        rows.append(_row(100 + k, "linework", (x, y, x + r.uniform(30, 200), y + r.uniform(10, 140)), width=0.8))
+    rows.append(_row(120, "text", (300, 560, 420, 572), text="ANOTHER DRAWING", width=12.0))
+    return spark.createDataFrame(rows, ENTITY)
+
+
+PRESETS = {"plan": plan, "dense": dense, "site": site, "unrelated": unrelated}
+
+
+def learning_pairs(spark: SparkSession, seeds: list[int]) -> DataFrame:
+    """Revision pairs of plans, a comparison for each seed, with ``uid`` (an entity's name in both revisions) and ``semantic``.
+
+    A seed moves every entity of the plan a little.  Odd seeds change a value, a text and a style, remove one, add one and move one; even
+    seeds change a value, move one, and replace one by a twin of the same shape elsewhere, which is another entity."""
+    by_seed = F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
+    old = plan(spark).withColumn("comparison_id", by_seed)
+    draw = lambda salt: (F.pmod(F.xxhash64("comparison_id", "ordinal", F.lit(salt)), F.lit(33)) - 16).cast("double") / 4
+    old = shifted(old, F.lit(True), draw(1), draw(2))
+    seed = F.col("comparison_id")
+    step = 10.0 * (seed % 5 + 1)
+    odd, even = old.where(seed % 2 == 1), old.where(seed % 2 == 0)
+    new = mutate(odd, ["dim-change", "remove", "move", "text-edit", "style"], step).union(mutate(even, ["dim-change", "move", "twin"], step))
+    added = spark.createDataFrame([_row(90, "linework", (700, 120, 750, 170), width=1.2)], ENTITY).withColumns({"revision": F.lit("new"), "comparison_id": by_seed}).where(seed % 2 == 1)
+    both = old.union(new).union(added)
+    twin = (F.col("revision") == "new") & (seed % 2 == 0) & (F.col("ordinal") == 5)
+    uid = F.when(twin, F.lit(95)).otherwise(F.col("ordinal"))
+    known = F.create_map(*[F.lit(v) for pair_ in SEMANTICS.items() for v in pair_])
+    return both.withColumns({"uid": uid.cast("string"), "semantic": F.element_at(known, F.col("ordinal").cast("int"))})
