@@ -139,6 +139,7 @@ def refine(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ranges whose pointers are all repeated, ranges to cut further) of written ranges.  Hot buckets are counted by partial sums and
     met by a join that splits them."""
     buckets = ranges.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
+    buckets = materialise(buckets, "buckets")  # a side of its own, so that Spark may split the other's hot keys
     live = materialise(ranges.join(buckets, "core").select(*ranges.columns, (F.col("low") != F.col("high")).alias("mixed")), "live")
     mixed = live.where("mixed")
     classes = materialise(mixed.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "classes")
