@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import learned as _learned  # noqa: F401  (adds its queries and their SQL)
 from .plans.oracles import ORACLES
 from .plans.queries import QUERIES
 

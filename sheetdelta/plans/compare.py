@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import with_identity
+from ..operators.attention import Model, encode
 from ..operators.delta import compute_deltas, outcomes
+from ..operators.features import entity_features
+from ..operators.graph import graph_edges
 from ..operators.match import match_entities
 from ..operators.register import anchors, quality, seeded_ransac
 from ..schema import THRESHOLDS, Thresholds
@@ -34,14 +37,18 @@ def register(entities: DataFrame, sheets: DataFrame, th: Thresholds = THRESHOLDS
     return written(size.join(fitted, "comparison_id").join(ok, "comparison_id").drop("n"), "sheets"), found
 
 
-def compare(entities: DataFrame, sheets: DataFrame, vectors: DataFrame | None = None, th: Thresholds = THRESHOLDS, registered: bool = False) -> Comparison:
-    """``entities`` without names; ``sheets`` with their sizes, and their transforms if ``registered``."""
+def compare(entities: DataFrame, sheets: DataFrame, vectors: DataFrame | None = None, th: Thresholds = THRESHOLDS, registered: bool = False, encoder: Model | None = None) -> Comparison:
+    """``entities`` without names; ``sheets`` with their sizes, and their transforms if ``registered``.  Vectors for the learned tier are
+    given, or come from the ``encoder``."""
     named = written(with_identity(entities), "entities")
     found = None
     aligned = sheets
     if not registered:
         aligned, found = register(named, sheets, th)
     here = named.join(aligned.select("comparison_id"), "comparison_id", "left_semi")
+    if encoder is not None:
+        features = written(entity_features(here, aligned, position=False), "features")
+        vectors = encode(features, written(graph_edges(here, aligned), "edges"), encoder)
     matches = match_entities(here, aligned, vectors, th)
     deltas = written(compute_deltas(here, aligned, matches, th), "deltas")
     return Comparison(named, found if found is not None else sheets.select("comparison_id", F.lit("aligned").alias("status")), matches, deltas, outcomes(sheets, deltas, found))
