@@ -101,20 +101,98 @@ def best_total(similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (columns[order], rows[order]) if flip else (rows[order], columns[order])
 
 
-def optimal_by_group(pairs: DataFrame, group: str) -> DataFrame:
-    """``pairs`` (group, old_id, new_id, similarity: all pairs of the group) to the assignment of largest total per group.
-
-    A group is what remains of one comparison after the cheaper tiers, so it is small; it is solved in one task."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        table = frame.pivot(index="old_id", columns="new_id", values="similarity").sort_index().sort_index(axis=1)
-        grid = table.to_numpy(float)
+#: Similarities that one task may hold; a group with more goes through the auction.
+CELLS = 25_000_000
+#: Rows of a block, and the least rise of a price, of the auction.
+BLOCK, RISE = 4_096, 1e-4
+
+
+def optimal_by_vectors(old: DataFrame, new: DataFrame, keys: list[str], cells: int = CELLS, rise: float = RISE) -> DataFrame:
+    """(keys, old_id, new_id, similarity): for each group the one-to-one pairs with the largest total of dot products, as many as its
+    smaller side has rows.  ``old``: keys, old_id, vector; ``new``: keys, new_id, vector.
+
+    Vectors travel, never a table of all pairs.  A group whose similarities fit a task (``cells``) is solved there exactly, low names
+    first among equals.  Larger groups go through ``auction``, whose total is within ``rise`` a pair of the best."""
+    sides = old.groupBy(*keys).agg(F.count("*").alias("_n")).join(new.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    sides = written(sides.withColumn("_small", F.col("_n") * F.col("_m") <= cells), "sizes")
+    of = lambda df, rule: df.join(sides.where(rule).select(*keys), keys)
+    found = _solved(of(old, "_small"), of(new, "_small"), keys)
+    if sides.where("not _small").isEmpty():
+        return found
+    fewer, more = "not _small and _n <= _m", "not _small and _n > _m"
+    names = lambda df, c: df.withColumnRenamed(c, "id")
+    one = auction(names(of(old, fewer), "old_id"), names(of(new, fewer), "new_id"), keys, rise)
+    two = auction(names(of(new, more), "new_id"), names(of(old, more), "old_id"), keys, rise)
+    found = found.union(one.select(*keys, F.col("owner").alias("old_id"), F.col("id").alias("new_id"), "similarity"))
+    return found.union(two.select(*keys, F.col("id").alias("old_id"), F.col("owner").alias("new_id"), "similarity"))
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in vectors])
+
+
+def _solved(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        a, b = a.sort_values("old_id"), b.sort_values("new_id")
+        grid = _stacked(a["vector"]) @ _stacked(b["vector"]).T
         # Among equal totals prefer low names: far below the sixth digit that is kept.
-        ranks = np.add.outer(np.arange(grid.shape[0]), np.arange(grid.shape[1])) if grid.size else grid
-        r, c = best_total(np.nan_to_num(grid, nan=-1.0) - 1e-12 * ranks)
-        return pd.DataFrame({group: frame[group].iloc[0], "old_id": table.index[r], "new_id": table.columns[c], "similarity": grid[r, c]})
-
-    ship(pairs.sparkSession)
-    ids = dict(pairs.dtypes)
-    schema = f"{group} {ids[group]}, old_id {ids['old_id']}, new_id {ids['new_id']}, similarity double"
-    return pairs.select(group, "old_id", "new_id", "similarity").groupBy(group).applyInPandas(solve, schema)
+        r, c = best_total(grid - 1e-12 * np.add.outer(np.arange(len(a)), np.arange(len(b))))
+        out = {k: v for k, v in zip(keys, key)} | {"old_id": a["old_id"].to_numpy()[r], "new_id": b["new_id"].to_numpy()[c], "similarity": grid[r, c]}
+        return pd.DataFrame(out, columns=[*keys, "old_id", "new_id", "similarity"])
+
+    ship(old.sparkSession)
+    kinds = dict(old.dtypes) | dict(new.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "old_id", "new_id"]) + ", similarity double"
+    return old.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInPandas(solve, schema)
+
+
+def auction(bidders: DataFrame, goods: DataFrame, keys: list[str], rise: float = RISE) -> DataFrame:
+    """(keys, id, owner, similarity) of the goods that are sold.  ``bidders`` and ``goods``: keys, id, vector; no group has more bidders
+    than goods.
+
+    In every round each bidder without goods bids for what is worth most to it at present prices: as much as leaves it with the worth of
+    its second choice, and ``rise`` more.  The highest bid gets the goods, whoever had them is free again.  Prices begin at 0 and
+    only rise, so goods that nobody wants stay at 0 and the end is within ``rise`` a bidder of the best total.  Bidders meet goods
+    in blocks of BLOCK goods, so no task holds a group; the state is one row for each good, written every round."""
+    ship(goods.sparkSession)
+    kinds = dict(goods.dtypes)
+    parts = goods.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    state = goods.join(parts, keys).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    state = written(state.withColumns({"price": F.lit(0.0), "owner": F.lit(None).cast(kinds["id"])}), "goods")
+    bidders = written(bidders.join(parts, keys), "bidders")
+    of_key = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def best_two(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        b = b.sort_values("id")
+        grid = _stacked(a["vector"]) @ _stacked(b["vector"]).T
+        worth = grid - b["price"].to_numpy()
+        best = worth.argmax(1)
+        row = np.arange(len(a))
+        top = worth[row, best].copy()
+        worth[row, best] = -np.inf
+        out = {k: v for k, v in zip(keys, key[: len(keys)])}
+        out |= {"bidder": a["id"].astype(object).to_numpy(), "id": b["id"].astype(object).to_numpy()[best], "worth": top, "second": worth.max(1), "similarity": grid[row, best]}
+        return pd.DataFrame({k: pd.Series(v, row, object if k in ("bidder", "id") else None) for k, v in out.items()})
+
+    while True:
+        sold = state.where("owner is not null").select(*keys, F.col("owner").alias("id"))
+        free = bidders.join(sold, [*keys, "id"], "left_anti")
+        if free.isEmpty():
+            similarity = F.aggregate(F.zip_with("vector", "_v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+            own = bidders.select(*keys, F.col("id").alias("owner"), F.col("vector").alias("_v"))
+            return state.join(own, [*keys, "owner"]).select(*keys, "id", "owner", similarity.alias("similarity"))
+        everywhere = free.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*keys, "_block", "id", "vector")
+        found = everywhere.groupBy(*keys, "_block").cogroup(state.select(*keys, "_block", "id", "vector", "price").groupBy(*keys, "_block"))
+        found = found.applyInPandas(best_two, f"{of_key}, bidder {kinds['id']}, id {kinds['id']}, worth double, second double, similarity double")
+        offers = found.groupBy(*keys, "bidder").agg(F.sort_array(F.collect_list(F.struct("worth", "id", "second", "similarity")), asc=False).alias("o"))
+        other = F.greatest(F.get("o", F.lit(0))["second"], F.coalesce(F.get("o", F.lit(1))["worth"], F.lit(float("-inf"))))
+        first = F.get("o", F.lit(0))
+        other = F.when(other == float("-inf"), first["worth"] - 1.0).otherwise(other)
+        bids = offers.select(*keys, first["id"].alias("id"), "bidder", (first["similarity"] - other + rise).alias("bid"))
+        high = bids.groupBy(*keys, "id").agg(F.max("bid").alias("_bid"), F.min_by("bidder", F.struct(-F.col("bid"), "bidder")).alias("_bidder"))
+        new = state.join(high, [*keys, "id"], "left")
+        state = written(new.select(*keys, "id", "vector", "_block", F.coalesce("_bid", "price").alias("price"), F.coalesce("_bidder", "owner").alias("owner")), "goods")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import displacement, iou, mapped_box, shape_equivalent, side, style_equivalent
 from ..functions.numbers import fixed
 from ..schema import SIDE, THRESHOLDS, Thresholds
 from ..tables import bounded, written
-from .assign import greedy_one_to_one, optimal_by_group
+from .assign import greedy_one_to_one, optimal_by_vectors
 from .grid import cell_sizes, with_cells
 
 A, B, T = side("a_"), side("b_"), F.col
@@ -87,14 +87,24 @@ def attribute_candidates(old: DataFrame, new: DataFrame, th: Thresholds = THRESH
 
 
 def learned_matches(old: DataFrame, new: DataFrame, vectors: DataFrame, th: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
-    """(matches, assignment): rest against rest by cosine, kinds kept apart by -1; the best total per comparison is chosen
-    first and the threshold applied afterwards.  ``vectors``: comparison_id, entity_id, revision, vector (unit length)."""
-    v = lambda rev, p: vectors.where(F.col("revision") == rev).select("comparison_id", F.col("entity_id").alias(p + "entity_id"), F.col("vector").alias(p + "vector"))
-    pairs = old.join(v("old", "a_"), ["comparison_id", "a_entity_id"]).join(new.join(v("new", "b_"), ["comparison_id", "b_entity_id"]), "comparison_id")
-    s = F.when(F.col("a_kind") == F.col("b_kind"), cosine(F.col("a_vector"), F.col("b_vector"))).otherwise(F.lit(-1.0))
-    pairs = pairs.select("comparison_id", F.col("a_entity_id").alias("old_id"), F.col("b_entity_id").alias("new_id"), s.alias("similarity"))
-    assigned = written(optimal_by_group(pairs, "comparison_id"), "assigned")
-    return assigned.where(F.col("similarity") >= th.similarity), assigned
+    """(matches, assignment): rest against rest by cosine, -1 between kinds; the best total per comparison is chosen first and the
+    threshold applied afterwards.  ``vectors``: comparison_id, entity_id, revision, vector (unit length).
+
+    No cosine is under -1, so a pair of one kind never stands behind two pairs of different kinds: kinds are solved apart, and what
+    one side has over is paired with what the other has over, at -1."""
+    of = lambda rev: vectors.where(F.col("revision") == rev).select("comparison_id", F.col("entity_id").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    rest = lambda df, p: df.select("comparison_id", F.col(p + "entity_id").alias("id"), F.col(p + "kind").alias("kind"))
+    a = written(rest(old, "a_").join(of("old"), ["comparison_id", "id"]).withColumnRenamed("id", "old_id"), "rest")
+    b = written(rest(new, "b_").join(of("new"), ["comparison_id", "id"]).withColumnRenamed("id", "new_id"), "rest")
+    paired = written(optimal_by_vectors(a, b, ["comparison_id", "kind"]).drop("kind"), "assigned")
+
+    def over(df: DataFrame, own: str) -> DataFrame:
+        left = df.join(paired.select("comparison_id", own), ["comparison_id", own], "left_anti")
+        return left.select("comparison_id", own, F.row_number().over(Window.partitionBy("comparison_id").orderBy(own)).alias("n"))
+
+    crossed = over(a, "old_id").join(over(b, "new_id"), ["comparison_id", "n"]).select("comparison_id", "old_id", "new_id", F.lit(-1.0).alias("similarity"))
+    assigned = paired.unionByName(crossed)
+    return paired.where(F.col("similarity") >= th.similarity), assigned
 
 
 def cosine(a: Column, b: Column) -> Column:
