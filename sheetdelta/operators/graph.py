@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import bounded, written
@@ -12,40 +12,76 @@ KEY = ["comparison_id", "revision"]
 K = 4
 
 
-def knn(entities: DataFrame, k: int = K) -> DataFrame:
-    """(comparison_id, revision, entity_id, other_id, distance, rank): the k nearest other entities by centre, ties by name.
+#: Levels of the quadtree, and the most entities of a cell before it is split.
+LEVELS, FULL = 44, 16
+
+
+def _at(level: str, g: str) -> Column:
+    """The number of the cell at a level, from that at the deepest one."""
+    return F.expr(f"shiftright({g}, {LEVELS} - {level})")
+
+
+def quadtree(entities: DataFrame) -> DataFrame:
+    """(KEY, entity_id, cx, cy, gx, gy, level, extent): every entity's centre, its deepest cell, and the level of its leaf.
 
-    Centres lie in grid cells of about two entities each.  The cells within r of an entity's own hold every entity nearer
-    than r cell sizes; entities whose k-th neighbour is not that near are looked at again with twice the r, until r covers
-    the sheet."""
+    A sheet begins at the level with two to eight entities to a cell on average.  Cells with over FULL entities are split: the entities
+    in them count in the cells of all deeper levels at once, and end below the last one that is still full."""
     e = entities.select(*KEY, "entity_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     span = e.groupBy(*KEY).agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in ("cx", "cy") for p, f in (("lo", F.min), ("hi", F.max))])
-    width, height = F.col("hicx") - F.col("locx"), F.col("hicy") - F.col("locy")
-    size = F.greatest(F.sqrt(F.greatest(width, F.lit(1e-3)) * F.greatest(height, F.lit(1e-3)) * 2 / F.col("n")), F.greatest(width, height) / 10_000, F.lit(1e-6))
-    span = span.select(*KEY, "n", size.alias("size"), F.greatest(width, height).alias("extent"))
-    e = e.join(span, KEY)
-    e = written(e.withColumns({"gx": F.floor(F.col("cx") / F.col("size")), "gy": F.floor(F.col("cy") / F.col("size"))}), "centres")
-    points = e.select(*KEY, F.col("entity_id").alias("other_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("gx").alias("_cx"), F.col("gy").alias("_cy"))
-    open_, found, r = e, None, 1
+    extent = F.greatest(F.col("hicx") - F.col("locx"), F.col("hicy") - F.col("locy"), F.lit(1e-9))
+    first = F.least(F.greatest(F.floor(F.log(F.col("n") / 2) / F.log(F.lit(4.0))), F.lit(0)), F.lit(LEVELS)).cast("int")
+    e = e.join(bounded(written(span.select(*KEY, "locx", "locy", extent.alias("extent"), first.alias("level")), "spans")), KEY)
+    cell = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("extent") * (1 << LEVELS)), F.lit((1 << LEVELS) - 1)).cast("long")
+    e = written(e.select(*KEY, "entity_id", "cx", "cy", cell("cx", "locx").alias("gx"), cell("cy", "locy").alias("gy"), "level", "extent"), "centres")
+    place = [*KEY, "level", _at("level", "gx").alias("x"), _at("level", "gy").alias("y")]
+    full = written(e.select(*place).groupBy(*KEY, "level", "x", "y").count().where(F.col("count") > FULL), "full")
+    if full.isEmpty():
+        return e
+    here = [*KEY, "level", "x", "y"]
+    crowded = e.select(*place, "entity_id", "gx", "gy").join(full, here, "left_semi").select(*KEY, "entity_id", "gx", "gy", F.explode(F.sequence(F.col("level"), F.lit(LEVELS))).alias("level"))
+    crowded = crowded.select(*place, "entity_id")
+    full = crowded.groupBy(*here).count().where(F.col("count") > FULL)
+    below = crowded.join(full, here).groupBy(*KEY, "entity_id").agg(F.max("level").alias("deep"))
+    level = F.coalesce(F.least(F.col("deep") + 1, F.lit(LEVELS)), F.col("level"))
+    return written(e.join(below, [*KEY, "entity_id"], "left").withColumn("level", level).drop("deep"), "leaves")
+
+
+def knn(entities: DataFrame, k: int = K) -> DataFrame:
+    """(comparison_id, revision, entity_id, other_id, distance, rank): the k nearest other entities by centre, ties by name.
+
+    An entity meets those in the three by three cells around it, at the level of its leaf in the sheet's quadtree.  They hold every
+    entity nearer than a cell's size; entities whose k-th neighbour is not that near look again in larger cells, until one cell
+    covers the sheet.  So a dense cluster is searched in small cells and a far entity in large ones.  Of entities with one centre only
+    the first k + 1 by name can be anyone's neighbours, so a heap of equal centres is not compared with itself."""
+    open_ = quadtree(entities)
+    same = Window.partitionBy(*KEY, "cx", "cy").orderBy("entity_id")
+    points = open_.select(*KEY, "entity_id", "cx", "cy", "gx", "gy").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1)
+    points = written(points.select(*KEY, F.col("entity_id").alias("other_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), "gx", "gy"), "points")
+    found = None
     while True:
-        around = open_.withColumn("_cx", F.explode(F.sequence(F.col("gx") - r, F.col("gx") + r))).withColumn("_cy", F.explode(F.sequence(F.col("gy") - r, F.col("gy") + r)))
-        pairs = around.join(points, [*KEY, "_cx", "_cy"]).where(F.col("entity_id") != F.col("other_id"))
+        levels = F.array(*[F.lit(r.level) for r in open_.select("level").distinct().collect()])  # LEVELS + 1 at most
+        others = points.withColumn("level", F.explode(levels)).select(*KEY, "level", _at("level", "gx").alias("x"), _at("level", "gy").alias("y"), "other_id", "ox", "oy")
+        near_cells = lambda g: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _at("level", g) + d))
+        around = open_.select(*KEY, "level", "entity_id", "cx", "cy", "gy", near_cells("gx").alias("x")).withColumn("y", near_cells("gy")).drop("gy")
+        pairs = around.join(others, [*KEY, "level", "x", "y"]).where(F.col("entity_id") != F.col("other_id"))
         dx, dy = F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy")
         pairs = pairs.withColumn("distance", F.sqrt(dx * dx + dy * dy))
         order = Window.partitionBy(*KEY, "entity_id").orderBy("distance", "other_id")
-        near = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        # Sure if the last neighbour is within the ring that is covered, or the ring covers the sheet.
+        near = written(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*KEY, "entity_id", "other_id", "distance", "rank"), "near")
         last = near.groupBy(*KEY, "entity_id").agg(F.max("distance").alias("far"), F.count("*").alias("got"))
-        state = open_.join(last, [*KEY, "entity_id"], "left")
-        sure = (F.col("got") == k) & (F.col("far") < r * F.col("size")) | (r * F.col("size") > F.col("extent"))
-        state = written(state.select(*open_.columns, F.coalesce(sure, F.lit(False)).alias("sure")), "rings")
-        done = state.where("sure").select(*KEY, "entity_id")
-        now = near.join(done, [*KEY, "entity_id"], "left_semi").select(*KEY, "entity_id", "other_id", "distance", "rank")
+        size = F.col("extent") / F.pow(F.lit(2.0), F.col("level"))
+        # Cell borders are rounded; a hair less than their size is sure.
+        sure = (F.col("got") == k) & (F.col("far") < size * (1 - 1e-6)) | (F.col("level") == 0)
+        # With k neighbours the level whose cells are larger than the last one's distance is known; with fewer, cells grow fourfold.
+        reach = F.floor(F.log2(F.col("extent") / F.greatest(F.col("far") * 1.01, F.col("extent") / (1 << LEVELS)))).cast("int")
+        up = F.when(F.col("got") == k, F.least(reach, F.col("level") - 1)).otherwise(F.col("level") - 2)
+        state = open_.join(last, [*KEY, "entity_id"], "left").select(*open_.columns, F.coalesce(sure, F.lit(False)).alias("sure"), F.greatest(F.coalesce(up, F.col("level") - 2), F.lit(0)).alias("up"))
+        state = written(state, "rings")
+        now = near.join(state.where("sure").select(*KEY, "entity_id"), [*KEY, "entity_id"], "left_semi")
         found = now if found is None else found.union(now)
-        open_ = state.where(~F.col("sure")).drop("sure")
+        open_ = state.where("not sure").drop("sure", "level").withColumnRenamed("up", "level")
         if open_.isEmpty():
             return found
-        r *= 2
 
 
 def knn_edges(entities: DataFrame, k: int = K) -> DataFrame:
