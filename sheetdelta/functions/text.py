@@ -24,7 +24,7 @@ def parse_dimension(text: Column) -> tuple[Column, Column]:
 
 def capitalised(text: Column) -> Column:
     """First letter upper, rest lower."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.char_length(text))))
 
 
 def collapsed(text: Column) -> Column:

@@ -61,6 +61,27 @@ def test_numbers_as_text(spark):
         assert x.c == json.dumps(0.0 if rounded == 0 else rounded), x.v
 
 
+def test_odd_numbers_as_text(spark):
+    """Sizes beyond 64 bits and beyond exact decimals, and what is no number."""
+    import json
+
+    r = random.Random(2)
+    values = [1e9, 1e9 + 0.05, 9007199254.740991, 9007199254.740993, 1e10, 12345678901.25, 1e13, 1e15 + 0.5, 2.0**53, 1e16, 1.5e16, 123456789012345678.0, 9e18, 1e19, 1e22, 1e300, 1.25e300, 1e100]
+    values += [r.choice([-1, 1]) * r.uniform(1, 10) * 10.0 ** r.randint(9, 17) for _ in range(1500)]
+    v = F.col("v")
+    columns = [signed(v).alias("g"), fixed(v, 1).alias("f1"), fixed(v, 0).alias("f0"), fixed(v, 6).alias("f6"), canonical(v).alias("c")]
+    rows = spark.createDataFrame([(x,) for x in values], "v double").select(v, *columns).collect()
+    for x in rows:
+        assert x.g == ("-" if x.v < 0 else "+") + f"{abs(x.v):g}", x.v
+        assert x.c == json.dumps(round(x.v, 6)), x.v
+        if abs(x.v) < 9e18:
+            assert (x.f1, x.f0, x.f6) == (f"{x.v:.1f}", f"{x.v:.0f}", f"{x.v:.6f}"), x.v
+        else:
+            assert float(x.f0) == x.v and x.f1.endswith(".0")
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "v double").select(*columns).collect()
+    assert [tuple(x) for x in odd] == [("+nan", "nan", "nan", "nan", None), ("+inf", "inf", "inf", "inf", None), ("-inf", "-inf", "-inf", "-inf", None), (None,) * 5]
+
+
 def test_value_pattern():
     """A unit is needed, a sign of either kind is read."""
     import re
