@@ -2,8 +2,9 @@
 
 A bounded sample of labelled text per language is indexed by a suffix automaton.  A text is parsed against each language:
 the longest prefix that occurs in the sample is a phrase, and parsing goes on behind it.  Few, long phrases mean low cross
-entropy; the language with the fewest phrases, times the bits that name a place in its sample, wins.  A letter that the sample
-lacks is a phrase by itself.
+entropy.  Phrases are normalised by one code for all languages: a phrase costs the bits of a place in the longest sample and of a
+length, or those of its letters spelled out in the alphabet of all samples, whichever are fewer, and a letter that the sample lacks
+is a phrase spelled out.  So a short sample does not make phrases cheap, and the language with the fewest bits wins.
 
 Texts are parsed in segments of 512 characters, so that numpy steps through many segments of a batch at once; every
 character of a text is used.  Letters count in lower case and anything else is a blank.
@@ -13,8 +14,9 @@ doc_id, texts of at most 3,000 characters first, until there are 12,000 characte
 SAMPLE_TOTAL / SAMPLE_CHARS languages, so that the sample as a whole is bounded).  A sampled text counts by its first 20,000
 characters (LONGEST).  Up to MAX_LANGS languages are learned, those with most rows.
 
-Defined results: lang_pred is ``und`` (score 0) if the text is null or has no letter, or nothing could be learned; ties go
-to the language first in order; repeated rows each get a row; held_out is false for a null ``doc_id``; an empty table gives
+Defined results: lang_pred is ``und`` (score 0) if the text is null or has no letter, or nothing could be learned; a language whose
+sample has no letter is no candidate; rows of languages beyond MAX_LANGS get one of those learned; ties go to the language first in
+order; repeated rows each get a row; held_out is false for a null ``doc_id``; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -31,6 +33,8 @@ from .common import materialise, prepare, table
 SAMPLE_CHARS, SAMPLE_ROWS, SHORT, LONGEST = 12_000, 64, 3_000, 20_000
 SAMPLE_TOTAL, MAX_LANGS = 1_200_000, 500
 SEGMENT = 512
+#: Bits that name a phrase's length.
+LENGTH_BITS = 4.0
 CHUNK = 4 << 20
 UNKNOWN = "und"
 
@@ -79,13 +83,17 @@ class CrossParser:
     """Phrase counts of texts against every sample.  A table entry holds the next state, and whether a phrase starts with the symbol."""
 
     def __init__(self, samples: list[tuple[str, str]]):
-        self.langs = [lang for lang, _ in samples]
-        texts = [" ".join(blanked(t).split()) for _, t in samples]
+        plain = [(lang, " ".join(blanked(t).split())) for lang, t in samples]
+        self.langs = [lang for lang, t in plain if t]
+        texts = [t for _, t in plain if t]
         letters = sorted(set("".join(texts)) - {" "})
         # 0 pads, 1 is a blank, 2 is a letter of no sample
         self.symbol = {c: i + 3 for i, c in enumerate(letters)}
         self.size = len(letters) + 3
-        self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
+        # What the l-th letter of a phrase adds to the bits of the phrase.
+        spelled = np.log2(self.size - 1)
+        place = np.log2(max([2, *map(len, texts)])) + LENGTH_BITS
+        self.adds = np.diff(np.minimum(np.arange(int(place / spelled) + 3) * spelled, place), prepend=0.0)
         parts, at = [], 0
         self.roots = []
         for t in texts:
@@ -123,15 +131,15 @@ class CrossParser:
             some = some or c.isalpha()
         return out, some
 
-    def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
-        """(rows, languages) numbers of phrases."""
+    def parse(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, languages) numbers of phrases, and bits."""
         n, langs = len(rows), len(self.langs)
-        out = np.zeros((n, langs), np.int64)
+        out, bits = np.zeros((n, langs), np.int64), np.zeros((n, langs))
         sizes = np.array([len(r) for r in rows], np.int64)
         pieces = -(-sizes // SEGMENT)
         total = int(pieces.sum())
         if not total or not langs:
-            return out
+            return out, bits
         owner = np.repeat(np.arange(n), pieces)
         flat = np.concatenate([*rows, np.zeros(SEGMENT, rows[0].dtype)])
         base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -143,15 +151,28 @@ class CrossParser:
         active = np.searchsorted(-length, -np.arange(SEGMENT), "left")
         state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], total, 1)
         begun = np.zeros((langs, total), np.int32)
+        # Letters of the present phrase, up to where another adds nothing; how often each number was reached.
+        last = len(self.adds) - 1
+        letters = np.zeros((langs, total), np.int8)
+        spent = np.zeros((langs, total), np.float32)
+        adds = self.adds.astype(np.float32)
         for t in range(int(length[0])):
             k = int(active[t])
             sym = flat[start[:k] + t].astype(self.table.dtype)
             code = self.table[state[:, :k] + sym]
-            begun[:, :k] += code & 1
+            new = code & 1
+            begun[:, :k] += new
             state[:, :k] = code >> 1
+            here = np.where(new, 1, np.minimum(letters[:, :k] + 1, last)).astype(np.int8)
+            letters[:, :k] = here
+            spent[:, :k] += adds[here]
         for j in range(langs):
             out[:, j] = np.bincount(owner, weights=begun[j], minlength=n).astype(np.int64)
-        return out
+            bits[:, j] = np.bincount(owner, weights=spent[j], minlength=n)
+        return out, bits
+
+    def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
+        return self.parse(rows)[0]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -164,7 +185,7 @@ class CrossParser:
                     where.append(i)
         if not rows or not self.langs:
             return out
-        cost = self.phrases(rows) * self.bits
+        cost = np.round(self.parse(rows)[1], 3)
         best = cost.argmin(1)
         gap = np.minimum(cost - cost.min(1)[:, None], 700)
         score = 1 / np.exp2(-gap).sum(1)

@@ -532,6 +532,63 @@ def test_cross_parsing_phrases():
     assert p.predict(["le chat sur la table"])[0][0] == "b" and p.predict(["12 34"])[0] == ("und", 0.0)
 
 
+def plain_bits(p, texts, text):
+    """Bits of a text against each sample, phrase by phrase."""
+    spelled, place = np.log2(p.size - 1), np.log2(max(2, max(map(len, texts)))) + op8_language.LENGTH_BITS
+    flat = op8_language.blanked(text)
+    out = []
+    for sample in texts:
+        bits = 0.0
+        for at in range(0, len(flat), op8_language.SEGMENT):
+            part, i = flat[at : at + op8_language.SEGMENT], 0
+            while i < len(part):
+                j = i
+                while j < len(part) and part[i : j + 1] in sample:
+                    j += 1
+                bits += min(place, max(1, j - i) * spelled)
+                i = max(j, i + 1)
+        out.append(bits)
+    return out
+
+
+def test_language_bits(spark, data):
+    """Predictions equal those of a plain parser, on whole texts of the smallest table and short ones."""
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    samples = [(lang, text[:1500]) for lang, text in op8_language.learn(table)]
+    p = op8_language.CrossParser(samples)
+    kept = [" ".join(op8_language.blanked(t).split()) for _, t in samples]
+    texts = [r.text[:1500] for r in table.where("text is not null").limit(300).collect()] + [" ".join(words(k % 9 + 1, k).split()) for k in range(200)]
+    sure = 0
+    for text, (lang, _) in zip(texts, p.predict(texts)):
+        bits = plain_bits(p, kept, text)
+        best = sorted(bits)
+        if lang != "und" and best[1] - best[0] > 0.01:
+            sure += 1
+            assert lang == p.langs[int(np.argmin(bits))], text
+    assert sure > 300
+
+
+def test_language_tiny_samples(spark):
+    """Labels with one short or letterless text take no predictions from the others."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before = {r.doc_id: r.lang_pred for r in op8_language.identify(table, op8_language.learn(table)).collect()}
+    odd = spark.createDataFrame([(5000 + 10 * k + i, t, lang) for i in range(4) for k, (t, lang) in enumerate([("12 345", "xx"), ("x y", "yy"), ("...", "zz"), ("", "empty")])], table.schema)
+    more = table.union(odd)
+    samples = op8_language.learn(more)
+    assert {"xx", "zz"} <= {lang for lang, _ in samples}
+    after = {r.doc_id: r.lang_pred for r in op8_language.identify(more, samples).collect()}
+    assert not {"xx", "zz", "empty"} & set(after.values())
+    changed = [d for d in before if before[d] != after[d]]
+    assert len(changed) <= 2 and all(after[d] != "yy" or len(table.where(f"doc_id = {d}").first().text) < 10 for d in changed)
+    assert op8_language.CrossParser([("xx", "12 345")]).predict(["ok then"]) == [("und", 0.0)]
+
+
+def test_language_long_texts():
+    p = op8_language.CrossParser([("a", "the cat sat on the mat"), ("b", "le chat est sur la table")])
+    texts = [" " * 300_000, "\n" * 300_000, "t" * 300_000, "7" * 300_000, "😀" * 100_000, "the cat " * 50_000]
+    assert [x[0] for x in p.predict(texts)] == ["und", "und", p.predict(["t" * 1000])[0][0], "und", "und", "a"]
+
+
 def test_language_sample(spark):
     """A language of long texts only is learned too, and the number of languages is bounded."""
     rows = [(4 * i + k, words(4000, i) if lang == "long" else words(30, i), lang) for i in range(12) for k, lang in enumerate(("long", "b", "c"))]
