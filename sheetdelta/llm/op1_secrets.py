@@ -109,8 +109,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     unseen = named.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    # The same join at every size: texts meet the unseen blobs by key, and the hash side holds keys only.
-    blobs = named.join(unseen.hint("shuffle_hash"), ["blob", "path"], "left_semi")
+    # Texts meet the unseen blobs by key; a sorted join may spill, whatever the number of blobs.
+    blobs = named.join(unseen.hint("merge"), ["blob", "path"], "left_semi")
     # The generator keeps the filter on findings, and with it the scan, behind the join: blobs of the ledger are not scanned.
     fresh = blobs.select("blob", F.explode(F.array(findings(F.col("body"), pem))).alias("found")).where(F.size("found") > 0)
     # Repeated rows (same key, same text) pass the semi-join together; their findings are the same.
@@ -119,13 +119,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
 
 
 def update(docs: DataFrame, path: str, version: str = RULE_VERSION, key: list[str] | None = None, pem: str = PEM) -> DataFrame:
-    """Scan what the ledger at ``path`` has not seen of ``docs``, append it, and return the ledger.  An empty path starts a ledger."""
+    """Scan what the ledger at ``path`` has not seen of ``docs``, append it, and return the ledger.  An empty path starts a ledger, which
+    lies by version, so a run reads the rows of its own version only.  Two runs at once may append a blob twice; readers take it once."""
     spark = docs.sparkSession
     schema = f"blob string, version string, found {FINDING}"
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("version").parquet(path)
     # The rows to append are worked out in full before the ledger that they depend on changes.
     new = materialise(scan(docs, spark.read.schema(schema).parquet(path), version, key, pem), "secret-ledger")
-    new.write.mode("append").parquet(path)
+    new.write.mode("append").partitionBy("version").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -137,8 +138,8 @@ def join_paths(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION,
     """(doc, found) for the rows of ``docs``: its columns (or those of ``keep``) as a struct, and the ledger's findings of its content."""
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), blob)
-    hits = ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", "found")
-    return rows.join(hits.hint("shuffle_hash"), "blob", "left").select("doc", F.coalesce("found", no_finding()).alias("found"))
+    hits = ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
+    return rows.join(hits.hint("merge"), "blob", "left").select("doc", F.coalesce("found", no_finding()).alias("found"))
 
 
 def digest(found: DataFrame, key: list[str]) -> DataFrame:
@@ -216,7 +217,7 @@ def history(spark: SparkSession, docs: DataFrame) -> DataFrame:
     for run, (rows, version) in enumerate([(docs, "rules-1"), (later, "rules-1"), (docs, "rules-1"), (later, "rules-2")], 1):
         ledger = update(rows, path, version)
         now = ledger.count()
-        hits = ledger.where((F.col("version") == version) & (F.size("found") > 0)).select("blob", F.size("found").alias("n"))
+        hits = ledger.where((F.col("version") == version) & (F.size("found") > 0)).dropDuplicates(["blob"]).select("blob", F.size("found").alias("n"))
         named = rows.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob")).join(hits, "blob")
         one = named.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("findings"), F.count("*").alias("paths"))
         one = one.select(F.lit(run).cast("long").alias("run"), F.lit(now - before).cast("long").alias("scanned"), F.lit(now).cast("long").alias("ledger_rows"), "findings", "paths")
