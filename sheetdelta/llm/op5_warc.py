@@ -3,7 +3,8 @@
 A revisit record says that a page had not changed, and carries no body.  The latest earlier full response of the same
 canonical URL is its candidate, and validators are then checked: if both sides have an entity tag they must agree (weak tags by
 their value), else if both have a modification date they must be equal; a revisit without a validator is taken at its word.
-Headers come from the full response; those that a not-modified response may update (FRESH) come from the revisit if it has them.
+Headers come from the full response; those that a not-modified response may update (FRESH, in any case of letters) come from the
+revisit if it has them.
 
 The join runs in two levels: records are dealt to ranges of (URL, time) of about one size and ordered within them, and what a
 range passes on is ordered within the URL.  So a URL with very many captures, even of one second, is spread over ranges.  Bodies
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Headers that a not-modified response may update, and query parameters without meaning.
-FRESH = ["cache-control", "date", "expires", "vary"]
+#: Headers that a not-modified response may update, in lower case, and query parameters without meaning.
+FRESH = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 TRACKING = r"(utm_[a-z]+|gclid|fbclid|sessionid)"
 
 
@@ -76,8 +77,10 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
     found = revisit & t.isNotNull() & agrees
-    fresh = F.map_filter("headers", lambda k, v: k.isin(FRESH))
-    kept = F.map_filter(t["headers"], lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    # Names are the same in either case; each stays as its own side writes it.
+    fresh = F.map_filter("headers", lambda k, v: F.lower(k).isin(FRESH))
+    named = F.transform(F.map_keys(fresh), lambda k: F.lower(k))
+    kept = F.map_filter(t["headers"], lambda k, v: ~F.array_contains(named, F.lower(k)))
     # Without headers on one side those of the other stand.
     merged = F.when(t["headers"].isNull(), fresh).when(F.col("headers").isNull(), t["headers"]).otherwise(F.map_concat(kept, fresh))
     return r.select(
