@@ -15,6 +15,10 @@ group, with a bit for each of its lists there, so a query's copies and what they
 has over BLOCK rows.  Groups are dealt to blocks of bounded size; a block scores each query against the rows that share a list with it, with the
 original vectors in double precision, and the best K of each block meet in a final choice.
 
+Places are worked out after scaling by a power of two that brings the median row's largest component to about 1.  Rows whose largest
+component is over BIG times that are in every list, as their products outweigh all others; queries that far from it, up or down, are
+placed by their direction.  Scores are of the original vectors; a product that is no number (infinities that cancel) ranks last.
+
 Every row is indexed; only the fit looks at a sample (about SAMPLE rows, those with the smallest hashes).  Measured recall on the
 test tables is in the README.
 
@@ -38,6 +42,8 @@ K = 20
 SAMPLE, MAX_LISTS, LIST_ROWS = 20_000, 4_096, 128
 REPLICAS, BOUNDARY = 4, 1.04
 TARGET, TRIALS = 0.96, 256
+#: How far a vector's largest component may lie from the median row's, as a factor, before its squares are not to be trusted.
+BIG = 1e100
 GROUPS, BLOCK = 16, 32_768
 
 
@@ -193,32 +199,41 @@ def _emit(batch: pa.RecordBatch, places: list[np.ndarray], firsts: list[int], si
     return pa.RecordBatch.from_arrays(columns, ["grp", "bits", "own_list", "row", "vec_id", "v"])
 
 
-def _assign(centres: np.ndarray, top: float):
-    """Rows to lists: the nearest centroid and those within the boundary ratio, by the graph."""
+def _assign(centres: np.ndarray, top: float, scale: float = 1.0):
+    """Rows to lists: the nearest centroid and those within the boundary ratio, by the graph; outsized rows to all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(centres)
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("v"))
+                with np.errstate(over="ignore"):
+                    x = _matrix(batch.column("v")) * scale
+                outsized = np.abs(x).max(1) > BIG
+                x[outsized] = 0
                 full = np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]], 1)
                 places = []
-                for q, start in zip(full, graph.starts(full)):
+                for q, start, large in zip(full, graph.starts(full), outsized.tolist()):
                     c, d = graph.search(q, start, 4 * REPLICAS, BOUNDARY)
-                    places.append(c[_replicas(d)])
+                    places.append(np.arange(len(centres)) if large else c[_replicas(d)])
                 yield _emit(batch, places, [int(p[0]) for p in places], group_size(len(centres)))
 
     return run
 
 
-def _probe(centres: np.ndarray, ratio: float, held: np.ndarray):
+def _probe(centres: np.ndarray, ratio: float, held: np.ndarray, top: float = 1.0, scale: float = 1.0):
     """Queries to lists: all within the ratio, and more until the lists' own rows are K besides those of the query's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(centres)
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("v"))
+                raw = _matrix(batch.column("v"))
+                most = np.abs(raw).max(1, keepdims=True)
+                with np.errstate(over="ignore"):
+                    x = raw * scale
+                odd = ((np.abs(x).max(1) > BIG) | (np.abs(x).max(1) < 1 / BIG)).ravel()
+                way = raw[odd] / most[odd]
+                x[odd] = way / np.sqrt((way * way).sum(1, keepdims=True)) * top
                 full = np.concatenate([x, np.zeros((len(x), 1))], 1)
                 places = []
                 for q, start, same in zip(full, graph.starts(full), batch.column("same").to_pylist()):
@@ -241,37 +256,44 @@ def _score(key, left: pa.Table, right: pa.Table) -> pa.Table:
     q, x = _matrix(left.column("v").combine_chunks()), _matrix(right.column("v").combine_chunks())
     ids, rows, bits = (np.asarray(right.column(c)) for c in ("vec_id", "row", "bits"))
     q_ids, q_rows, q_bits = (np.asarray(left.column(c)) for c in ("vec_id", "row", "bits"))
-    slack = 1e-12 * np.sqrt((x * x).sum(1).max())
+    slack = 1e-12 * np.abs(x).max(1) * np.sqrt(x.shape[1])
+    largest = np.finfo(float).max
     out = []
     for at in range(0, len(q), 128):
         part = slice(at, at + 128)
-        rough = q[part] @ x.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = np.nan_to_num(q[part] @ x.T, nan=-largest, posinf=largest, neginf=-largest)
+            wide = np.minimum(slack[None, :] * np.abs(q[part]).sum(1, keepdims=True), largest)
         rough[((q_bits[part, None] & bits[None, :]) == 0) | (q_ids[part, None] == ids[None, :])] = -np.inf
         k = min(K, len(x))
-        least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
-        for i, (r, edge) in enumerate(zip(rough, least), at):
-            # The product of matrices may round otherwise, so scores near the edge are worked out anew, one way for all blocks.
-            near = np.flatnonzero((r >= edge - slack * np.abs(q[i]).sum()) & (r > -np.inf))
-            s = (x[near] * q[i]).sum(1)
-            best = np.lexsort((rows[near], ids[near], -s))[:K]
+        # The product of matrices may round otherwise, so scores near the edge are worked out anew, one way for all blocks.
+        least = np.partition(np.where(rough > -np.inf, np.maximum(rough - wide, -largest), rough), len(x) - k, axis=1)[:, len(x) - k]
+        for i, (r, edge, by) in enumerate(zip(rough, least, wide), at):
+            near = np.flatnonzero((np.minimum(r + by, largest) >= edge) & (r > -np.inf))
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = (x[near] * q[i]).sum(1)
+            best = np.lexsort((rows[near], ids[near], np.where(np.isnan(s), np.inf, -s)))[:K]
             near = near[best]
             out.append((np.full(len(near), q_rows[i]), np.full(len(near), q_ids[i]), rows[near], ids[near], s[best]))
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
 
-def index(rows: DataFrame, n: int, top: float) -> tuple[np.ndarray, float, DataFrame]:
-    """(centroids, query ratio, posted rows) of ``rows`` (row, vec_id, v): ``n`` of them, with ``top`` the largest norm."""
+def index(rows: DataFrame, n: int, top: float, scale: float = 1.0) -> tuple[np.ndarray, float, DataFrame]:
+    """(centroids, query ratio, posted rows) of ``rows`` (row, vec_id, v): ``n`` of them, with ``top`` the largest norm of those that are
+    not outsized, after scaling."""
     share = min(1.0, SAMPLE / max(1, n))
     low, high = -(1 << 63), (1 << 63) - 1
-    picked = rows if share == 1.0 else rows.where(F.xxhash64("vec_id", "row") <= F.lit(int(low + share * (high - low))))
+    usual = rows.where(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))) * scale <= BIG)
+    picked = usual if share == 1.0 else usual.where(F.xxhash64("vec_id", "row") <= F.lit(int(low + share * (high - low))))
     sample = np.array([r.v for r in picked.select("v").toLocalIterator()], np.float64)
     if not len(sample):
-        sample = np.array([r.v for r in rows.select("v").limit(K).collect()], np.float64)
+        sample = np.array([r.v for r in usual.select("v").limit(K).collect()], np.float64)
+    sample = sample * scale
     sample = np.concatenate([sample, np.sqrt(np.maximum(top * top - (sample * sample).sum(1), 0))[:, None]], 1)
     centres = fit(sample, min(MAX_LISTS, max(1, n // LIST_ROWS)))
     centres = centres[near_order(centres)]
     kind = rows.schema["v"].dataType.simpleString()
-    posted = rows.select("row", "vec_id", "v").mapInArrow(_assign(centres, top), f"grp int, bits long, own_list int, row long, vec_id long, v {kind}")
+    posted = rows.select("row", "vec_id", "v").mapInArrow(_assign(centres, top, scale), f"grp int, bits long, own_list int, row long, vec_id long, v {kind}")
     return centres, fit_ratio(sample, centres), materialise(posted, "lists")
 
 
@@ -290,12 +312,15 @@ def search(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     # The written tables fix the rows' numbers.
     rows = materialise(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
-    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).agg(F.max(F.struct("n", "dim", "top")).alias("m")).first()
+    most = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))
+    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.percentile_approx(most, 0.5).alias("mid")).agg(F.max(F.struct("n", "dim", "mid")).alias("m")).first()
     if dims is None or dims.m is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == dims.m.dim)
-    centres, ratio, posted = index(rows, dims.m.n, dims.m.top)
+    scale = 2.0 ** -int(np.clip(np.floor(np.log2(dims.m.mid)), -1000, 1000))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * scale * (c.cast("double") * scale)))
+    top = rows.agg(F.max(F.when(most * scale <= BIG, norm))).first()[0]
+    centres, ratio, posted = index(rows, dims.m.n, top, scale)
     # Rows of each list that count it as their own: one number per list, of which there are 2 * MAX_LISTS at most.
     held = np.zeros(len(centres), np.int64)
     for r in posted.where(F.col("own_list").isNotNull()).groupBy("own_list").count().collect():
@@ -306,7 +331,7 @@ def search(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     asked = asked.join(same, "vec_id", "left").select("row", "vec_id", "v", F.coalesce("same", F.lit(0)).alias("same"))
     asked = asked.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "row")
     kind = asked.schema["v"].dataType.simpleString()
-    probes = materialise(asked.mapInArrow(_probe(centres, ratio, held), f"grp int, bits long, own_list int, row long, vec_id long, v {kind}"), "probes")
+    probes = materialise(asked.mapInArrow(_probe(centres, ratio, held, top, scale), f"grp int, bits long, own_list int, row long, vec_id long, v {kind}"), "probes")
 
     sizes = posted.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asks = probes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -319,7 +344,7 @@ def search(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_score, "q_row long, query_id long, row long, vec_id long, score double")
     # A row may come from several groups; its score is the same in each.
     once = scored.groupBy("q_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("q_row", "query_id").orderBy(F.col("score").desc(), "vec_id", "row")
+    best = Window.partitionBy("q_row", "query_id").orderBy(F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")).desc(), "vec_id", "row")
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
 
 
