@@ -22,3 +22,18 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     offset = spark.createDataFrame(offsets, "_range int, _before long")
     number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.join(F.broadcast(offset), "_range").withColumn(rank, F.col("_before") + number).drop("_range", "_before")
+
+
+#: Rows of a group that one task may number by itself.
+ONE_TASK = 1_000_000
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], out: str = "position", most: int = ONE_TASK) -> DataFrame:
+    """``df`` with the rows of each ``key`` numbered from 1 in ``order``.  Where the largest group has proved to have at most ``most`` rows
+    a window does it; else all rows are ranked together in ranges, and a key's numbers begin at its first rank."""
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    placed = written(ranked(df, [F.asc(key), *order], "_rank"), "ranked")
+    first = placed.groupBy(key).agg(F.min("_rank").alias("_first"))
+    return placed.join(first, key).withColumn(out, (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first")

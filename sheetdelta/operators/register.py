@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centre, reference_point
 from ..schema import THRESHOLDS, Thresholds
-from ..tables import ship
+from ..tables import bounded, ship, written
+from .ranking import ONE_TASK, numbered
 
 ANCHOR = ["comparison_id", "source", "key", "ox", "oy", "nx", "ny"]
 
@@ -108,32 +108,48 @@ def quality(pairs: DataFrame, fitted: DataFrame, sheets: DataFrame, th: Threshol
     return out.select("comparison_id", F.coalesce("anchors", F.lit(0)).cast("long").alias("anchors"), ratio.alias("inlier_ratio"), rms.alias("rms_rel"), F.when(ok, "aligned").otherwise("failed").alias("status"))
 
 
-def seeded_ransac(pairs: DataFrame, sheets: DataFrame, th: Thresholds = THRESHOLDS, rounds: int = 200, seed: int = 1337) -> DataFrame:
-    """Per comparison with enough anchors: the transform of the largest sampled consensus, refined by least squares on it."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["rank", "key"], kind="stable")
-        o, n = (f.ox + 1j * f.oy).to_numpy(), (f.nx + 1j * f.ny).to_numpy()
-        tol, draw, best = th.inlier * f["diag"].iloc[0], random.Random(seed), None
-        for _ in range(rounds if len(o) >= th.min_anchors else 0):
-            i, j = draw.sample(range(len(o)), 2)
-            if o[i] == o[j]:
-                continue
-            a = (n[j] - n[i]) / (o[j] - o[i])
-            if not 0.2 <= abs(a) <= 5.0:
-                continue
-            inside = np.abs(a * o + (n[i] - a * o[i]) - n) <= tol
-            if best is None or inside.sum() > best.sum():
-                best = inside
-        if best is None or best.sum() < 2:
-            return pd.DataFrame(columns=["comparison_id", "n", "scale", "rotation", "tx", "ty"])
-        p, q = o[best], n[best]
-        dp, dq = p - p.mean(), q - q.mean()
-        a = (dq * dp.conj()).sum() / (abs(dp) ** 2).sum()
-        b = q.mean() - a * p.mean()
-        return pd.DataFrame({"comparison_id": [f.comparison_id.iloc[0]], "n": [int(best.sum())], "scale": [abs(a)], "rotation": [np.angle(a)], "tx": [b.real], "ty": [b.imag]})
-
-    ship(pairs.sparkSession)
-    rank = F.when(F.col("source") == "text", 0).otherwise(1).alias("rank")
-    rows = pairs.select(*ANCHOR, rank).join(_diagonal(sheets), "comparison_id")
-    return rows.groupBy("comparison_id").applyInPandas(run, "comparison_id int, n long, scale double, rotation double, tx double, ty double")
+def drawn_pairs(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(n, round, i, j): the pairs of anchors, by number from 1, that a seeded generator draws among n; they depend on n only."""
+
+    def draw(frames):
+        for frame in frames:
+            for n in frame["n"].tolist():
+                source = random.Random(seed)
+                rows = [(n, k, *(v + 1 for v in source.sample(range(n), 2))) for k in range(rounds)]
+                yield pd.DataFrame(rows, columns=["n", "round", "i", "j"])
+
+    ship(counts.sparkSession)
+    return counts.select("n").distinct().mapInPandas(draw, "n long, round int, i long, j long")
+
+
+def seeded_ransac(pairs: DataFrame, sheets: DataFrame, th: Thresholds = THRESHOLDS, rounds: int = 200, seed: int = 1337, one_task: int = ONE_TASK) -> DataFrame:
+    """Per comparison with enough anchors: the transform of the largest sampled consensus, the first among equals, refined by least
+    squares on it.
+
+    The drawn pairs are a table, each a hypothesis of its comparison.  The hypotheses of a comparison are one array that meets its
+    anchors, wherever these lie; an anchor leaves a row for each hypothesis that it agrees with, and those are counted by partial sums."""
+    order = [F.when(F.col("source") == "text", 0).otherwise(1).asc(), F.asc("key"), *[F.asc(c) for c in ("ox", "oy", "nx", "ny")]]
+    anchors = written(numbered(pairs.select(*ANCHOR), "comparison_id", order, "at", one_task), "anchors")
+    counts = anchors.groupBy("comparison_id").agg(F.count("*").alias("n")).where(F.col("n") >= th.min_anchors)
+    counts = written(counts.join(_diagonal(sheets), "comparison_id"), "counts")
+    drawn = counts.join(written(drawn_pairs(counts, rounds, seed), "drawn"), "n").select("comparison_id", "diag", "round", "i", "j")
+    end = lambda at, p: anchors.select("comparison_id", F.col("at").alias(at), *[F.col(c).alias(p + c) for c in ("ox", "oy", "nx", "ny")])
+    drawn = drawn.join(end("i", "p"), ["comparison_id", "i"]).join(end("j", "q"), ["comparison_id", "j"])
+    dx, dy, ex, ey = (F.col("q" + c) - F.col("p" + c) for c in ("ox", "oy", "nx", "ny"))
+    size = dx * dx + dy * dy
+    drawn = drawn.where(size > 0).withColumns({"a": (dx * ex + dy * ey) / size, "b": (dx * ey - dy * ex) / size}).where(F.hypot("a", "b").between(0.2, 5.0))
+    a, b = F.col("a"), F.col("b")
+    guess = F.struct("round", "a", "b", (F.col("pnx") - a * F.col("pox") + b * F.col("poy")).alias("c"), (F.col("pny") - b * F.col("pox") - a * F.col("poy")).alias("d"))
+    guesses = written(drawn.groupBy("comparison_id", "diag").agg(F.collect_list(guess).alias("guesses")), "guesses")  # ``rounds`` at most
+
+    def agrees(g: Column) -> Column:
+        x = g["a"] * F.col("ox") - g["b"] * F.col("oy") + g["c"] - F.col("nx")
+        y = g["b"] * F.col("ox") + g["a"] * F.col("oy") + g["d"] - F.col("ny")
+        return F.hypot(x, y) <= th.inlier * F.col("diag")
+
+    met = anchors.select(*ANCHOR).join(bounded(guesses), "comparison_id")
+    hits = met.select("comparison_id", F.explode(F.transform(F.filter("guesses", agrees), lambda g: g["round"])).alias("round")).groupBy("comparison_id", "round").count()
+    best = hits.groupBy("comparison_id").agg(F.max_by(F.struct("round", "count"), F.struct(F.col("count"), -F.col("round"))).alias("h")).where(F.col("h.count") >= 2)
+    chosen = guesses.join(best, "comparison_id").select("comparison_id", "diag", F.get(F.filter("guesses", lambda g: g["round"] == F.col("h.round")), 0).alias("g"))
+    inside = anchors.select(*ANCHOR).join(bounded(written(chosen, "chosen")), "comparison_id").where(agrees(F.col("g"))).select(*ANCHOR)
+    return least_squares(inside, ["comparison_id"]).select("comparison_id", "n", "scale", "rotation", "tx", "ty")

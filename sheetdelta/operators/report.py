@@ -9,8 +9,9 @@ from ..functions.geometry import location_bin
 from ..functions.numbers import canonical, fixed, signed
 from ..functions.text import VALUE, capitalised, collapsed, quoted
 from ..schema import THRESHOLDS, Thresholds
-from ..tables import bounded
+from ..tables import bounded, written
 from .delta import REPORT_ORDER
+from .ranking import numbered
 
 
 #: A private character that no drawing text begins a number with.
@@ -73,23 +74,70 @@ def change_counts(sheets: DataFrame, deltas: DataFrame) -> DataFrame:
     return out.select("comparison_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ["total", *kinds]])
 
 
+#: Boxes of a tile that are swept together, and how often a fuller tile is cut again.
+TILE, CUTS = 256, 8
+
+
 def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Area of the union of the boxes (x0, y0, x1, y1) of each group.
 
-    Vertical slabs between neighbouring x coordinates: within a slab a box is its y interval, and the union of intervals is a
+    Groups are cut into square tiles whose sides are powers of two, so borders are exact.  A box leaves its rim in the tiles that it
+    cuts, and for each row of tiles the run of tiles that it covers whole; such tiles count at once and drop what else lies in
+    them.  Tiles that still hold over TILE boxes are cut again.  What is left is swept tile by tile, so no task holds a group."""
+    b = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select(*keys, F.lit("").alias("_tile"), "x0", "y0", "x1", "y1")
+    group, areas = [*keys, "_tile"], []
+    for _ in range(CUTS):
+        b = written(b, "boxes")
+        span = b.groupBy(*group).agg(F.count("*").alias("n"), (F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"))
+        crowded = span.where(F.col("n") > TILE).select(*group, F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("w", "h") / F.sqrt(F.col("n") * 4 / TILE)))).alias("size"))
+        crowded = written(crowded, "crowded")
+        if crowded.isEmpty():
+            break
+        whole, pieces = _tiles(b.join(crowded, group), group)
+        areas.append(whole)
+        b = b.join(crowded, group, "left_anti").unionByName(pieces)
+    areas.append(_swept(b, group))
+    total = areas[0]
+    for more in areas[1:]:
+        total = total.unionByName(more)
+    return total.groupBy(*keys).agg(F.sum("area").alias("area"))
+
+
+def _tiles(b: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(areas of the tiles covered whole by one box, what boxes leave in the other tiles) of boxes with the size of their tiles."""
+    size = F.col("size")
+    at = {c: F.floor(F.col(c) / size).cast("long") for c in ("x0", "y0")} | {c: (F.ceil(F.col(c) / size) - 1).cast("long") for c in ("x1", "y1")}
+    b = b.withColumns({"i0": at["x0"], "i1": at["x1"], "j0": at["y0"], "j1": at["y1"]})
+    row = F.explode(F.sequence("j0", "j1")).alias("j")
+    inner = b.where("i1 - i0 > 1 and j1 - j0 > 1").select(*group, "size", F.explode(F.sequence(F.col("j0") + 1, F.col("j1") - 1)).alias("j"), (F.col("i0") + 1).alias("a"), (F.col("i1") - 1).alias("b"))
+    before = F.coalesce(F.max("b").over(Window.partitionBy(*group, "j").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.col("a") - 1)
+    runs = inner.withColumn("a", F.greatest(F.col("a"), before + 1)).where("a <= b")
+    full = written(runs.select(*group, "size", "j", F.explode(F.sequence("a", "b")).alias("i")), "tiles")
+    rim = F.when((F.col("j") == F.col("j0")) | (F.col("j") == F.col("j1")), F.sequence("i0", "i1")).otherwise(F.array_distinct(F.array("i0", "i1")))
+    pieces = b.select("*", row).withColumn("i", F.explode(rim)).join(full.select(*group, "j", "i"), [*group, "j", "i"], "left_anti")
+    low = {"x0": F.greatest(F.col("x0"), F.col("i") * size), "y0": F.greatest(F.col("y0"), F.col("j") * size)}
+    high = {"x1": F.least(F.col("x1"), (F.col("i") + 1) * size), "y1": F.least(F.col("y1"), (F.col("j") + 1) * size)}
+    tile = F.concat_ws("/", "_tile", F.col("i").cast("string"), F.col("j").cast("string"))
+    cut = {c: v.alias(c) for c, v in (low | high).items()}
+    # Equal pieces cover what one of them covers.
+    pieces = pieces.select(*group[:-1], tile.alias("_tile"), *[cut[c] for c in ("x0", "y0", "x1", "y1")]).distinct()
+    return full.groupBy(*group).agg(F.sum(size * size).alias("area")), pieces
+
+
+def _swept(b: DataFrame, group: list[str]) -> DataFrame:
+    """Vertical slabs between neighbouring x coordinates: within a slab a box is its y interval, and the union of intervals is a
     running maximum.  A box is repeated per slab that it spans, and no pair of boxes is made."""
-    b = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select(*keys, "x0", "y0", "x1", "y1")
-    xs = b.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    order = Window.partitionBy(*keys).orderBy("x")
+    xs = b.select(*group, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    order = Window.partitionBy(*group).orderBy("x")
     slabs = xs.withColumns({"i": F.row_number().over(order), "next": F.lead("x").over(order)})
-    low = slabs.select(*keys, F.col("x").alias("x0"), F.col("i").alias("i0"))
-    high = slabs.select(*keys, F.col("x").alias("x1"), F.col("i").alias("i1"))
-    spans = b.join(low, [*keys, "x0"]).join(high, [*keys, "x1"]).select(*keys, "y0", "y1", F.explode(F.sequence(F.col("i0"), F.col("i1") - 1)).alias("i"))
-    run = Window.partitionBy(*keys, "i").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    low = slabs.select(*group, F.col("x").alias("x0"), F.col("i").alias("i0"))
+    high = slabs.select(*group, F.col("x").alias("x1"), F.col("i").alias("i1"))
+    spans = b.join(low, [*group, "x0"]).join(high, [*group, "x1"]).select(*group, "y0", "y1", F.explode(F.sequence(F.col("i0"), F.col("i1") - 1)).alias("i"))
+    run = Window.partitionBy(*group, "i").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     top = F.max("y1").over(run)
     covered = F.greatest(F.col("y1") - F.greatest(F.col("y0"), F.coalesce(top, F.col("y0"))), F.lit(0.0))
-    height = spans.withColumn("h", covered).groupBy(*keys, "i").agg(F.sum("h").alias("h"))
-    return height.join(slabs, [*keys, "i"]).groupBy(*keys).agg(F.sum(F.col("h") * (F.col("next") - F.col("x"))).alias("area"))
+    height = spans.withColumn("h", covered).groupBy(*group, "i").agg(F.sum("h").alias("h"))
+    return height.join(slabs, [*group, "i"]).groupBy(*group).agg(F.sum(F.col("h") * (F.col("next") - F.col("x"))).alias("area"))
 
 
 def severity(sheets: DataFrame, deltas: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
@@ -127,14 +175,10 @@ def delta_cell() -> Column:
     return F.when(both & same_unit, diff).when(both & F.array_contains("kinds", "moved"), moved).otherwise(F.lit(""))
 
 
-def _in_order() -> Column:
-    return F.row_number().over(Window.partitionBy("comparison_id").orderBy(*REPORT_ORDER))
-
-
 def summary_table(sheets: DataFrame, deltas: DataFrame) -> DataFrame:
     """The rows of the report's table, in report order (position)."""
     here = F.coalesce(F.col("after"), F.col("before"))
-    d = deltas.join(bounded(sheets.select("comparison_id", "new_width", "new_height")), "comparison_id").withColumn("position", _in_order())
+    d = numbered(deltas.join(bounded(sheets.select("comparison_id", "new_width", "new_height")), "comparison_id"), "comparison_id", [F.asc(c) for c in REPORT_ORDER])
     number = F.col("position").cast("string")
     kinds = F.when((F.col("change_type") == "modified") & (F.size("kinds") > 0), F.concat(F.lit(" ("), _kinds(), F.lit(")"))).otherwise(F.lit(""))
     percent = lambda v: F.concat(fixed(v * 100, 0), F.lit("%"))
@@ -158,7 +202,9 @@ def summary_table(sheets: DataFrame, deltas: DataFrame) -> DataFrame:
 def top_changes(deltas: DataFrame, n: int = 15, types: list[str] | None = None) -> DataFrame:
     """The first n changes of every comparison in report order, of the given types only."""
     d = deltas.where(F.col("change_type").isin(types)) if types else deltas
-    return d.withColumn("position", _in_order()).where(F.col("position") <= n)
+    # Each task keeps its first n of a comparison before they meet.
+    place = F.row_number().over(Window.partitionBy("comparison_id").orderBy(*REPORT_ORDER))
+    return d.withColumn("position", place).where(F.col("position") <= n)
 
 
 def recommendations(severities: DataFrame, counts: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -226,7 +272,7 @@ def canonical_reports(sheets: DataFrame, deltas: DataFrame, version: str = "1")
         F.col("change_type").alias("change_type"), F.col("delta_id").alias("delta_id"), F.struct(number(F.col("similarity")).alias("similarity"), F.col("tier").alias("tier")).alias("match"),
         F.col("kinds").alias("modification_kinds"),
     )
-    lists = deltas.withColumn("position", _in_order()).groupBy("comparison_id").agg(F.array_sort(F.collect_list(F.struct("position", row.alias("row")))).alias("rows"))
+    lists = deltas.groupBy("comparison_id").agg(F.array_sort(F.collect_list(F.struct(*REPORT_ORDER, row.alias("row")))).alias("rows"))
     out = sheets.select("comparison_id").join(lists, "comparison_id", "left")
     rows = F.transform(F.coalesce("rows", F.expr("array()").cast(lists.schema["rows"].dataType)), lambda r: r["row"])
     outcome = F.when(F.size(rows) > 0, "changes_found").otherwise("no_changes")

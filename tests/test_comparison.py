@@ -123,6 +123,76 @@ def test_union_area(spark):
     assert got == {1: 200.0, 2: 150.0, 3: 100.0, 5: float(len(grid))}
 
 
+def test_union_area_of_many(spark):
+    """Small boxes, sheet-wide ones, a cluster in one spot and equal boxes, against a grid of unit cells; and a large sheet."""
+    r = np.random.default_rng(3)
+    side, rows = 400, []
+    for g in range(3):
+        n = 3_000 if g < 2 else 40
+        x, y = r.integers(0, side - 60, n), r.integers(0, side - 60, n)
+        w, h = r.integers(0, 12 if g == 0 else 60, n), r.integers(0, 12 if g == 0 else 60, n)
+        some = np.column_stack([x, y, x + w, y + h]).tolist()
+        if g == 1:
+            some += [[0, k % 7, side - 100, k % 7 + 90] for k in range(300)] + [[5, 5, 6 + k % 9, 7 + k % 8] for k in range(2_000)]
+        rows += [(g, *map(float, b)) for b in some]
+    df = spark.createDataFrame(rows, "g int, x0 double, y0 double, x1 double, y1 double").repartition(4)
+    got = {x.g: x.area for x in union_area(df, ["g"]).collect()}
+    for g in range(3):
+        grid = np.zeros((side, side), bool)
+        for _, x0, y0, x1, y1 in (b for b in rows if b[0] == g):
+            grid[int(x0) : int(x1), int(y0) : int(y1)] = True
+        assert got[g] == grid.sum()
+    # 60,000 boxes of one sheet on a lattice: every second cell.
+    k = F.col("id")
+    lattice = spark.range(60_000).select(F.lit(1).alias("g"), (k % 300 * 2.0).alias("x0"), (F.floor(k / 300) * 2.0).alias("y0"))
+    lattice = lattice.withColumns({"x1": F.col("x0") + 1, "y1": F.col("y0") + 1})
+    assert union_area(lattice, ["g"]).first().area == 60_000.0
+
+
+def test_numbers_in_order(spark):
+    """Large groups are numbered in ranges, with the same numbers as by a window."""
+    from sheetdelta.operators.ranking import numbered, ranked
+
+    rows = [(i % 3 if i % 5 else 7, (i * 37) % 101, i) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k int, v int, i int").repartition(5)
+    order = [F.desc("v"), F.asc("i")]
+    a, b = (sorted(tuple(x) for x in numbered(df, "k", order, "n", most).select("k", "i", "n").collect()) for most in (10, 10_000))
+    assert a == b and len(a) == 2_000
+    r = sorted((x["rank"], x.v, x.i) for x in ranked(df, order).collect())
+    assert [x[0] for x in r] == list(range(1, 2_001)) and [(v, i) for _, v, i in r] == sorted(((v, i) for _, v, i in rows), key=lambda x: (-x[0], x[1]))
+    assert ranked(df.where("false"), order).count() == 0 and numbered(df.where("false"), "k", order).count() == 0
+
+
+def test_drawn_hypotheses(spark):
+    """Against a loop over the drawn pairs, anchor by anchor; a comparison whose anchors are ranked in ranges gives the same."""
+    r = random.Random(9)
+    rows = []
+    for c in range(4):
+        turn, shift = complex(0.9 + 0.2 * c, 0.3 * c), complex(20 * c, -7)
+        for k in range(5 + 20 * c):
+            o = complex(r.uniform(0, 800), r.uniform(0, 500))
+            n = o * turn + shift if r.random() < 0.7 else complex(r.uniform(0, 800), r.uniform(0, 500))
+            rows.append((c, "text" if k % 2 else "geometry", f"k{k:03}", o.real, o.imag, n.real, n.imag))
+    rows += [(9, "text", "a", 0.0, 0.0, 1.0, 1.0), (9, "text", "b", 5.0, 0.0, 6.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "comparison_id int, source string, key string, ox double, oy double, nx double, ny double")
+    sheets = spark.createDataFrame([(c, 842.0, 595.0, 842.0, 595.0, 0.0, 0.0, 1.0, 0.0) for c in (0, 1, 2, 3, 9)], SHEET)
+    want, tol = {}, 0.005 * (842**2 + 595**2) ** 0.5
+    for c in range(4):
+        own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] != "text", x[2]))
+        o, n = ([complex(x[i], x[i + 1]) for x in own] for i in (3, 5))
+        draw, most = random.Random(1337), []
+        for _ in range(200):
+            i, j = draw.sample(range(len(o)), 2)
+            a = (n[j] - n[i]) / (o[j] - o[i]) if o[i] != o[j] else 0
+            inside = [k for k in range(len(o)) if abs(a * o[k] + n[i] - a * o[i] - n[k]) <= tol] if 0.2 <= abs(a) <= 5 else []
+            most = inside if len(inside) > len(most) else most
+        want[c] = len(most)
+    for one_task in (1_000_000, 10):
+        got = {x.comparison_id: x for x in seeded_ransac(pairs, sheets, one_task=one_task).collect()}
+        assert {c: x.n for c, x in got.items()} == want
+        assert abs(got[2].scale - abs(complex(1.3, 0.6))) < 1e-3
+
+
 def test_greedy_is_global_greedy(spark):
     r = random.Random(2)
     rows = [(g, float(r.randint(0, 6)), f"o{r.randint(0, 9)}", f"n{r.randint(0, 9)}") for g in range(12) for _ in range(25)]
