@@ -39,10 +39,14 @@ def displacement(a: Side, b: Side, t: Side | None) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def mapped_corners(e: Side, t: Side | None) -> tuple[Column, Column, Column, Column]:
+    """The two transformed corners as they come: a turn may put the first behind the second."""
+    return (*transform_point(e("x0"), e("y0"), t), *transform_point(e("x1"), e("y1"), t))
+
+
 def mapped_box(e: Side, t: Side | None) -> tuple[Column, Column, Column, Column]:
     """The box of the two transformed corners."""
-    px, py = transform_point(e("x0"), e("y0"), t)
-    qx, qy = transform_point(e("x1"), e("y1"), t)
+    px, py, qx, qy = mapped_corners(e, t)
     return F.least(px, qx), F.least(py, qy), F.greatest(px, qx), F.greatest(py, qy)
 
 

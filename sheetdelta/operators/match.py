@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import displacement, iou, mapped_box, shape_equivalent, side, style_equivalent
+from ..functions.geometry import displacement, iou, mapped_box, mapped_corners, shape_equivalent, side, style_equivalent
 from ..functions.numbers import fixed
 from ..schema import SIDE, THRESHOLDS, Thresholds
 from ..tables import bounded, written
@@ -79,7 +79,8 @@ def attribute_candidates(old: DataFrame, new: DataFrame, th: Thresholds = THRESH
     keys = (o["comparison_id"] == n["comparison_id"]) & (o["_cx"] == n["_cx"]) & (o["_cy"] == n["_cy"]) & (o["a_kind"] == n["b_kind"])
     pairs = o.join(n, keys).drop(n["comparison_id"]).withColumn("distance", displacement(A, B, T))
     near = F.col("distance") <= tol
-    overlap = iou(mapped_box(A, T), (B("x0"), B("y0"), B("x1"), B("y1"))) >= th.iou
+    # Corners are not put in order: after a turn that swaps them nothing overlaps, and shape or place decide.
+    overlap = iou(mapped_corners(A, T), (B("x0"), B("y0"), B("x1"), B("y1"))) >= th.iou
     written_kind = F.col("a_kind").isin("text", "dimension")
     # For a dimension with equal labels and for any other text the place alone decides; shapes may also overlap.
     rule = F.when(written_kind, near).otherwise((near & shape_equivalent(A, B, T, th.exact * F.col("diag"))) | overlap)

@@ -244,3 +244,16 @@ ORACLES["graph_edges"] = f"""SELECT comparison_id, revision, source, target, edg
 UNION SELECT comparison_id, revision, source, target, edge_kind FROM ({ORACLES["touch_edges"]})"""
 ORACLES["summary_lookup"] = f"""SELECT t.comparison_id, t.position, t.change, l.text FROM ({ORACLES["summary_table"]}) t JOIN ({ORACLES["summary_lines"]}) l USING (comparison_id, delta_id)"""
 ORACLES["first_changes"] = f"{_SQL_R}{_DELTA} SELECT comparison_id, position, delta_id FROM p WHERE position <= 15"
+
+#: Over every anchor of every sheet.
+ORACLES["fit_similarity_ls_all"] = ORACLES["fit_similarity_ls"].replace(_ls("t3"), _ls("ta"))
+ORACLES["registration_quality_all"] = ORACLES["registration_quality"].replace("FROM t3 JOIN sheets", "FROM ta JOIN sheets")
+ORACLES["consensus_all_anchors"] = (
+    ORACLES["consensus_all_pairs"]
+    .replace(_ANCHOR, _ANCHOR.replace("FROM e),", "FROM (SELECT * REPLACE (CAST(comparison_id + 7 * (ordinal // 2 // 280) AS INT) AS comparison_id) FROM e)),"))
+    .replace("FROM k WHERE n % 10 = 1)", "FROM k)").replace("AS n FROM t3)", "AS n FROM ta)")
+    .replace("JOIN p USING (comparison_id) JOIN sheets USING (comparison_id)", "JOIN p USING (comparison_id) JOIN sheets s7 ON s7.comparison_id = g.comparison_id % 7")
+)
+ORACLES["stage_signals"] = f"""{_SQL_R}{_DELTA} SELECT comparison_id, 'extracting' AS stage, 'entities_' || revision AS signal, count(*) AS value FROM e GROUP BY ALL
+UNION ALL SELECT comparison_id, 'matching', tier, count(*) FROM m GROUP BY ALL UNION ALL SELECT comparison_id, 'matching', 'unmatched_' || revision, count(*) FROM alone GROUP BY ALL
+UNION ALL SELECT comparison_id, 'diffing', change_type, count(*) FROM d GROUP BY ALL"""

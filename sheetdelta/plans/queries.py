@@ -11,7 +11,7 @@ from ..functions.geometry import location_bin, reference_point, transform_point
 from ..functions.identity import shape_signature, with_identity
 from ..functions.text import colour_hex, parse_dimension
 from ..operators import features as ft
-from ..operators import graph, jobs, match, register, report, score
+from ..operators import graph, joblog, jobs, match, register, report, score
 from ..operators.assign import greedy_one_to_one
 from ..operators.delta import compute_deltas, outcomes, violations
 from ..schema import THRESHOLDS
@@ -286,6 +286,13 @@ def registration_quality(spark, sf_dir):
     return register.quality(p, fixtures.sheets(spark), fixtures.sheets(spark)).select("comparison_id", "anchors", "inlier_ratio", _r("rms_rel", 4).alias("rms_rel"), "status")
 
 
+@query
+def registration_quality_all(spark, sf_dir):
+    """The same over the anchors of every sheet."""
+    p = _all_anchors(spark, sf_dir)
+    return register.quality(p, fixtures.sheets(spark), fixtures.sheets(spark)).select("comparison_id", "anchors", "inlier_ratio", _r("rms_rel", 4).alias("rms_rel"), "status")
+
+
 @query
 def consensus_all_pairs(spark, sf_dir):
     """Every tenth anchor of each sheet but sheet 3, all hypotheses: the part that its SQL covers."""
@@ -366,6 +373,13 @@ def unmatched_entities(spark, sf_dir):
     return match.unmatched(c.entities, c.matches)
 
 
+@query
+def stage_signals(spark, sf_dir):
+    """Counts of every stage of the comparison, as its log has them."""
+    c = _compared(spark, sf_dir)
+    return joblog.stage_signals(c.entities, c.matches, c.deltas, match.unmatched(c.entities, c.matches))
+
+
 @query
 def label_alignment(spark, sf_dir):
     """Records at the centres of the old entities, two points off, back to their entities: the two sheets that its SQL covers."""

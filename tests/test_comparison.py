@@ -376,3 +376,38 @@ def test_moved_vs_removed(spark, data):
     assert len([r for r in learned if r.entity in ("text", "dimension")]) == len(named)
     assert any(r.change_type == "removed" and "type \"" in r.text for r in rows) and any("(" in r.entity for r in rows)
     assert not [r for r in rows if r.change_type != "modified" and r.confidence]
+
+
+def test_overlap_after_a_turn(spark):
+    """Matching takes the transformed corners as they come; a half turn swaps them, so equal boxes do not overlap there."""
+    from sheetdelta.functions.geometry import iou, mapped_box, mapped_corners
+
+    row = {"x0": 0.0, "y0": 0.0, "x1": 10.0, "y1": 4.0}
+    for rotation, tx, ty, want in ((0.0, 0.0, 0.0, (1.0, 1.0)), (float(np.pi), 10.0, 4.0, (0.0, 1.0)), (float(np.pi / 2), 4.0, 0.0, (0.0, None))):
+        t = {"tx": F.lit(tx), "ty": F.lit(ty), "scale": F.lit(1.0), "rotation": F.lit(rotation)}.__getitem__
+        e = {k: F.lit(v) for k, v in row.items()}.__getitem__
+        box = tuple(F.lit(v) for v in (0.0, 0.0, 10.0, 4.0))
+        raw, sorted_ = one(spark, iou(mapped_corners(e, t), box).alias("a"), iou(mapped_box(e, t), box).alias("b"))
+        assert abs(raw - want[0]) < 1e-9 and (want[1] is None or abs(sorted_ - want[1]) < 1e-9)
+
+
+def test_job_log(spark, tmp_path):
+    """The log of one of two comparisons holds its counts and no line of the other's; metrics pass by as a table is written."""
+    from sheetdelta.operators import joblog
+    from sheetdelta.operators.match import unmatched
+    from sheetdelta.plans import synth
+
+    e = synth.pair(spark, ["dim-change", "add", "remove"]).union(synth.pair(spark, ["style"], comparison_id=1))
+    c = compare(e, synth.sheets(spark, [0, 1]))
+    labelled = c.entities.withColumn("semantic_confidence", F.when(F.col("ordinal") < 2, 0.4).otherwise(0.9))
+    signals = joblog.stage_signals(c.entities, c.matches, c.deltas, unmatched(c.entities, c.matches), c.registrations, labelled)
+    table, totals = joblog.observed(signals, "signals", most=F.max("value"))
+    assert totals["rows"] == table.count() and totals["most"] >= 22
+    joblog.write_log(table, str(tmp_path / "log"))
+    got = {x.stage: x.signals for x in joblog.read_log(spark, str(tmp_path / "log"), 0).collect()}
+    assert got["diffing"] == {"added": 1, "modified": 1, "removed": 1}
+    assert got["matching"]["unmatched_old"] == got["matching"]["unmatched_new"] == 1 and got["classifying"] == {"low_confidence": 4}
+    assert got["extracting"] == {"entities_new": 22, "entities_old": 22} and got["registering"]["anchors"] >= 3
+    other = joblog.read_log(spark, str(tmp_path / "log"), 1).collect()
+    assert {x.comparison_id for x in other} == {1} and [x.signals for x in other if x.stage == "diffing"] == [{"modified": 1}]
+    assert joblog.read_log(spark, str(tmp_path / "log"), 5).count() == 0
