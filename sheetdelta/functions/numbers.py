@@ -70,19 +70,23 @@ def _finite(value: Column) -> Column:
     return ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
+def _split(size: Column, digits: int) -> Column:
+    """A size under 64 bits with a fixed number of decimals.  The part behind the point is exact by itself; rounding may carry into the
+    whole part."""
+
+    def write(whole: Column) -> Column:
+        part = lambda k: F.concat((whole.cast("long") + (k == 10**digits).cast("long")).cast("string"), F.lit("."), F.lpad(F.when(k == 10**digits, F.lit(0).cast("long")).otherwise(k).cast("string"), F.lit(digits), F.lit("0")))
+        return _let(scaled(size - whole, digits), part)
+
+    return _let(F.floor(size), write)
+
+
 def fixed(value: Column, digits: int) -> Column:
     """``value`` with a fixed number of decimals; beyond 64 bits its shortest digits and zeros; nan, inf and -inf as such."""
 
-    def large(size: Column) -> Column:
-        # The part behind the point is exact by itself; rounding may carry into the whole part.
-        whole = F.floor(size)
-        part = scaled(size - whole, digits)
-        up = (part == 10**digits).cast("long")
-        return F.concat((whole.cast("long") + up).cast("string"), F.lit("."), F.lpad(F.when(up == 1, F.lit(0).cast("long")).otherwise(part).cast("string"), F.lit(digits), F.lit("0")))
-
     def write(size: Column) -> Column:
-        plain = _decimals(scaled(value, digits), digits)
-        middle = plain if digits == 0 else F.when(size < 1e9, plain).otherwise(large(size))
+        plain = _decimals(scaled(size, digits), digits)
+        middle = plain if digits == 0 else F.when(size < 1e9, plain).otherwise(_split(size, digits))
         return F.when(size < NO_LONG, middle).otherwise(F.format_string(f"%.{digits}f", size))
 
     text = F.when(_finite(value), _let(F.abs(value), write)).otherwise(_odd(value))
@@ -143,7 +147,7 @@ def canonical(value: Column) -> Column:
 
     def with_decimals(size: Column) -> Column:
         # Below 2^53: the fewest decimals that name the same number.
-        found = F.get(F.filter(F.array(*[fixed(size, d) for d in range(1, 8)]), lambda t: t.cast("double") == size), 0)
+        found = F.get(F.filter(F.array(*[_split(size, d) for d in range(1, 8)]), lambda t: t.cast("double") == size), 0)
         return F.regexp_replace(_stripped(found), r"\.$", ".0")
 
     def whole(size: Column) -> Column:

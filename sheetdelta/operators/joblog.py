@@ -1,23 +1,15 @@
 """What a run did, comparison by comparison: counts of every stage, as a table and as a log of JSON lines.
 
-Only counts are kept, no texts or places.  Totals of a stage are observed while its table is written (``observed``); the counts of each
-comparison are grouped sums over the tables that the run wrote anyway.
+Only counts are kept, no texts or places.  They are grouped sums over the tables that the run wrote anyway, so no stage runs again.  (Metrics
+observed on the way would be totals over all comparisons, and an observation leaves the session's models unable to travel to tasks.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STATES
-from ..tables import written
-
-
-def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``df`` written, and its rows and further aggregates as they passed by: no job of their own."""
-    seen = Observation(name)
-    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), name)
-    return out, seen.get
 
 
 def stage_signals(entities: DataFrame, matches: DataFrame, deltas: DataFrame, unmatched: DataFrame, registrations: DataFrame | None = None, labelled: DataFrame | None = None, low: float = 0.5) -> DataFrame:

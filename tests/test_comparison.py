@@ -392,7 +392,7 @@ def test_overlap_after_a_turn(spark):
 
 
 def test_job_log(spark, tmp_path):
-    """The log of one of two comparisons holds its counts and no line of the other's; metrics pass by as a table is written."""
+    """The log of one of two comparisons holds its counts and no line of the other's."""
     from sheetdelta.operators import joblog
     from sheetdelta.operators.match import unmatched
     from sheetdelta.plans import synth
@@ -401,9 +401,7 @@ def test_job_log(spark, tmp_path):
     c = compare(e, synth.sheets(spark, [0, 1]))
     labelled = c.entities.withColumn("semantic_confidence", F.when(F.col("ordinal") < 2, 0.4).otherwise(0.9))
     signals = joblog.stage_signals(c.entities, c.matches, c.deltas, unmatched(c.entities, c.matches), c.registrations, labelled)
-    table, totals = joblog.observed(signals, "signals", most=F.max("value"))
-    assert totals["rows"] == table.count() and totals["most"] >= 22
-    joblog.write_log(table, str(tmp_path / "log"))
+    joblog.write_log(signals, str(tmp_path / "log"))
     got = {x.stage: x.signals for x in joblog.read_log(spark, str(tmp_path / "log"), 0).collect()}
     assert got["diffing"] == {"added": 1, "modified": 1, "removed": 1}
     assert got["matching"]["unmatched_old"] == got["matching"]["unmatched_new"] == 1 and got["classifying"] == {"low_confidence": 4}
