@@ -34,7 +34,7 @@ from .common import materialise, prepare, small_side, table
 LEAST_DOCS, PRIOR, TOP = 30, 5, 50
 #: SCALE in two factors, so that a division by steps stays within 64 bits for counts up to 2^63 / 32,000.
 SCALE = (32_000, 31_250)
-SLICE, HELD = 1 << 20, 500_000
+SLICE, HELD = 1 << 20, 300_000
 _FOLD = bytes(c if 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
 
