@@ -12,7 +12,9 @@ from sheetdelta.operators import attention, training
 from sheetdelta.operators import features as ft
 from sheetdelta.operators.graph import KEY, graph_edges
 from sheetdelta.operators.match import cosine
+from sheetdelta.operators.report import canonical_reports
 from sheetdelta.plans import synth
+from sheetdelta.plans.compare import compare
 from sheetdelta.sources import models
 from sheetdelta.tables import written
 
@@ -179,3 +181,18 @@ def test_pinned_models(spark, tmp_path):
         models.load_model(spark, folder, "encoder", attention.ENCODER)
     with pytest.raises(Exception):
         models.pinned(spark, folder, "another")
+
+
+def test_report_names_its_models(spark, tmp_path, trained):
+    """A comparison with the pinned encoder pairs an entity that moved far; its report carries the version that follows from both models."""
+    (encoder, _), (classifier, _), _ = trained
+    folder = str(tmp_path)
+    models.save_model(spark, encoder, folder, "encoder")
+    models.save_model(spark, classifier, folder, "classifier")
+    version = models.pipeline_version(spark, folder, "2")
+    assert version == f"2+classifier.{models.digest(classifier)[:8]}+encoder.{models.digest(encoder)[:8]}"
+    sheets = synth.sheets(spark, [0])
+    c = compare(synth.pair(spark, ["move"], distance=60.0), sheets, encoder=models.load_model(spark, folder, "encoder", attention.ENCODER))
+    rows = c.deltas.collect()
+    assert [(r.change_type, r.tier, list(r.kinds)) for r in rows] == [("modified", "learned", ["moved"])] and rows[0].similarity >= 0.3
+    assert f'"pipeline_version":"{version}"' in canonical_reports(sheets, c.deltas, version).first().report
