@@ -206,3 +206,25 @@ def test_carried_checksums():
         tail = bytes(range(256)) * (n // 256 + 1)
         joined = op13_resampling.carry(np.array([zlib.crc32(b"head")], np.uint32), n)[0] ^ zlib.crc32(tail[:n])
         assert joined == zlib.crc32(b"head" + tail[:n])
+
+
+def test_divergence_flushes(monkeypatch):
+    """Counts that a task gives away in parts add up to those that it holds to the end, a document's terms once in each."""
+    import pyarrow as pa
+
+    texts = [words(50, k) + " " + words(20, 1) for k in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 20), pa.array(["a", "b"] * 10)], ["text", "lang", "source"])
+
+    def summed():
+        out, parts = Counter(), 0
+        for part in op12_divergence._count([batch]):
+            parts += 1
+            for r in part.to_pylist():
+                out[r["source"], r["term"], "n"] += r["n"]
+                out[r["source"], r["term"], "d"] += r["d"]
+        return out, parts
+
+    whole, one = summed()
+    monkeypatch.setattr(op12_divergence, "HELD", 40)
+    cut, many = summed()
+    assert whole == cut and one == 1 and many > 5
