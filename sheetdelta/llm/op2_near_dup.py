@@ -17,7 +17,9 @@ component; component_id is the smallest non-null doc_id, and rows without a doc_
 
 The stage decides by doc_id and text together (a 128-bit digest), not by doc_id: one row of each component stays, the one with
 the smallest doc_id (none last), so repeated rows, copies without a doc_id and different texts under one doc_id each get the right
-verdict.  Which of the rows of one doc_id and text stays is open where they differ in further columns.
+verdict.  Of the rows of one doc_id and text that differ in further columns the one whose columns come first as JSON stays.
+
+Joins with texts shuffle at every size, so that a plan over few documents is the plan over many.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import by_bytes
-from .common import materialise, prepare, small_side, table
+from .common import materialise, prepare, table
 from .components import connected_components
 from .shingles import MinHash, set_digest, shingle_sets
 
@@ -287,7 +289,7 @@ def _components(docs: DataFrame, link: int) -> DataFrame:
 def _full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(node, full set, long signature) of the classes in ``members``, worked out again from the text of one row of each."""
     wanted = materialise(members.select("path").distinct(), "wanted")
-    texts = docs.join(small_side(wanted), "path", "left_semi").select("text")
+    texts = docs.join(wanted.hint("merge"), "path", "left_semi").select("text")
     # A repeated row gives its class again.
     return materialise(texts.mapInArrow(_sets, "node binary, full binary, long binary").dropDuplicates(["node"]), "sets")
 
@@ -305,12 +307,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "path"))["path"]
     stays = rows.groupBy("root").agg(F.count("*").alias("n"), first.alias("stays")).where("n > 1")
     dropped = rows.join(stays, "root").where(F.col("path") != F.col("stays")).select(F.col("path").alias(key)).distinct()
-    kept = keyed.join(small_side(materialise(dropped, "dropped")), key, "left_anti")
+    kept = keyed.join(materialise(dropped, "dropped").hint("merge"), key, "left_anti")
     # Rows that are repeated whole share a key; of those one stays.
     repeated = materialise(rows.groupBy(F.col("path").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
     if not repeated.isEmpty():
-        repeated = small_side(repeated)
-        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+        repeated = repeated.hint("merge")
+        row = F.struct(*[F.col(f"`{c}`") for c in kept.columns])
+        one = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        kept = kept.join(repeated, key, "left_anti").unionByName(one)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

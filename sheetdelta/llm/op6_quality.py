@@ -8,7 +8,8 @@ estimate of their centre and spread:
 1. Five deterministic starts: medians with quartile spreads; means with covariances; medians with the correlations of squashed
    scores; lower and upper quartiles with quartile spreads.
 2. Concentration steps from each: the 75 percent of rows that lie nearest give the next centre and covariance.  A start goes on
-   as long as the determinant falls; a step that does not lower it is not taken.
+   as long as the determinant falls; a step that does not lower it is not taken.  Steps have no limit: each lowers the logarithm of
+   the determinant by SETTLED at least, and the floors bound it from below.
 3. The start with the least determinant is the estimate, followed by one reweighted step.
 
 Spreads have a floor, since most texts have no symbols or repeats at all; determinants are of the covariance with floors.  A row is
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_side, table
 
-#: Least group, most steps, share of a concentration step, quantiles of chi-squared with 4 degrees of freedom, and
+#: Least group, share of a concentration step, quantiles of chi-squared with 4 degrees of freedom, and
 #: the factors that make the spread of a trimmed sample consistent for normal data.
-MIN_GROUP, STEPS, SHARE = 50, 40, 0.75
+MIN_GROUP, SHARE = 50, 0.75
 CUTOFF, REWEIGHT = 33.38, 11.14
 FACTOR_SHARE, FACTOR_REWEIGHT = 1.485, 1.064
 FLOORS = [0.06, 0.3, 0.3, 0.3]
@@ -205,7 +206,7 @@ def _concentrate(cells: DataFrame, state: DataFrame) -> DataFrame:
 def covariance_determinant(cells: DataFrame) -> DataFrame:
     """The estimate of least determinant of every group of ``cells`` (_g, the statistics, weight _w): _g, centre, factor, _logdet."""
     state = materialise(_starts(cells).withColumn("_open", F.lit(True)), "starts")
-    for _ in range(STEPS):
+    while True:
         still = state.where("_open").select("_g", "_start", *STATE)
         n = still.count()
         if not n:
