@@ -4,8 +4,8 @@ Units are normalised (A-Z lowered, white space between words ignored) and named
 over the whole table, and the document that ranks first (smallest doc_id) owns a unit; other documents, and later places of the
 same document, repeat it.
 - Lines and paragraphs (between lines without words) are the units of the method.  A line of at least 5 words that its own
-  document has already held goes.  A run of lines, or a paragraph, that another document owns goes if it has at least 20 words
-  (MIN_RUN): a shared heading, license line or greeting by itself is no repeated passage.
+  document has already held goes.  A run of lines that repeat, short ones included, or a paragraph goes if it has at least 20
+  words (MIN_RUN): a shared heading, license line or greeting by itself is no repeated passage.
 - Clauses are an addition, since passages are often quoted or edited inside a line, where no line or paragraph is equal.  A
   clause ends with a sentence, with its line, and after any word whose hash is a multiple of 16, so equal passages fall into equal
   clauses wherever they stand.  A run of repeated clauses, with clauses under 3 words between them, goes if the repeats in it have at
@@ -85,7 +85,7 @@ def _units(batches):
         for part in by_bytes(batch, "text", CHUNK):
             u = Units(part.column("text").fill_null("").cast(pa.binary()).to_pylist())
             text, h1, h2 = [], [], []
-            for (a, _, n, x, y), least in ((u.lines, MIN_LINE), (u.paragraphs, MIN_RUN), (u.clauses, MIN_CLAUSE)):
+            for (a, _, n, x, y), least in ((u.lines, 1), (u.paragraphs, MIN_RUN), (u.clauses, MIN_CLAUSE)):
                 keep = n >= least
                 text.append(u.text_of[a[keep]] if len(a) else a)
                 h1.append(x[keep])
@@ -136,7 +136,7 @@ def _clean(batches):
             sizes = np.asarray(others.value_lengths().fill_null(0), np.int64)
             ends = np.cumsum(sizes)
             levels = []
-            for (a, b, n, x, y), least in ((u.lines, MIN_LINE), (u.paragraphs, MIN_RUN), (u.clauses, MIN_CLAUSE)):
+            for (a, b, n, x, y), least in ((u.lines, 1), (u.paragraphs, MIN_RUN), (u.clauses, MIN_CLAUSE)):
                 t = u.text_of[a] if len(a) else a
                 again = np.ones(len(t), bool)
                 if len(t):
@@ -153,7 +153,7 @@ def _clean(batches):
                         repeat = repeat | long[s] & np.fromiter(((p, q) in known for p, q in zip(x[s].tolist(), y[s].tolist())), bool, s.stop - s.start)
                     runs = _intervals(n[s], repeat, MIN_CLAUSE if level == 2 else 1)
                     if level == 0:
-                        runs += [(k, k) for k in np.flatnonzero(again[s]).tolist()]
+                        runs += [(k, k) for k in np.flatnonzero(again[s] & (n[s] >= MIN_LINE)).tolist()]
                     found.append([(int(u.start[a[s][p]]), int(u.end[b[s][q]])) for p, q in runs])
                 base = int(u.text_start[i])
                 whole, inner = _joined(found[0] + found[1]), _joined(found[2])

@@ -747,7 +747,7 @@ def test_vectors_prune_lists(spark):
 def brute_repeats(rows):
     from sheetdelta.llm.shingles import word_hashes
 
-    least = {"lines": 5, "paragraphs": op9_substring.MIN_RUN, "clauses": 3}
+    least = {"lines": 1, "paragraphs": op9_substring.MIN_RUN, "clauses": 3}
     docs, own = [], {}
     for d, t in sorted(rows):
         units, at, block = {"lines": [], "paragraphs": [], "clauses": []}, 0, []
@@ -786,7 +786,7 @@ def brute_repeats(rows):
                 mine = u is not None and len(u) >= least[name] and k in seen
                 repeat = mine or u is not None and len(u) >= least[name] and own[k] < d
                 seen.add(k)
-                if mine and name == "lines":
+                if mine and name == "lines" and len(u) >= 5:
                     cuts[name].append((u[0][0], u[-1][1]))
                 if repeat:
                     run.append(u)
@@ -823,6 +823,42 @@ def test_repeats_against_brute_force(spark, data):
     assert want[6001][1] and not want[7001][1].startswith("0:") and want[7005][1].count(":") == 2
 
 
+def test_repeats_of_short_lines(spark):
+    """Lines under five words count in runs; alone they stay."""
+    code = "\n".join(words(3, 900 + k) for k in range(8))
+    rows = [(1, f"{words(9, 1)}\n{code}"), (2, f"{words(9, 2)}\n{code}\n{words(9, 3)}"), (3, f"{words(9, 4)}\n{words(3, 900)}\n{words(9, 5)}"), (4, "word here\n" * 100_000)]
+    got = {r.doc.doc_id: r for r in op9_substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[1].removed_lines == "" and got[3].removed_lines == "" and got[2].text == f"{words(9, 2)}\n{words(9, 3)}"
+    assert got[4].text == "word here\n"
+    assert {d: (r.removed, r.removed_lines, r.removed_clauses) for d, r in got.items() if d < 4} == brute_repeats(rows[:3])
+
+
+GIANTS = [" " * 300_000, "\n" * 300_000, "a" * 300_000, "7" * 300_000, "\U0001f600" * 100_000, "token=" + "Ab1" * 100_000, "red blue " * 60_000, "one\n\n" * 60_000]
+
+
+def test_giant_texts(spark):
+    """Long texts of one kind, twice each: near-duplicates, repeats, secrets, personal data, quality and language."""
+    rows = [(2 * i + k, t, "en", "web") for i, t in enumerate(GIANTS) for k in range(2)] + [(100 + i, words(60, 700 + i), "en", "web") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4).cache()
+    near = {r.doc_id: r for r in op2_near_dup.near_duplicates(docs).collect()}
+    # Blanks have no words and are linked with nothing; every other text goes with its copy.
+    assert all(near[2 * i + 1].component_id == 2 * i + (i < 2) for i in range(len(GIANTS)))
+    assert near[2].n_shingles == 0 and near[4].n_shingles == 1 and near[12].n_shingles == 2
+    kept = {r.doc.doc_id: r for r in op9_substring.remove_repeats(docs, ["doc_id"]).collect()}
+    assert kept[12].text.strip() and not kept[13].text.strip() and not kept[15].text.strip() and kept[14].text.split() == ["one"]
+    assert all(kept[k].text == GIANTS[k // 2] for k in range(12))
+    ledger = op1_secrets.update(docs, op1_secrets.own_ledger(spark))
+    secrets = {r.doc_id: r.spans for r in op1_secrets.digest(op1_secrets.join_paths(docs, ledger), ["doc_id"]).collect()}
+    assert [secrets[2 * i] for i in range(7)] == ["", "", "hex:0:300000", "hex:0:300000", "", "assign:0:300006", ""]
+    assert all(secrets[2 * i] == secrets[2 * i + 1] for i in range(len(GIANTS)))
+    assert not any(r.n_email + r.n_ip + r.n_card + r.n_phone for r in op3_pii.personal_data(docs).collect())
+    language = {r.doc_id: r.lang_pred for r in op8_language.identify(docs, [("en", words(500, 1)), ("xx", "uno dos tres cuatro")]).collect()}
+    assert language[0] == "und" and language[6] == "und" and language[4] in ("en", "xx")
+    quality = {r.doc.doc_id: r for r in op6_quality.judge(docs, ["doc_id"]).collect()}
+    assert quality[0].n_words == 0 and quality[4].word_chars == 300_000 and quality[12].n_repeat_words == 120_000 and quality[14].n_dup_lines == 59_999
+    docs.unpersist()
+
+
 def test_revisit_header_names(spark):
     """Names in any case of letters; a revisit may update the tag and the place of the content as well."""
     schema = "record_id long, page_id long, url string, ts long, kind string, etag string, modified long, headers map<string,string>"
