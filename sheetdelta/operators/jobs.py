@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import TERMINAL
+from ..schema import STATES, TERMINAL
 
 #: The cap on an upload, and the marker that a PDF starts with.
 MAX_BYTES = 50 * 1024 * 1024
@@ -53,3 +53,20 @@ def stage_timings(marks: DataFrame) -> DataFrame:
 
 def error_envelope(code: Column, message: Column, comparison: Column) -> Column:
     return F.struct(F.struct(code.alias("code"), message.alias("message"), comparison.alias("comparison_id")).alias("error"))
+
+
+#: The states that a job passes through in order, and those that end it early, by the state that they may follow.
+PROGRESS = STATES[: STATES.index("done") + 1]
+ENDS = {"rejected": "extracting", "declined": "registering"}
+
+
+def follows(before: str | None, state: str | None) -> bool:
+    """Whether a job in ``before`` (None: new) may go on to ``state``: the next one in order, failed from any that is not final, rejected
+    while it is extracted and declined while it is registered."""
+    if before in TERMINAL:
+        return False
+    if state == "failed":
+        return before is not None
+    if state in ENDS:
+        return before == ENDS[state]
+    return state in PROGRESS and PROGRESS.index(state) == (PROGRESS.index(before) + 1 if before else 0)

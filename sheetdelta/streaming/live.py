@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators.jobs import follows
 from ..plans.compare import compare
 from ..schema import TERMINAL
 from ..tables import ship
@@ -75,3 +77,51 @@ def job_states(updates: DataFrame, ttl_seconds: int = 86_400, late: str = "1 min
 
     u = _timed(updates, late)
     return u.groupBy("job_id").applyInPandasWithState(step, JOB_OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+MOVE_OUT = "job_id long, ts timestamp, before string, state string, outcome string"
+
+
+class JobMachine(StatefulProcessor):
+    """The state of one job, and a timer from the time that it finishes."""
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[0] if self.state.exists() else None
+        found = []
+        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+            if last is not None and r.state == last:
+                continue
+            legal = follows(last, r.state)
+            found.append((key[0], r.ts, last, r.state, "moved" if legal else "illegal"))
+            if legal:
+                last = r.state
+                self.state.update((last,))
+                if last in TERMINAL:
+                    until = int(r.ts.timestamp() * 1000) + self.ttl
+                    self.handle.registerTimer(max(until, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(found, columns=["job_id", "ts", "before", "state", "outcome"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (last,) = self.state.get()
+        self.state.clear()
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        yield pd.DataFrame([(key[0], at, last, None, "expired")], columns=["job_id", "ts", "before", "state", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+def job_moves(updates: DataFrame, ttl_seconds: int = 86_400, late: str = "1 minute") -> DataFrame:
+    """``updates`` (job_id, state, ts) to a row for each: job_id, ts, before, state, and outcome: moved; illegal where the state may not
+    follow (unknown or null states, too; the job stays as it was); and expired once a finished job has outlived its time.  A state that
+    is told again gives no row, and updates behind the watermark are dropped.  The session needs the RocksDB state store."""
+    ship(updates.sparkSession)
+    u = _timed(updates.select(F.col("job_id").cast("long").alias("job_id"), "state", "ts"), late)
+    return u.groupBy("job_id").transformWithStateInPandas(JobMachine(ttl_seconds), MOVE_OUT, "Append", "EventTime")

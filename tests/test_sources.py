@@ -7,8 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sheetdelta.operators.jobs import follows
 from sheetdelta.plans import fixtures, synth
 from sheetdelta.plans.compare import compare
+from sheetdelta.schema import STATES, TERMINAL
 from sheetdelta.sources import pdf, records
 from sheetdelta.streaming import live
 
@@ -178,3 +180,45 @@ def test_job_states(spark, tmp_path):
     out = {(r.job_id, r.state, r.expired) for r in run_all(live.job_states(stream), "job_states").collect()}
     assert {(1, "done", False), (2, "matching", False), (1, "done", True), (3, "pending", False)} <= out
     assert (2, "matching", True) not in out
+
+
+def test_job_moves(spark, tmp_path):
+    import os
+    import shutil
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    day = "2024-01-0"
+    batches = [
+        [(1, s, f"{day}1 00:{i:02d}:00") for i, s in enumerate(STATES[:9])]
+        + [(1, "failed", f"{day}1 00:30:00"), (2, "pending", f"{day}1 00:00:00"), (2, "extracting", f"{day}1 00:01:00"), (2, "extracting", f"{day}1 00:02:00")]
+        + [(3, "matching", f"{day}1 00:00:00"), (4, "pending", f"{day}1 00:00:00"), (4, "declined", f"{day}1 00:01:00"), (4, None, f"{day}1 00:02:00")],
+        [(2, "rejected", f"{day}1 01:00:00"), (2, "classifying", f"{day}1 01:01:00"), (4, "failed", f"{day}1 01:00:00"), (5, "pending", f"{day}5 00:00:00")],
+        # Behind the watermark: dropped.
+        [(5, "failed", f"{day}1 00:00:00"), (5, "extracting", f"{day}5 00:01:00"), (7, "pending", f"{day}6 00:00:00")],
+        [(6, "pending", f"{day}7 00:00:00")],
+    ]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, "job_id long, state string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / f"u{i}"))
+        (file,) = (tmp_path / f"u{i}").glob("*.parquet")
+        shutil.copy(file, tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + 60 * i,) * 2)
+    stream = session.readStream.schema("job_id long, state string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = run_all(live.job_moves(stream), "job_moves").collect()
+    moved = [(r.job_id, r.before, r.state) for r in sorted(out, key=lambda r: (r.job_id, r.ts)) if r.outcome == "moved"]
+    assert [x for x in moved if x[0] == 1][:9] == [(1, b, s) for b, s in zip([None, *STATES[:8]], STATES[:9])]
+    assert [x[2] for x in moved if x[0] == 2] == ["pending", "extracting", "rejected"]
+    assert {(r.job_id, r.before, r.state) for r in out if r.outcome == "illegal"} == {
+        (1, "done", "failed"), (2, "rejected", "classifying"), (3, None, "matching"), (4, "pending", "declined"), (4, "pending", None)
+    }
+    assert {(r.job_id, r.before) for r in out if r.outcome == "expired"} == {(1, "done"), (2, "rejected"), (4, "failed")}
+    assert [x[2] for x in moved if x[0] == 5] == ["pending", "extracting"]
+
+
+def test_states_that_follow():
+    assert [s for s in STATES if follows("extracting", s)] == ["classifying", "failed", "rejected"]
+    assert [s for s in STATES if follows("registering", s)] == ["matching", "failed", "declined"]
+    assert [s for s in STATES if follows(None, s)] == ["pending"] and not any(follows(t, s) for t in TERMINAL for s in STATES)
+    assert not follows("pending", None) and not follows("pending", "nonsense")
