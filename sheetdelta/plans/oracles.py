@@ -112,8 +112,10 @@ _ANCHOR = f"""{_E}, rp AS (SELECT *, coalesce(anchor_x, (x0 + x1) / 2) AS rx, co
 ta AS (SELECT a.comparison_id, 'text' AS source, a.text_payload AS key, a.rx AS ox, a.ry AS oy, b.rx AS nx, b.ry AS ny FROM rp a JOIN rp b USING (comparison_id, text_payload)
   WHERE a.revision = 'old' AND b.revision = 'new' AND a.nt = 1 AND b.nt = 1),
 ga AS (SELECT a.comparison_id, 'geometry' AS source, a.signature AS key, a.cx AS ox, a.cy AS oy, b.cx AS nx, b.cy AS ny FROM rp a JOIN rp b USING (comparison_id, signature)
-  WHERE a.revision = 'old' AND b.revision = 'new' AND a.ns = 1 AND b.ns = 1 AND a.kind = 'linework' AND b.kind = 'linework'),
-t3 AS (SELECT * FROM ta WHERE comparison_id <> 3)"""
+  WHERE a.revision = 'old' AND b.revision = 'new' AND a.ns = 1 AND b.ns = 1 AND a.kind = 'linework' AND b.kind = 'linework')"""
+
+#: The same anchors with every sheet read as many small ones.
+_PARTS = _ANCHOR.replace("FROM e),", "FROM (SELECT * REPLACE (CAST(comparison_id + 7 * (ordinal // 2 // 280) AS INT) AS comparison_id) FROM e)),")
 
 
 def _ls(x: str) -> str:
@@ -155,28 +157,28 @@ LEFT JOIN ff g ON g.comparison_id = t.comparison_id AND g.revision = t.revision
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 40""",
     "text_anchors": f"WITH {_ANCHOR} SELECT * FROM ta",
     "geometry_anchors": f"WITH {_ANCHOR.replace('FROM e),', 'FROM (SELECT * REPLACE (CAST(comparison_id * 100 + ordinal // 2 % 50 AS INT) AS comparison_id) FROM e)),')} SELECT * FROM ga",
-    "fit_similarity_ls": f"""WITH {_ANCHOR}, f AS ({_ls("t3")}) SELECT comparison_id, n, round(sqrt(a * a + b * b), 4) AS scale, round(atan2(b, a), 4) + 0.0 AS rotation,
+    "fit_similarity_ls": f"""WITH {_ANCHOR}, f AS ({_ls("ta")}) SELECT comparison_id, n, round(sqrt(a * a + b * b), 4) AS scale, round(atan2(b, a), 4) + 0.0 AS rotation,
   round(mnx - (a * mox - b * moy), 4) AS tx, round(mny - (b * mox + a * moy), 4) AS ty FROM f""",
     "registration_quality": f"""WITH {_ANCHOR}, q AS (SELECT comparison_id, count(*) AS anchors, avg(CAST(err <= 0.005 * diag AS INT)) AS ratio, sqrt(avg(err * err) FILTER (WHERE err <= 0.005 * diag)) / any_value(diag) AS rms
-  FROM (SELECT *, sqrt(power(ox * scale + tx - nx, 2) + power(oy * scale + ty - ny, 2)) AS err, sqrt(new_width * new_width + new_height * new_height) AS diag FROM t3 JOIN sheets USING (comparison_id)) GROUP BY comparison_id)
+  FROM (SELECT *, sqrt(power(ox * scale + tx - nx, 2) + power(oy * scale + ty - ny, 2)) AS err, sqrt(new_width * new_width + new_height * new_height) AS diag FROM ta JOIN sheets USING (comparison_id)) GROUP BY comparison_id)
 SELECT comparison_id, coalesce(anchors, 0) AS anchors, round(coalesce(ratio, 0), 6) AS inlier_ratio, round(coalesce(rms, 1), 4) AS rms_rel,
   CASE WHEN anchors >= 3 AND ratio >= 0.6 AND rms <= 0.005 THEN 'aligned' ELSE 'failed' END AS status FROM sheets LEFT JOIN q USING (comparison_id)""",
-    "consensus_all_pairs": f"""WITH {_ANCHOR}, k AS (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY key) AS n FROM t3), p AS (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY key) AS i FROM k WHERE n % 10 = 1),
+    "consensus_all_pairs": f"""WITH {_PARTS}, p AS (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY key) AS i FROM ta),
 h AS (SELECT p.comparison_id, p.i, q.i AS i2, ((q.ox - p.ox) * (q.nx - p.nx) + (q.oy - p.oy) * (q.ny - p.ny)) / (power(q.ox - p.ox, 2) + power(q.oy - p.oy, 2)) AS a,
   ((q.ox - p.ox) * (q.ny - p.ny) - (q.oy - p.oy) * (q.nx - p.nx)) / (power(q.ox - p.ox, 2) + power(q.oy - p.oy, 2)) AS b, p.ox, p.oy, p.nx, p.ny FROM p JOIN p q ON p.comparison_id = q.comparison_id AND p.i < q.i WHERE p.ox <> q.ox OR p.oy <> q.oy),
 g AS (SELECT h.comparison_id, h.i, h.i2, a, b, nx - a * ox + b * oy AS c, ny - b * ox - a * oy AS d FROM h WHERE sqrt(a * a + b * b) BETWEEN 0.2 AND 5),
 s AS (SELECT g.comparison_id, g.i, g.i2, count(*) FILTER (WHERE sqrt(power(a * p.ox - b * p.oy + c - p.nx, 2) + power(b * p.ox + a * p.oy + d - p.ny, 2)) <= 0.005 * sqrt(new_width * new_width + new_height * new_height)) AS inliers
-  FROM g JOIN p USING (comparison_id) JOIN sheets USING (comparison_id) GROUP BY ALL)
+  FROM g JOIN p USING (comparison_id) JOIN sheets s7 ON s7.comparison_id = g.comparison_id % 7 GROUP BY ALL)
 SELECT comparison_id, i, i2, inliers FROM s QUALIFY row_number() OVER (PARTITION BY comparison_id ORDER BY inliers DESC, i, i2) = 1""",
     "match_exact": f"WITH {_SIDES} SELECT comparison_id, old_id, new_id, round(distance, 6) AS distance FROM ({_T1})",
     "match_attribute": f"{_SQL_R}{_MATCH} SELECT comparison_id, old_id, new_id FROM t2",
     "match_greedy": f"""{_SQL_R}{_E}, {_greedy("t", '''SELECT a.comparison_id, a.entity_id AS old_id, b.entity_id AS new_id, sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) AS distance
-  FROM e a JOIN e b USING (comparison_id) WHERE comparison_id = 0 AND a.kind = 'linework' AND b.kind = 'linework' AND a.revision = 'old' AND b.revision = 'new'
+  FROM e a JOIN e b USING (comparison_id) WHERE a.kind = b.kind AND a.revision = 'old' AND b.revision = 'new'
   AND sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) <= 60''')} SELECT comparison_id, old_id, new_id, round(distance, 6) AS distance FROM t""",
     "tier_counts": f"{_SQL_R}{_MATCH} SELECT comparison_id, tier, count(*) AS n FROM m GROUP BY ALL",
     "unmatched_entities": f"{_SQL_R}{_MATCH} SELECT * FROM alone",
     "label_alignment": f"""{_SQL_R}{_E}, {_greedy("t", '''SELECT a.comparison_id, a.entity_id AS old_id, CAST(1000000000 + r.ordinal AS VARCHAR) AS new_id, sqrt(power((r.x0 + r.x1) / 2 + 2 - (a.x0 + a.x1) / 2, 2) + power((r.y0 + r.y1) / 2 - (a.y0 + a.y1) / 2, 2)) AS distance
-  FROM e a JOIN e r USING (comparison_id, kind) WHERE comparison_id < 2 AND a.revision = 'old' AND r.revision = 'old'
+  FROM e a JOIN e r USING (comparison_id, kind) WHERE a.revision = 'old' AND r.revision = 'old'
   AND sqrt(power((r.x0 + r.x1) / 2 + 2 - (a.x0 + a.x1) / 2, 2) + power((r.y0 + r.y1) / 2 - (a.y0 + a.y1) / 2, 2)) <= 20.62''')}
 SELECT comparison_id, old_id AS entity_id, CAST(new_id AS BIGINT) - 1000000000 AS record_id, round(distance, 6) AS distance FROM t""",
     "deltas": f"{_SQL_R}{_DELTA} SELECT comparison_id, delta_id, change_type, kinds, tier, old_id, new_id, x0, y0, x1, y1 FROM d",
@@ -245,15 +247,6 @@ UNION SELECT comparison_id, revision, source, target, edge_kind FROM ({ORACLES["
 ORACLES["summary_lookup"] = f"""SELECT t.comparison_id, t.position, t.change, l.text FROM ({ORACLES["summary_table"]}) t JOIN ({ORACLES["summary_lines"]}) l USING (comparison_id, delta_id)"""
 ORACLES["first_changes"] = f"{_SQL_R}{_DELTA} SELECT comparison_id, position, delta_id FROM p WHERE position <= 15"
 
-#: Over every anchor of every sheet.
-ORACLES["fit_similarity_ls_all"] = ORACLES["fit_similarity_ls"].replace(_ls("t3"), _ls("ta"))
-ORACLES["registration_quality_all"] = ORACLES["registration_quality"].replace("FROM t3 JOIN sheets", "FROM ta JOIN sheets")
-ORACLES["consensus_all_anchors"] = (
-    ORACLES["consensus_all_pairs"]
-    .replace(_ANCHOR, _ANCHOR.replace("FROM e),", "FROM (SELECT * REPLACE (CAST(comparison_id + 7 * (ordinal // 2 // 280) AS INT) AS comparison_id) FROM e)),"))
-    .replace("FROM k WHERE n % 10 = 1)", "FROM k)").replace("AS n FROM t3)", "AS n FROM ta)")
-    .replace("JOIN p USING (comparison_id) JOIN sheets USING (comparison_id)", "JOIN p USING (comparison_id) JOIN sheets s7 ON s7.comparison_id = g.comparison_id % 7")
-)
 ORACLES["stage_signals"] = f"""{_SQL_R}{_DELTA} SELECT comparison_id, 'extracting' AS stage, 'entities_' || revision AS signal, count(*) AS value FROM e GROUP BY ALL
 UNION ALL SELECT comparison_id, 'matching', tier, count(*) FROM m GROUP BY ALL UNION ALL SELECT comparison_id, 'matching', 'unmatched_' || revision, count(*) FROM alone GROUP BY ALL
 UNION ALL SELECT comparison_id, 'diffing', change_type, count(*) FROM d GROUP BY ALL"""

@@ -256,70 +256,38 @@ def geometry_anchors(spark, sf_dir):
 
 
 def _anchors(spark, sf_dir):
-    return written(register.text_anchors(_entities(spark, sf_dir)).where("comparison_id <> 3"))
-
-
-def _all_anchors(spark, sf_dir):
     return written(register.text_anchors(_entities(spark, sf_dir)))
 
 
 @query
 def fit_similarity_ls(spark, sf_dir):
-    """Without sheet 3, as in its SQL."""
-    return _fit(_anchors(spark, sf_dir))
-
-
-@query
-def fit_similarity_ls_all(spark, sf_dir):
-    return _fit(_all_anchors(spark, sf_dir))
-
-
-def _fit(anchors):
-    f = register.least_squares(anchors, ["comparison_id"])
+    """The least-squares transform of every sheet, from all of its anchors."""
+    f = register.least_squares(_anchors(spark, sf_dir), ["comparison_id"])
     return f.select("comparison_id", "n", *[_r(F.col(c), 4).alias(c) for c in ("scale", "rotation", "tx", "ty")])
 
 
 @query
 def registration_quality(spark, sf_dir):
-    """Sheet 3 has no anchors and fails."""
+    """Inliers and residuals of every sheet's given transform, over all of its anchors."""
     p = _anchors(spark, sf_dir)
     return register.quality(p, fixtures.sheets(spark), fixtures.sheets(spark)).select("comparison_id", "anchors", "inlier_ratio", _r("rms_rel", 4).alias("rms_rel"), "status")
 
 
-@query
-def registration_quality_all(spark, sf_dir):
-    """The same over the anchors of every sheet."""
-    p = _all_anchors(spark, sf_dir)
-    return register.quality(p, fixtures.sheets(spark), fixtures.sheets(spark)).select("comparison_id", "anchors", "inlier_ratio", _r("rms_rel", 4).alias("rms_rel"), "status")
-
-
 @query
 def consensus_all_pairs(spark, sf_dir):
-    """Every tenth anchor of each sheet but sheet 3, all hypotheses: the part that its SQL covers."""
-    order = Window.partitionBy("comparison_id").orderBy("key")
-    p = written(_anchors(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n % 10 = 1").drop("n"))
-    return _consensus(p, fixtures.sheets(spark))
-
-
-@query
-def consensus_all_anchors(spark, sf_dir):
     """All hypotheses over all anchors.  Each sheet is read as many small ones, 40 parts to each, so that every anchor is in
     exactly one and the work follows the table."""
     small = F.col("comparison_id") + 7 * F.floor(F.col("ordinal") / 2 / (7 * 40))
     e = written(_entities(spark, sf_dir).withColumns({"sheet": F.col("comparison_id"), "comparison_id": small.cast("int")}))
     sheets = fixtures.sheets(spark).withColumnRenamed("comparison_id", "sheet")
     sheets = e.select("comparison_id", "sheet").distinct().join(sheets, "sheet").drop("sheet")
-    return _consensus(written(register.text_anchors(e)), sheets)
-
-
-def _consensus(anchors, sheets):
-    c = register.consensus_all_pairs(anchors, sheets)
+    c = register.consensus_all_pairs(written(register.text_anchors(e)), sheets)
     return c.select("comparison_id", F.col("i").cast("long").alias("i"), F.col("i2").cast("long").alias("i2"), F.col("inliers").cast("long").alias("inliers"))
 
 
 @query
 def seeded_ransac(spark, sf_dir):
-    f = register.seeded_ransac(_all_anchors(spark, sf_dir), fixtures.sheets(spark))
+    f = register.seeded_ransac(_anchors(spark, sf_dir), fixtures.sheets(spark))
     return f.select("comparison_id", "n", *[_r(F.col(c), 6).alias(c) for c in ("scale", "rotation", "tx", "ty")])
 
 
@@ -341,18 +309,8 @@ def match_attribute(spark, sf_dir):
 
 @query
 def match_greedy(spark, sf_dir):
-    """Greedy pairs of the linework of sheet 0, 60 apart or less, where each has several partners: the part that its SQL covers."""
-    return _greedy_pairs(_entities(spark, sf_dir).where("comparison_id = 0 and kind = 'linework'"))
-
-
-@query
-def match_greedy_all(spark, sf_dir):
-    """Greedy pairs of one kind, 60 apart or less, on every sheet."""
-    return _greedy_pairs(_entities(spark, sf_dir))
-
-
-def _greedy_pairs(entities):
-    e = written(entities)
+    """Greedy pairs of one kind, 60 apart or less, where each has several partners, on every sheet."""
+    e = written(_entities(spark, sf_dir))
     a = e.where("revision = 'old'").select("comparison_id", "kind", F.col("entity_id").alias("old_id"), "x0", "y0")
     b = e.where("revision = 'new'").select("comparison_id", "kind", F.col("entity_id").alias("new_id"), F.col("x0").alias("u"), F.col("y0").alias("v"))
     cell = lambda c: F.floor(F.col(c) / 60)
@@ -382,18 +340,8 @@ def stage_signals(spark, sf_dir):
 
 @query
 def label_alignment(spark, sf_dir):
-    """Records at the centres of the old entities, two points off, back to their entities: the two sheets that its SQL covers."""
-    return _aligned(_entities(spark, sf_dir).where("revision = 'old' and comparison_id < 2"))
-
-
-@query
-def label_alignment_all(spark, sf_dir):
-    """The same on every sheet."""
-    return _aligned(_entities(spark, sf_dir).where("revision = 'old'"))
-
-
-def _aligned(entities):
-    e = written(entities)
+    """Records at the centres of the old entities, two points off, back to their entities, on every sheet."""
+    e = written(_entities(spark, sf_dir).where("revision = 'old'"))
     records = e.select("comparison_id", "kind", F.col("ordinal").alias("record_id"), ((F.col("x0") + F.col("x1")) / 2 + 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     return ft.align_records(e, records, F.lit(1031.0)).select("comparison_id", F.col("old_id").alias("entity_id"), F.col("new_id").alias("record_id"), _r("distance").alias("distance"))
 

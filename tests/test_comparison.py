@@ -16,7 +16,7 @@ from sheetdelta.operators.delta import violations
 from sheetdelta.operators.graph import knn
 from sheetdelta.operators.jobs import expired
 from sheetdelta.operators.match import similarity_histogram
-from sheetdelta.operators.register import least_squares, seeded_ransac, text_anchors
+from sheetdelta.operators.register import least_squares, quality, seeded_ransac, text_anchors
 from sheetdelta.operators.report import canonical_reports, severity_label, summary_lines, summary_table, union_area
 from sheetdelta.plans import fixtures, queries
 from sheetdelta.plans.compare import compare
@@ -330,11 +330,11 @@ def test_greedy_on_every_sheet_and_kind(spark, data):
     e = with_identity(fixtures.entities(spark, data)).collect()
     old, new = ([r for r in e if r.revision == v] for v in ("old", "new"))
     near = [(a.comparison_id, float(np.sqrt((b.x0 - a.x0) ** 2 + (b.y0 - a.y0) ** 2)), a.entity_id, b.entity_id) for a in old for b in new if (a.comparison_id, a.kind) == (b.comparison_id, b.kind)]
-    got = {(r.comparison_id, r.old_id, r.new_id, r.distance) for r in queries.match_greedy_all(spark, data).collect()}
+    got = {(r.comparison_id, r.old_id, r.new_id, r.distance) for r in queries.match_greedy(spark, data).collect()}
     assert got == greedy(p for p in near if p[1] <= 60) and {c for c, *_ in got} == set(range(7))
     at = [(r, (r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2) for r in old]
     near = [(a.comparison_id, float(np.sqrt((u + 2 - x) ** 2 + (v - y) ** 2)), a.entity_id, b.ordinal) for a, x, y in at for b, u, v in at if (a.comparison_id, a.kind) == (b.comparison_id, b.kind)]
-    got = {(r.comparison_id, r.entity_id, r.record_id, r.distance) for r in queries.label_alignment_all(spark, data).collect()}
+    got = {(r.comparison_id, r.entity_id, r.record_id, r.distance) for r in queries.label_alignment(spark, data).collect()}
     assert got == greedy(p for p in near if p[1] <= 20.62) and {c for c, *_ in got} == set(range(7))
 
 
@@ -355,9 +355,18 @@ def test_consensus_uses_every_anchor(spark, data):
                 count = int((abs(a * o + (n[i] - a * o[i]) - n) <= tol).sum())
                 best = max(best or (0,), (count, -i - 1, -j - 1))
         want.add((c, -best[1], -best[2], best[0]))
-    assert {tuple(r) for r in queries.consensus_all_anchors(spark, data).collect()} == want and {c % 7 for c, *_ in want} == set(range(7))
+    assert {tuple(r) for r in queries.consensus_all_pairs(spark, data).collect()} == want and {c % 7 for c, *_ in want} == set(range(7))
     assert {r.comparison_id for r in queries.seeded_ransac(spark, data).collect()} == set(range(7))
-    assert {r.comparison_id for r in queries.fit_similarity_ls_all(spark, data).collect()} == set(range(7))
+    assert {r.comparison_id for r in queries.fit_similarity_ls(spark, data).collect()} == set(range(7))
+
+
+def test_sheet_without_anchors_fails(spark, data):
+    anchors = text_anchors(with_identity(fixtures.entities(spark, data)))
+    sheets = fixtures.sheets(spark)
+    got = {r.comparison_id: r for r in quality(anchors.where("comparison_id <> 3"), sheets, sheets).collect()}
+    assert set(got) == set(range(7)) and (got[3].anchors, got[3].inlier_ratio, got[3].rms_rel, got[3].status) == (0, 0.0, 1.0, "failed")
+    assert {c for c, r in got.items() if r.status == "aligned"} == {0, 1, 2, 4, 5, 6}
+    assert {r.comparison_id for r in queries.registration_quality(spark, data).where("status = 'aligned'").collect()} == set(range(7))
 
 
 def test_fixture_rules(spark, data):
