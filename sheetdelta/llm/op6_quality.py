@@ -232,29 +232,42 @@ def estimate(cells: DataFrame) -> DataFrame:
     return materialise(_moments(near.groupBy("_g").agg(*_sums(X)), FACTOR_REWEIGHT, ["_g"]), "spread")
 
 
-def judge(docs: DataFrame, keep: list[str], again: bool = False) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` as a struct ``doc``, the counts, base_failed, kept and distance2 of every row.
 
-    Statistics are written once for all steps, with ``keep`` beside them; ``again`` works them out a second time from the texts
-    instead, so that wide columns are read twice but neither written nor shuffled."""
+    Statistics are worked out once and written for all steps, with ``keep`` beside them, so ``keep`` should be narrow."""
     doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc")
-    text = F.col("text").cast("string").alias("text")
-    narrow = [] if again else ["_doc"]
-    rows = _statistics(counts(docs.select(*([] if again else [doc]), text, "lang", "source"), [*narrow, "lang", "source"]))
-    rows = materialise(rows.select(*narrow, "lang", "source", *COUNTS, "base_failed", *X), "statistics")
-    groups = _groups(rows)
-    rows = _grouped(rows, groups)
+    rows = _statistics(counts(docs.select(doc, F.col("text").cast("string").alias("text"), "lang", "source"), ["_doc", "lang", "source"]))
+    rows = materialise(rows.select("_doc", "lang", "source", *COUNTS, "base_failed", *X), "statistics")
+    rows = _grouped(rows, _groups(rows))
     spread = small_side(estimate(cells_of(rows.where(~F.col("base_failed")).select("_g", *X))), BROADCAST)
-    if again:
-        rows = _grouped(_statistics(counts(docs.select(doc, text, "lang", "source"), ["_doc", "lang", "source"])), groups)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("_d"), F.lit(0.0)) <= CUTOFF)
     placed = _distance(rows.join(spread, "_g", "left"))
     return placed.select(F.col("_doc").alias("doc"), *COUNTS, "base_failed", kept.alias("kept"), F.col("_d").alias("distance2"))
 
 
+def _content(*names: str) -> Column:
+    """A digest of columns; each with its length, so that no two rows of different values share the digested text."""
+    parts = []
+    for name in names:
+        c = F.col(name).cast("string")
+        parts += [F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.coalesce(c, F.lit(""))]
+    return F.unhex(F.sha2(F.concat_ws("\u001f", *parts), 256))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep.  Each row has its own verdict, beside it."""
-    return judge(docs, docs.columns, again=True).where("kept").select("doc.*")
+    """Pipeline stage: the documents that the rules keep.
+
+    A verdict follows from language, source and text alone, so rows carry a digest of these through the judgement, and those of
+    rejected digests leave by one join.  Texts are worked through once and shuffled once, at every size."""
+    key = "_row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    keyed = docs.withColumn(key, _content("lang", "source", "text"))
+    judged = judge(keyed.select(key, "text", "lang", "source"), [key])
+    rejected = judged.where(~F.coalesce("kept", F.lit(False))).select(F.col("doc")[key].alias(key)).distinct()
+    kept = keyed.join(materialise(rejected, "rejected").hint("merge"), key, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
