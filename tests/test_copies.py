@@ -1,9 +1,11 @@
 """Sheets where many entities lie at one place: the work follows the places, the results are those of all pairs."""
 
 import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
-from sheetdelta.operators import attention, graph
+from sheetdelta.operators import assign, attention, graph
 from sheetdelta.operators import features as ft
 from sheetdelta.operators.graph import KEY
 from sheetdelta.tables import written
@@ -72,3 +74,31 @@ def test_attention_without_edges(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
     got, want = by(attention.classify_sheets(e, s, f, classifier), "semantic_confidence"), by(attention.classify_graph(f, edges, classifier), "semantic_confidence")
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def brute(old, new, reach):
+    pairs = sorted((float(np.hypot(u - x, v - y)), i, j, g) for g, i, x, y in old for h, j, u, v in new if g == h)
+    ends, out = set(), set()
+    for d, i, j, g in pairs:
+        if d <= reach and (0, i) not in ends and (1, j) not in ends:
+            ends |= {(0, i), (1, j)}
+            out.add((g, i, j))
+    return out
+
+
+@pytest.mark.parametrize("candidates,rounds", [(12, 20), (0, 0)])
+def test_greedy_by_place(spark, monkeypatch, candidates, rounds):
+    """Heaps of copies and many equal distances, in one radius and in many, by rounds and with the rest in order."""
+    r = np.random.default_rng(3)
+    some = lambda p, n, size: [(int(g), f"{p}{k:03}", float(x), float(y)) for k, (g, x, y) in enumerate(zip(r.integers(0, 2, n), *r.integers(0, size, (2, n))))]
+    old, new = some("o", 150, 6) + some("p", 60, 40), some("n", 170, 6) + some("m", 40, 40)
+    monkeypatch.setattr(assign, "CANDIDATES", candidates)
+    if candidates == 0:
+        old, new = old + [(5, f"q{k:04}", 1.0, float(k % 3)) for k in range(90)], new + [(5, f"r{k:04}", 2.0, float(k % 3)) for k in range(120)]
+    whole = assign.greedy_of_classes
+    monkeypatch.setattr(assign, "greedy_of_classes", lambda *a: whole(*a, rounds=rounds))
+    a = spark.createDataFrame(old, "g int, old_id string, x double, y double")
+    b = spark.createDataFrame(new, "g int, new_id string, x double, y double")
+    found = assign.greedy_by_place(a, b, ["g"], F.lit(12.0)).collect()
+    assert {(x.g, x.old_id, x.new_id) for x in found} == brute(old, new, 12.0) and len(found) == len({x.old_id for x in found})
+    assert assign.greedy_by_place(a.where("false"), b, ["g"], F.lit(12.0)).count() == 0
