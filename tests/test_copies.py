@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sheetdelta.operators import assign, attention, graph
+from sheetdelta.operators import assign, attention, graph, match
 from sheetdelta.operators import features as ft
 from sheetdelta.operators.graph import KEY
 from sheetdelta.tables import written
@@ -102,3 +103,21 @@ def test_greedy_by_place(spark, monkeypatch, candidates, rounds):
     found = assign.greedy_by_place(a, b, ["g"], F.lit(12.0)).collect()
     assert {(x.g, x.old_id, x.new_id) for x in found} == brute(old, new, 12.0) and len(found) == len({x.old_id for x in found})
     assert assign.greedy_by_place(a.where("false"), b, ["g"], F.lit(12.0)).count() == 0
+
+
+def test_shortlist(spark, monkeypatch):
+    """The first five of every query, as from all pairs: copies, sixth digits that tie, missing and odd vectors; no row for each pair."""
+    r = np.random.default_rng(4)
+    rows = [(k, v.tolist()) for k, v in enumerate(r.normal(size=(300, 8)).round(3))]
+    rows += [(300 + k, rows[k % 3][1]) for k in range(60)] + [(400 + k, [x + 1e-8 * k for x in rows[7][1]]) for k in range(30)]
+    rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [1.0, 2.0]), (504, [0.0] * 8), (505, [3.0, 1.0]), (506, [float("inf")] + [0.0] * 7), (507, [])]
+    v = written(spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3))
+    q = v.where("vec_id % 20 = 0 or vec_id > 499").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    first = lambda df: [tuple(map(repr, x)) for x in df.withColumn("rank", F.row_number().over(best)).where("rank <= 5").orderBy("query_id", "rank").collect()]
+    plain = q.crossJoin(v).where("vec_id <> query_id").select("query_id", "vec_id", F.round(match.cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
+    for size in (10_000, 37):
+        monkeypatch.setattr(match, "ROWS", size)
+        found = written(match.shortlist(q, v, 5).select("query_id", "vec_id", F.round("dot", 6).alias("similarity")))
+        assert first(found) == first(plain)
+        assert size < 10_000 or found.count() < plain.count() / 4
