@@ -121,3 +121,15 @@ def test_shortlist(spark, monkeypatch):
         found = written(match.shortlist(q, v, 5).select("query_id", "vec_id", F.round("dot", 6).alias("similarity")))
         assert first(found) == first(plain)
         assert size < 10_000 or found.count() < plain.count() / 4
+
+
+def test_copies_match_in_order(spark):
+    """Copies on both sides come to the rule of candidates as one row each, and are paired in the order of their names."""
+    side = lambda c, n: written(spark.createDataFrame([(1, f"{c}{k:02}", 5.0) for k in range(n)], f"comparison_id int, {c}_entity_id string, {c}_x0 double"))
+
+    def candidates(a, b, th):
+        assert a.count() == b.count() == 1
+        return a.join(b, "comparison_id").select("comparison_id", F.lit(0.0).alias("distance"), F.col("a_entity_id").alias("old_id"), F.col("b_entity_id").alias("new_id"))
+
+    found = match._one_to_one(side("a", 40), side("b", 30), candidates, None).collect()
+    assert sorted((x.old_id, x.new_id) for x in found) == [(f"a{k:02}", f"b{k:02}") for k in range(30)]
