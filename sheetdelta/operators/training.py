@@ -12,6 +12,7 @@ the comparison); the classifier learns the class of the entities that have one.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import ship, written
-from .attention import CLASSES, CLASSIFIER, ENCODER, SLOPE, Model, start
+from .attention import CLASSES, CLASSIFIER, ENCODER, HIDDEN, SLOPE, Model, start
 from .features import NAMES
 from .graph import KEY, both_directions
 
 TEMPERATURE = 0.1
 UNIT = float(1 << 32)
 
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 @dataclass
 class Graph:
@@ -34,10 +37,36 @@ class Graph:
     target: np.ndarray
     label: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
+    @cached_property
+    def heard(self) -> np.ndarray | None:
+        """How often each node (row) hears each other, where that table is smaller than one of the edges' values; else nothing."""
+        n = len(self.x)
+        if n * n > len(self.source) * HIDDEN:
+            return None
+        return np.bincount(self.target * np.int64(n) + self.source, minlength=n * n).reshape(n, n).astype(float)
+
+    @cached_property
+    def by_source(self) -> Runs:
+        return _runs(self.source)
+
+    @cached_property
+    def by_target(self) -> Runs:
+        return _runs(self.target)
+
 
-def _gather(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def _runs(index: np.ndarray) -> Runs:
+    """(order, first, values): places of ``index`` by value, where each value's run begins, and the values."""
+    order = np.argsort(index, kind="stable")
+    ordered = index[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+    return order, first, ordered[first]
+
+
+def _gather(runs: Runs, values: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, *values.shape[1:]))
-    np.add.at(out, index, values)
+    order, first, nodes = runs
+    if len(first):
+        out[nodes] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
@@ -49,30 +78,52 @@ class Layer:
         self.weight, self.a, self.b, self.bias = (model[f"{name}.{part}"] for part in ("weight", "source", "target", "bias"))
 
     def forward(self, x: np.ndarray) -> np.ndarray:
-        g, n = self.g, len(x)
-        self.x, self.z = x, np.einsum("hoi,ni->nho", self.weight, x)
-        raw = np.einsum("nho,ho->nh", self.z, self.a)[g.source] + np.einsum("nho,ho->nh", self.z, self.b)[g.target]
+        g, n, (heads, out, inputs) = self.g, len(x), self.weight.shape
+        self.x, self.z = x, (x @ self.weight.reshape(heads * out, inputs).T).reshape(n, heads, out)
+        source, target = (self.z * self.a).sum(-1), (self.z * self.b).sum(-1)
+        if g.heard is not None:
+            # A matrix for each head: rows are targets.
+            self.by_head = np.ascontiguousarray(self.z.transpose(1, 0, 2))
+            raw = source.T[:, None, :] + target.T[:, :, None]
+            self.slope = np.where(raw > 0, 1.0, SLOPE)
+            score = np.where(g.heard > 0, raw * self.slope, -np.inf)
+            top = score.max(2, keepdims=True, initial=-1e300)
+            w = np.exp(score - top) * g.heard
+            self.alpha = w / np.maximum(w.sum(2, keepdims=True), 1e-300)
+            return (self.alpha @ self.by_head).transpose(1, 0, 2).reshape(n, -1) + self.bias
+        raw = source[g.source] + target[g.target]
         self.slope = np.where(raw > 0, 1.0, SLOPE)
         score = raw * self.slope
-        top = np.full((n, score.shape[1]), -np.inf)
-        np.maximum.at(top, g.target, score)
+        top = np.zeros((n, heads))
+        order, first, nodes = g.by_target
+        if len(first):
+            top[nodes] = np.maximum.reduceat(score[order], first, axis=0)
         w = np.exp(score - top[g.target])
-        self.alpha = w / _gather(g.target, w, n)[g.target]
-        return _gather(g.target, self.alpha[:, :, None] * self.z[g.source], n).reshape(n, -1) + self.bias
+        self.alpha = w / _gather(g.by_target, w, n)[g.target]
+        return _gather(g.by_target, self.alpha[:, :, None] * self.z[g.source], n).reshape(n, -1) + self.bias
 
     def backward(self, d: np.ndarray, grad: Model) -> np.ndarray:
-        g, n = self.g, len(self.x)
-        up = d.reshape(self.z.shape)[g.target]
-        dz = _gather(g.source, self.alpha[:, :, None] * up, n)
-        da = self.alpha * (up * self.z[g.source]).sum(-1)
-        draw = (da - self.alpha * _gather(g.target, da, n)[g.target]) * self.slope
-        ds, dt = _gather(g.source, draw, n), _gather(g.target, draw, n)
-        dz += ds[:, :, None] * self.a + dt[:, :, None] * self.b
-        grad[f"{self.name}.source"] += np.einsum("nh,nho->ho", ds, self.z)
-        grad[f"{self.name}.target"] += np.einsum("nh,nho->ho", dt, self.z)
-        grad[f"{self.name}.weight"] += np.einsum("nho,ni->hoi", dz, self.x)
+        g, n, (heads, out, inputs) = self.g, len(self.x), self.weight.shape
+        up = d.reshape(self.z.shape)
+        if g.heard is not None:
+            up = np.ascontiguousarray(up.transpose(1, 0, 2))
+            dz = (self.alpha.transpose(0, 2, 1) @ up).transpose(1, 0, 2)
+            da = self.alpha * (up @ self.by_head.transpose(0, 2, 1))
+            draw = (da - self.alpha * da.sum(2, keepdims=True)) * self.slope
+            ds, dt = draw.sum(1).T, draw.sum(2).T
+        else:
+            up = up[g.target]
+            dz = _gather(g.by_source, self.alpha[:, :, None] * up, n)
+            da = self.alpha * (up * self.z[g.source]).sum(-1)
+            draw = (da - self.alpha * _gather(g.by_target, da, n)[g.target]) * self.slope
+            ds, dt = _gather(g.by_source, draw, n), _gather(g.by_target, draw, n)
+        dz = dz + ds[:, :, None] * self.a + dt[:, :, None] * self.b
+        grad[f"{self.name}.source"] += (ds[:, :, None] * self.z).sum(0)
+        grad[f"{self.name}.target"] += (dt[:, :, None] * self.z).sum(0)
+        dz = dz.reshape(n, heads * out)
+        grad[f"{self.name}.weight"] += (dz.T @ self.x).reshape(heads, out, inputs)
         grad[f"{self.name}.bias"] += d.sum(0)
-        return np.einsum("nho,hoi->ni", dz, self.weight)
+        return dz @ self.weight.reshape(heads * out, inputs)
 
 
 def _elu(x: np.ndarray) -> np.ndarray:
@@ -110,7 +161,7 @@ def contrastive(model: Model, grad: Model, old: Graph, new: Graph, i: np.ndarray
     loss = -(np.log(rows[k, j]).mean() + np.log(columns[k, i]).mean()) / 2
     rows[k, j] -= 1
     columns[k, i] -= 1
-    d = (_gather(i, rows, len(old.x)) + _gather(j, columns, len(new.x)).T) / (2 * m * TEMPERATURE)
+    d = (_gather(_runs(i), rows, len(old.x)) + _gather(_runs(j), columns, len(new.x)).T) / (2 * m * TEMPERATURE)
     a.backward(d @ b.vector, grad)
     b.backward(d.T @ a.vector, grad)
     return float(loss)
@@ -164,11 +215,38 @@ def graphs(features: DataFrame, edges: DataFrame, names: list[str], extra: str)
     return n.join(e, KEY, "left").select(*KEY, F.col("nodes.id").alias("ids"), F.col("nodes.x").alias("x"), F.col("nodes.extra").alias("extra"), F.col("edges.source").alias("sources"), F.col("edges.target").alias("targets"))
 
 
-def _graph(row: dict, side: str) -> Graph:
-    ids = {k: i for i, k in enumerate(row[f"{side}_ids"])}
-    own = np.arange(len(ids))
-    source, target = ([ids[k] for k in row[f"{side}_{c}"] or []] for c in ("sources", "targets"))
-    return Graph(np.array(row[f"{side}_x"], float), np.concatenate([np.array(source, np.int64), own]), np.concatenate([np.array(target, np.int64), own]))
+#: Columns of one revision in a row of examples: numbers of features and nodes by node, ends of edges as numbers of nodes.
+_SIDE = "{s}_x array<double>, {s}_extra array<string>, {s}_source array<int>, {s}_target array<int>"
+_EXAMPLE = ", ".join(["comparison_id int", *[_SIDE.format(s=s) for s in ("old", "new")]])
+
+
+def _numbered(batches):
+    """Rows of numbers in place of names, one row at a time: no batch becomes Python objects as a whole."""
+    schema = pa.schema([("comparison_id", pa.int32()), *[(f"{s}_{c}", pa.list_(t)) for s in ("old", "new") for c, t in (("x", pa.float64()), ("extra", pa.string()), ("source", pa.int32()), ("target", pa.int32()))]])
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            out = {"comparison_id": row["comparison_id"]}
+            for s in ("old", "new"):
+                ids = {name: i for i, name in enumerate(row[f"{s}_ids"] or [])}
+                own = np.arange(len(ids), dtype=np.int32)
+                source, target = (np.concatenate([np.array([ids[x] for x in row[f"{s}_{c}"] or []], np.int32), own]) for c in ("sources", "targets"))
+                out |= {f"{s}_x": np.array(row[f"{s}_x"] or [], float).ravel(), f"{s}_extra": row[f"{s}_extra"] or [], f"{s}_source": source, f"{s}_target": target}
+            yield pa.RecordBatch.from_pylist([out], schema)
+
+
+def _examples(batches):
+    """(comparison_id, graphs and extras of the revisions that have nodes) of each row; numbers are views of the batch."""
+    for batch in batches:
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        for k in range(batch.num_rows):
+            graph, extra = {}, {}
+            for s in ("old", "new"):
+                names = columns[f"{s}_extra"][k].as_py()
+                if names:
+                    x, source, target = (columns[f"{s}_{c}"][k].values.to_numpy(zero_copy_only=False) for c in ("x", "source", "target"))
+                    graph[s], extra[s] = Graph(x.reshape(len(names), -1), source, target), names
+            yield columns["comparison_id"][k].as_py(), graph, extra
 
 
 def _gradients(kind: str, weights: np.ndarray):
@@ -178,26 +256,24 @@ def _gradients(kind: str, weights: np.ndarray):
         shapes = ENCODER if kind == "encoder" else CLASSIFIER
         model = _shaped(weights, shapes)
         total, loss, count = np.zeros(len(weights), np.int64), 0, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                grad = {k: np.zeros_like(v) for k, v in model.items()}
-                graph = {s: _graph(row, s) for s in ("old", "new") if row[f"{s}_ids"]}
-                if kind == "encoder":
-                    # A key stands for the entity that the two revisions share; the first of equals counts.
-                    place = {k: i for i, k in reversed(list(enumerate(row["new_extra"] or []))) if k is not None}
-                    seen = {k: i for i, k in reversed(list(enumerate(row["old_extra"] or []))) if k in place}
-                    if not seen:
-                        continue
-                    pairs = sorted((i, place[k]) for k, i in seen.items())
-                    value = contrastive(model, grad, graph["old"], graph["new"], *(np.array(c) for c in zip(*pairs)))
-                else:
-                    value = 0.0
-                    for s, g in graph.items():
-                        g.label = np.array([CLASSES.index(c) if c in CLASSES else -1 for c in row[f"{s}_extra"]], np.int64)
-                        value += classified(model, grad, g) / len(graph)
-                total += np.rint(_flat(grad) * UNIT).astype(np.int64)
-                loss += round(value * UNIT)
-                count += 1
+        for _, graph, extra in _examples(batches):
+            grad = {k: np.zeros_like(v) for k, v in model.items()}
+            if kind == "encoder":
+                # A key stands for the entity that the two revisions share; the first of equals counts.
+                place = {k: i for i, k in reversed(list(enumerate(extra.get("new", [])))) if k is not None}
+                seen = {k: i for i, k in reversed(list(enumerate(extra.get("old", [])))) if k in place}
+                if not seen:
+                    continue
+                pairs = sorted((i, place[k]) for k, i in seen.items())
+                value = contrastive(model, grad, graph["old"], graph["new"], *(np.array(c) for c in zip(*pairs)))
+            else:
+                value = 0.0
+                for s, g in graph.items():
+                    g.label = np.array([CLASSES.index(c) if c in CLASSES else -1 for c in extra[s]], np.int64)
+                    value += classified(model, grad, g) / len(graph)
+            total += np.rint(_flat(grad) * UNIT).astype(np.int64)
+            loss += round(value * UNIT)
+            count += 1
         if count:
             where = np.concatenate([np.arange(len(total)), [-1, -2]])
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(np.concatenate([total, [loss, count]]))], ["i", "v"])
@@ -206,11 +282,44 @@ def _gradients(kind: str, weights: np.ndarray):
 
 
 def examples(features: DataFrame, edges: DataFrame, names: list[str], extra: str) -> DataFrame:
-    """Comparisons as written rows, both revisions side by side."""
+    """Comparisons as written rows, both revisions side by side, nodes by number."""
+    ship(features.sparkSession)
     g = graphs(features, edges, names, extra)
     columns = ["ids", "x", "extra", "sources", "targets"]
-    side = lambda s: g.where(F.col("revision") == s).select("comparison_id", *[F.col(c).alias(f"{s}_{c}") for c in columns])
-    return written(side("old").join(side("new"), "comparison_id", "full"), "examples")
+    side = lambda s: g.where(F.col("revision") == s).select(F.col("comparison_id").cast("int"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    return written(side("old").join(side("new"), "comparison_id", "full").mapInArrow(_numbered, _EXAMPLE), "examples")
+
+
+#: Rows of vectors whose products with all others are held at once.
+AT_ONCE = 1024
+
+
+def _gaps(weights: np.ndarray):
+    def run(batches):
+        model = _shaped(weights, ENCODER)
+        for k, graph, extra in _examples(batches):
+            if len(graph) < 2:
+                continue
+            a, b = (Encoder(model, graph[s]).vector for s in ("old", "new"))
+            number = {name: i for i, name in enumerate(dict.fromkeys(x for s in ("old", "new") for x in extra[s] if x is not None))}
+            of_a, of_b = (np.array([number.get(x, -1) for x in extra[s]]) for s in ("old", "new"))
+            least, most, named = [], [], of_b >= 0
+            for at in range(0, len(a), AT_ONCE):
+                product, mine = a[at : at + AT_ONCE] @ b.T, of_a[at : at + AT_ONCE]
+                true, known = mine[:, None] == of_b, (mine >= 0)[:, None] & named
+                least += [product[true & known].min(initial=np.inf)]
+                most += [product[~true & known].max(initial=-np.inf)]
+            found = [pa.array([v if np.isfinite(v) else None], pa.float64()) for v in (min(least), max(most))]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *found], ["comparison_id", "min_true", "max_false"])
+
+    return run
+
+
+def similarity_gaps(rows: DataFrame, model: Model) -> DataFrame:
+    """(comparison_id, min_true, max_false): the least similarity of an entity with its namesake in the other revision and the largest with
+    any other, by the encoder ``model``.  ``rows``: examples with ``uid``; a matrix product per comparison, no table of pairs."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(_gaps(_flat(model)), "comparison_id int, min_true double, max_false double")
 
 
 def train(rows: DataFrame, kind: str, steps: int, rate: float, seed: int = 1337) -> tuple[Model, list[float]]:
