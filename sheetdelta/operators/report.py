@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.geometry import location_bin
 from ..functions.numbers import canonical, fixed, signed
 from ..functions.text import VALUE, capitalised, collapsed, quoted
 from ..schema import THRESHOLDS, Thresholds
-from ..tables import bounded, written
+from ..tables import bounded, ship, written
 from .delta import REPORT_ORDER
 from .ranking import numbered
 
@@ -74,7 +76,7 @@ def change_counts(sheets: DataFrame, deltas: DataFrame) -> DataFrame:
     return out.select("comparison_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ["total", *kinds]])
 
 
-#: Boxes of a tile that are swept together, and how often a fuller tile is cut again.
+#: Boxes of a tile that are counted together, and how often a fuller tile is cut again.
 TILE, CUTS = 256, 8
 
 
@@ -83,7 +85,7 @@ def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
     Groups are cut into square tiles whose sides are powers of two, so borders are exact.  A box leaves its rim in the tiles that it
     cuts, and for each row of tiles the run of tiles that it covers whole; such tiles count at once and drop what else lies in
-    them.  Tiles that still hold over TILE boxes are cut again.  What is left is swept tile by tile, so no task holds a group."""
+    them.  Tiles that still hold over TILE boxes are cut again.  What is left is counted tile by tile, so no task holds a group."""
     b = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select(*keys, F.lit("").alias("_tile"), "x0", "y0", "x1", "y1")
     group, areas = [*keys, "_tile"], []
     for _ in range(CUTS):
@@ -96,7 +98,13 @@ def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
         whole, pieces = _tiles(b.join(crowded, group), group)
         areas.append(whole)
         b = b.join(crowded, group, "left_anti").unionByName(pieces)
-    areas.append(_swept(b, group))
+    else:
+        # Cuts did not part these.
+        b, n = written(b, "boxes"), F.col("n") > TILE
+        full = written(b.groupBy(*group).agg(F.count("*").alias("n")).where(n).select(*group), "crowded")
+        areas.append(_swept(b.join(full, group), group))
+        b = b.join(full, group, "left_anti")
+    areas.append(_covered(b, group))
     total = areas[0]
     for more in areas[1:]:
         total = total.unionByName(more)
@@ -124,6 +132,23 @@ def _tiles(b: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
     return full.groupBy(*group).agg(F.sum(size * size).alias("area")), pieces
 
 
+def _covered(b: DataFrame, group: list[str]) -> DataFrame:
+    """Areas of tiles of at most TILE boxes: their coordinates are the lines of a small grid, whose cells count who covers them."""
+
+    def area(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        (xs, i), (ys, j) = (np.unique(tile[[c + "0", c + "1"]].to_numpy(), return_inverse=True) for c in "xy")
+        i, j = i.reshape(-1, 2), j.reshape(-1, 2)
+        over = np.zeros((len(xs), len(ys)), np.int32)
+        for m, k, by in ((0, 0, 1), (1, 0, -1), (0, 1, -1), (1, 1, 1)):
+            np.add.at(over, (i[:, m], j[:, k]), by)
+        some = over.cumsum(0).cumsum(1)[:-1, :-1] > 0
+        return pd.DataFrame([[*key, float(np.diff(xs) @ (some @ np.diff(ys)))]], columns=[*group, "area"])
+
+    ship(b.sparkSession)
+    kinds = dict(b.dtypes)
+    return b.groupBy(*group).applyInPandas(area, ", ".join([f"`{k}` {kinds[k]}" for k in group] + ["area double"]))
+
+
 def _swept(b: DataFrame, group: list[str]) -> DataFrame:
     """Vertical slabs between neighbouring x coordinates: within a slab a box is its y interval, and the union of intervals is a
     running maximum.  A box is repeated per slab that it spans, and no pair of boxes is made."""
