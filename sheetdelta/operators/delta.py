@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.geometry import displacement, mapped_box, shape_equivalent, side, style_equivalent
 from ..schema import KIND_ORDER, SIDE, THRESHOLDS, Thresholds
 from ..tables import bounded
-from .match import unmatched
 
 A, B, T = side("a_"), side("b_"), F.col
 
@@ -36,32 +35,30 @@ def delta_id() -> Column:
     return F.concat(F.lit("d-"), F.substring(F.sha1(F.concat_ws("|", F.col("change_type"), *ends)), 1, 10))
 
 
-def compute_deltas(entities: DataFrame, sheets: DataFrame, matches: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
+def compute_deltas(rest: tuple[DataFrame, DataFrame], sheets: DataFrame, matches: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
     """One row per change: comparison_id, delta_id, change_type, kinds, tier, similarity, old_id, new_id, before, after, and the
-    anchor box in the new sheet's frame."""
+    anchor box in the new sheet's frame.  An exact match is no change, so only the sides that the exact tier left (``rest``) are read."""
     s = bounded(sheets.withColumn("diag", F.sqrt(F.col("new_width") ** 2 + F.col("new_height") ** 2)).select("comparison_id", "diag", "tx", "ty", "scale", "rotation"))
-    old = entities.where("revision = 'old'").select("comparison_id", F.col("entity_id").alias("old_id"), *[F.col(c).alias("a_" + c) for c in SIDE])
-    new = entities.where("revision = 'new'").select("comparison_id", F.col("entity_id").alias("new_id"), *[F.col(c).alias("b_" + c) for c in SIDE])
-    pairs = matches.where("tier <> 'exact'").join(old, ["comparison_id", "old_id"]).join(new, ["comparison_id", "new_id"]).join(s, "comparison_id")
+    old, new = (df.select("comparison_id", F.col(f"{c}_entity_id").alias(id_), *[f"{c}_{x}" for x in SIDE]) for df, c, id_ in zip(rest, "ab", ("old_id", "new_id")))
+    met = matches.where("tier <> 'exact'")
+    pairs = met.join(old, ["comparison_id", "old_id"]).join(new, ["comparison_id", "new_id"]).join(s, "comparison_id")
     # Alike but too far away: not a move but one entity gone and another come.
     apart = (F.col("tier") == "learned") & (displacement(A, B, T) > th.split * F.col("diag"))
     pairs = pairs.withColumn("apart", apart)
     kept = pairs.where(~F.col("apart")).withColumn("kinds", diff_kinds(th)).where(F.size("kinds") > 0)
     columns = ["comparison_id", "change_type", "kinds", "tier", "similarity", "old_id", "new_id", "before", "after", "x0", "y0", "x1", "y1"]
     nothing = F.lit(None).cast("string")
-    no_state = F.lit(None).cast(entities.select(F.struct(*SIDE)).schema[0].dataType)
+    no_state = lambda p: F.lit(None).cast(pairs.select(state(p)).schema[0].dataType)
     modified = kept.select(
         "comparison_id", F.lit("modified").alias("change_type"), "kinds", "tier", "similarity", "old_id", "new_id", state("a_").alias("before"), state("b_").alias("after"), "b_x0", "b_y0", "b_x1", "b_y1"
     )
-    alone = unmatched(entities, matches).union(
-        pairs.where("apart").select("comparison_id", F.lit("old").alias("revision"), F.col("old_id").alias("entity_id"))
-    ).union(pairs.where("apart").select("comparison_id", F.lit("new"), "new_id"))
-    gone = old.join(alone.where("revision = 'old'").select("comparison_id", F.col("entity_id").alias("old_id")), ["comparison_id", "old_id"]).join(s, "comparison_id")
+    alone = lambda df, id_: df.join(met.select("comparison_id", id_), ["comparison_id", id_], "left_anti").unionByName(pairs.where("apart").select(df.columns))
     box = mapped_box(A, T)
     empty = F.array().cast("array<string>")
-    removed = gone.select("comparison_id", F.lit("removed"), empty, nothing, F.lit(None).cast("double"), "old_id", nothing, state("a_"), no_state, *box)
-    come = new.join(alone.where("revision = 'new'").select("comparison_id", F.col("entity_id").alias("new_id")), ["comparison_id", "new_id"])
-    added = come.select("comparison_id", F.lit("added"), empty, nothing, F.lit(None).cast("double"), nothing, "new_id", no_state, state("b_"), "b_x0", "b_y0", "b_x1", "b_y1")
+    gone = alone(old, "old_id").join(s, "comparison_id")
+    removed = gone.select("comparison_id", F.lit("removed"), empty, nothing, F.lit(None).cast("double"), "old_id", nothing, state("a_"), no_state("b_"), *box)
+    come = alone(new, "new_id")
+    added = come.select("comparison_id", F.lit("added"), empty, nothing, F.lit(None).cast("double"), nothing, "new_id", no_state("a_"), state("b_"), "b_x0", "b_y0", "b_x1", "b_y1")
     return modified.toDF(*columns).union(removed.toDF(*columns)).union(added.toDF(*columns)).withColumn("delta_id", delta_id())
 
 
